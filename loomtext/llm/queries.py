@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, shards, token_counts
+from . import codec, decontaminate, jaccard, shards, token_counts
 from .common import load, materialize
 
 
@@ -30,6 +30,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = token_counts.count_tokens(docs, _path("byte_bpe_50k.json"))
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op7_token_counts, op9_shuffled_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_codec, op6_jaccard_join, op7_token_counts, op9_shuffled_shards, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
