@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, jaccard, shards, token_counts
+from . import codec, decontaminate, jaccard, line_dedup, quality, shards, token_counts
 from .common import load, materialize
 
 
@@ -30,6 +30,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    x, names = quality.judge(docs)
+    return x.select("doc_id", *(F.col(c).alias(n) for n, c in names.items() if n != "n_lines"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +46,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines before, lines removed, and the SHA-256 of what stays."""
+    x, names = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.col(names["n_lines"]).alias("n_lines"), F.col(names["n_removed"]).alias("n_removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     placed = materialize(shards.scatter(docs).select("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket", "at"))
@@ -60,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op6_jaccard_join, op7_token_counts, op9_shuffled_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
