@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, jaccard, line_dedup, quality, shards, token_counts
+from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, token_counts, toxicity
 from .common import load, materialize
 
 
@@ -36,6 +36,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *(F.col(c).alias(n) for n, c in names.items() if n != "n_lines"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = lambda c: F.col(f"found.{c}")
+    return x.select("doc_id", f("n_lines").alias("n_lines"), f("n_license_lines").alias("n_license_lines"), F.array_join(f("licenses"), ",").alias("licenses"), f("best.template").alias("best_template"), F.round(f("best.dice"), 6).alias("best_dice"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,8 +85,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": licenses.scan_sql()}
