@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, token_counts, toxicity
+from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
 from .common import load, materialize
 
 
@@ -43,6 +43,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, names = suffix_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col(names["removed"])
+    return x.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate(removed, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
+        F.size(removed).cast("long").alias("n_spans"),
+        F.sha2(names["kept"], 256).alias("kept_sha256"),
+    )
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     f = lambda c: F.col(f"found.{c}")
@@ -85,7 +97,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
