@@ -82,7 +82,7 @@ _RE2 = {
 CANDIDATES = BLOCKS + rf""",
 glossed as (select *, {_gloss("source_text")} as g from blocks),
 withprev as (select *, list(g) over (partition by doc_id order by pos rows between 2 preceding and 1 preceding) as previous from glossed),
-cand as (select doc_id, lang, pos, source_text, coalesce(previous, []) as previous, unnest([g, source_text, regexp_replace(g, '^\S+\s*', ''), upper(g)]) as text, generate_subscripts([1,2,3,4], 1) - 1 as candidate_id from withprev)"""
+cand as (select doc_id, lang, pos, source_text, coalesce(previous, []) as previous, unnest([g, source_text, regexp_replace(g, '^\S+\s*', ''), lower(g)]) as text, generate_subscripts([1,2,3,4], 1) - 1 as candidate_id from withprev)"""
 _W = _words("text")
 
 

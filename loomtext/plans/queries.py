@@ -46,7 +46,7 @@ def _candidates(spark, sf) -> DataFrame:
     g = _rewrite(F.col("source_text"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-2, -1)
     b = b.withColumn("previous", F.collect_list(_rewrite(F.col("source_text"))).over(w))
-    texts = F.array(g, F.col("source_text"), F.regexp_replace(g, r"^\S+\s*", ""), F.upper(g))
+    texts = F.array(g, F.col("source_text"), F.regexp_replace(g, r"^\S+\s*", ""), F.lower(g))
     mask = lambda p: F.struct(F.lit(p).alias("placeholder"))
     return b.select("doc_id", "lang", "pos", "source_text", "previous", F.array(mask("de"), mask("a")).alias("masks"), F.posexplode(texts).alias("candidate_id", "text"))
 
