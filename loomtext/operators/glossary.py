@@ -43,7 +43,12 @@ def hits(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
     n = F.least(F.lit(3), F.length("term"))
     keyed = terms.withColumn("head", F.lower(F.substring(F.col("term"), F.lit(1), n)))
     low = F.lower("source_text")
-    heads = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - k + 1)), lambda i, k=k: F.substring(low, i, F.lit(k))) for k in (1, 2, 3)))))
+
+    def starts(k: int) -> Column:
+        """All substrings of k characters."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - k + 1)), lambda i: F.substring(low, i, F.lit(k)))
+
+    heads = F.array_distinct(F.concat(*map(starts, (1, 2, 3))))
     return blocks.withColumn("head", F.explode(heads)).join(keyed, "head").where(on).drop("head").distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def rate(events: DataFrame, seconds: int = 60, limit: int = 30, late: str | None = None) -> DataFrame:
     """Calls in each fixed window, and whether they pass the limit. On a stream, `late` is the watermark's delay."""
-    x = events.withWatermark("ts", late) if late else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     w = F.window("ts", f"{seconds} seconds")
     return x.groupBy(w).agg(F.count(F.lit(1)).alias("calls")).select(F.col("window.start").alias("window_start"), "calls", (F.col("calls") > limit).alias("over_limit"))
 
