@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
+from .oracles import oracle_sql
 from .common import load, materialize
 
 
@@ -100,5 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.scan_sql()}
+__all__ = ["oracle_sql", "queries"]
