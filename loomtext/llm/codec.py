@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import passes, raw_texts
 
 #: Fragments that a worker remembers; it starts afresh beyond, which changes no result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -31,54 +31,87 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class FragmentCodec:
+def read_vocabulary(path: str) -> tuple[dict, dict[bytes, int], dict[int, bytes], list[bytes]]:
+    """The file's contents, special strings, the other tokens' bytes by id, and the bytes of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
+        raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens that reach into their surroundings aren't supported")
+    alphabet = byte_alphabet()
+    specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+    vocab = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items() if i not in specials.values()}
+    bytes_of = [b""] * (1 + max([*vocab, *specials.values()]))
+    for i, b in [*vocab.items(), *((i, s) for s, i in specials.items())]:
+        bytes_of[i] = b
+    return spec, specials, vocab, bytes_of
+
+
+class Decoder:
+    """Token bytes alone: all that decoding needs."""
+
+    def __init__(self, bytes_of: list[bytes]):
+        self.bytes_of = bytes_of
+
+    def decode(self, ids: list[int] | None) -> str:
+        """As decode(ids, skip_special_tokens=False): ids that the vocabulary lacks are left out, broken UTF-8 is replaced."""
+        table, n = self.bytes_of, len(self.bytes_of)
+        ids = ids or ()
+        if ids and min(ids) >= 0 and max(ids) < n:
+            joined = b"".join(map(table.__getitem__, ids))
+        else:
+            joined = b"".join(table[i] for i in ids if 0 <= i < n)
+        return joined.decode("utf-8", "replace")
+
+
+class FragmentCodec(Decoder):
     """Encodes and decodes as the tokenizers library does with the file at `path` (byte-level BPE, no normalizer)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec["pre_tokenizer"] or {}
-        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
-            raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens that reach into their surroundings aren't supported")
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        alphabet = byte_alphabet()
-        self.specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        vocab = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items() if i not in self.specials.values()}
-        self.bytes_of = [b""] * (1 + max([*vocab, *self.specials.values()]))
-        for i, b in [*vocab.items(), *((i, s) for s, i in self.specials.items())]:
-            self.bytes_of[i] = b
+        spec, self.specials, vocab, bytes_of = read_vocabulary(path)
+        super().__init__(bytes_of)
+        self.path, self._tok = path, None
         self.forced = np.ones(65536, bool)
         for b in vocab.values():
             if len(b) > 1:
                 x = np.frombuffer(b, np.uint8).astype(np.int32)
                 self.forced[(x[:-1] << 8) | x[1:]] = False
-        self.vocab = vocab
-        self.by_rank = self._by_rank(alphabet)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        del spec
+        self.by_rank = self._by_rank(vocab, pairs)
         self.cache: dict[bytes, bytes] = {}
         self._forget()
 
-    def _by_rank(self, alphabet: dict[str, int]):
+    @property
+    def tok(self):
+        """The library's own encoder, loaded where it is needed."""
+        if self._tok is None:
+            from tokenizers import Tokenizer
+
+            self._tok = Tokenizer.from_file(self.path)
+            self._tok.no_truncation()
+            self._tok.no_padding()
+        return self._tok
+
+    @staticmethod
+    def _by_rank(vocab: dict[int, bytes], pairs: list[tuple[str, str]]):
         """A faster merger that joins any two neighbours whose bytes together are a token, lowest id first; None unless proven equal.
 
         It may only differ from the listed merges where two neighbours l, r make up a token t and (l, r) isn't
         listed. Whatever stands around, the merges inside t are then those of t alone, which would end as [l, r].
         So it is equal if ids follow the order of the merges and each token, alone, comes out whole.
         """
+        alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
-        rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(self.pairs)}
-        id_of = {b: i for i, b in self.vocab.items()}
+        rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        id_of = {b: i for i, b in vocab.items()}
         made = [id_of.get(a + b, -1) for a, b in rank]
-        if made != sorted(set(made)) or len(id_of) != len(self.vocab) or any(id_of.get(bytes([x])) is None for x in range(256)):
+        if made != sorted(set(made)) or len(id_of) != len(vocab) or any(id_of.get(bytes([x])) is None for x in range(256)):
             return None
-        for t in self.vocab.values():
+        for t in vocab.values():
             parts = [t[k : k + 1] for k in range(len(t))]
             while len(parts) > 1:
                 best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), len(rank)))
@@ -154,21 +187,17 @@ class FragmentCodec:
         b = np.frombuffer((text or "").encode(), np.uint8)
         return self.encode_flat(b, np.array([0, len(b)], np.int64))[0].tolist()
 
-    def decode(self, ids: list[int] | None) -> str:
-        """As decode(ids, skip_special_tokens=False): ids that the vocabulary lacks are left out, broken UTF-8 is replaced."""
-        table, n = self.bytes_of, len(self.bytes_of)
-        try:
-            joined = b"".join(map(table.__getitem__, ids or ()))
-        except IndexError:
-            joined = b"".join(table[i] for i in ids if 0 <= i < n)
-        return joined.decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> FragmentCodec:
     return FragmentCodec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_vocabulary(path)[3])
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array<int> column `ids`: the tokens of the whole `text` (null and empty text: no tokens).
 
@@ -198,7 +227,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     docs = docs.select(*(docs[f"`{f.name}`"] for f in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = decoder(path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             for i in range(0, len(lists), 256):
