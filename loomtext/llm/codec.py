@@ -198,13 +198,14 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_vocabulary(path)[3])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", checked: str | None = None) -> DataFrame:
     """docs with an array<int> column `ids`: the tokens of the whole `text` (null and empty text: no tokens).
 
-    All other columns stay as they are; a column named like `ids` is replaced. Rows stay where they are (no shuffle).
+    checked: name of a boolean column that says whether the ids decode to the text again, found by the same worker.
+    All other columns stay as they are; columns named like the new ones are replaced. Rows stay where they are (no shuffle).
     """
-    keep = [f for f in docs.schema.fields if f.name.lower() != ids.lower()]
-    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [f for f in docs.schema.fields if f.name.lower() not in (ids.lower(), (checked or ids).lower())]
+    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(checked, T.BooleanType(), False)] if checked else [])])
     docs = docs.select(*(docs[f"`{f.name}`"] for f in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 flat, n = c.encode_flat(b[off[i] : off[j]], off[i : j + 1] - off[i])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[f.name for f in schema])
+                same = []
+                if checked:
+                    at, table = np.concatenate([[0], np.cumsum(n)]), c.bytes_of
+                    raw = b[off[i] : off[j]].tobytes()
+                    for k in range(j - i):
+                        back = b"".join(map(table.__getitem__, flat[at[k] : at[k + 1]].tolist()))
+                        same.append(back == raw[off[i + k] - off[i] : off[i + k + 1] - off[i]])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(same, pa.bool_())] if checked else [])], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 #: Fixed odd multipliers.
 BASE = 0x9E3779B97F4A7C15
@@ -26,7 +26,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) <= n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
