@@ -28,9 +28,9 @@ from .shingles import _power, mix
 
 LENGTH, GRAM = 100, 32
 #: Longer texts are cut into pieces, which overlap so that no string is lost.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Neighbourhoods of one anchor that still go to a bucket; bytes that a bucket holds about.
-CROWD, BUCKET_BYTES = 2_000, 2 << 20
+CROWD, BUCKET_BYTES = 2_000, 512 << 10
 BROADCAST_KEYS = 300_000
 LAST = 2**63 - 1
 
@@ -140,7 +140,7 @@ LATE = T.StructType([*KEY, *RUN])
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, off = raw_texts(batch.column("text"))
-        for i, j in passes(off):
+        for i, j in passes(off, 256 << 10):
             for at in range(0, max(1, off[j] - off[i] - LENGTH + 1), PIECE):  # several pieces only for a long text
                 piece = b[off[i] + at : min(off[j], off[i] + at + PIECE + LENGTH - 1)]
                 bounds = off[i : j + 1] - off[i] if off[j] - off[i] <= PIECE + LENGTH - 1 else np.array([0, len(piece)])
