@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import passes, raw_texts
+from .common import bound_batches, passes, raw_texts
 
 #: Fragments that a worker remembers; it starts afresh beyond, which changes no result.
 CACHE_ENTRIES = 200_000
@@ -204,6 +204,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", che
     checked: name of a boolean column that says whether the ids decode to the text again, found by the same worker.
     All other columns stay as they are; columns named like the new ones are replaced. Rows stay where they are (no shuffle).
     """
+    bound_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name.lower() not in (ids.lower(), (checked or ids).lower())]
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(checked, T.BooleanType(), False)] if checked else [])])
     docs = docs.select(*(docs[f"`{f.name}`"] for f in keep))

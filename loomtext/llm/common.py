@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at once; a longer single text is a pass of its own.
 PASS_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch on its way to a Python worker, at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH where they are higher: batches of whole texts are what fills workers."""
+    for name, most in BATCH.items():
+        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -32,6 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_root(spark)}/loomtext-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -163,13 +163,17 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     use = np.flatnonzero(kind >= 0)
     k, o, hh, p = kind[use], ord_[row[use]], h[row[use]], lo[row[use]] + inside[use]
     order = np.lexsort((p, hh, o, k))
-    late = order[1:][k[order[1:]] == k[order[:-1]]]
-    # a place that two neighbourhoods hold is one place
-    at = np.unique(np.column_stack([o[late], hh[late], p[late], k[late]]), axis=0) if len(late) else np.zeros((0, 4), np.int64)
-    lead = order[np.concatenate([[True], k[order[1:]] != k[order[:-1]]])] if len(order) else order
-    own = set(zip(o[lead].tolist(), hh[lead].tolist(), p[lead].tolist(), k[lead].tolist()))
-    at = at[[tuple(r) not in own for r in at.tolist()]] if len(at) else at
-    return pa.table([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(at[:, 2]), pa.array(at[:, 2])], names=[f.name for f in LATE])
+    k, o, hh, p = k[order], o[order], hh[order], p[order]
+    # a place that two neighbourhoods hold is one place: late is what differs from the first place of its class
+    lead = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)], np.arange(len(k)), 0))
+    late = (o != o[lead]) | (hh != hh[lead]) | (p != p[lead])
+    o, hh, p = o[late], hh[late], p[late]
+    order = np.lexsort((p, hh, o))
+    o, hh, p = o[order], hh[order], p[order]
+    # successive places as runs
+    new = np.concatenate([[True], (o[1:] != o[:-1]) | (hh[1:] != hh[:-1]) | (p[1:] - p[:-1] > 1)])[: len(p)]
+    last = np.concatenate([new[1:], [True]])[: len(p)]
+    return pa.table([pa.array(o[new]), pa.array(hh[new]), pa.array(p[new]), pa.array(p[last])], names=[f.name for f in LATE])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
