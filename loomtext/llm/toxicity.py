@@ -3,7 +3,8 @@
 Words are expressions of characters (a start mark before, an end mark behind). Two models of order ORDER, one
 of toxic and one of ordinary labelled text, take each character after the ones before it. What a class has not
 seen, both take from the same model of order SHARED, made of continuation counts over the word types of the whole
-corpus; so a rare expression weighs the same in both and says nothing. A text's toxic and ordinary
+corpus; so a rare expression weighs the same in both and says nothing. Both are made by joins of gram tables, and
+scoring looks grams up by 64-bit hashes. A text's toxic and ordinary
 log-likelihoods are compared per word: over the whole text and over its strongest expressions. A logistic
 curve, fitted on labelled rows that the counts don't hold, turns these into a score.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +36,6 @@ EVIDENCE = 5
 STRONGEST = (2, 4)
 #: Labelled rows used for fitting, at most, of each class (those with the smallest hashes).
 LABELLED_ROWS = 150_000
-#: Grams of the class models, and of the shared one, that the driver compiles at most: EVIDENCE, or the least number of types, is raised until they fit.
-MODEL_ENTRIES, SHARED_ENTRIES = 500_000, 300_000
 HELD_OUT, FITTED = 2, 3
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FEATURES = 2 + len(STRONGEST)
@@ -119,96 +118,131 @@ def _gram_table(counted: DataFrame, columns: list[str], split) -> DataFrame:
     return counted.mapInArrow(local, schema).groupBy("gram").agg(*(F.sum(c).alias(c) for c in columns))
 
 
-def class_grams(counted: DataFrame, most: int = MODEL_ENTRIES) -> DataFrame:
-    """(gram, a, b, na, ka, nb, kb): toxic and ordinary tokens of a gram; tokens and kinds after its context, in both classes.
+def class_grams(counted: DataFrame) -> DataFrame:
+    """(context, gram, a, b, na, ka, nb, kb): toxic and ordinary tokens of a gram; tokens and kinds after its context, in both classes.
 
-    Only for contexts with EVIDENCE toxic tokens, or more where the table would pass `most` rows.
+    Only for contexts with EVIDENCE toxic tokens, however many there are.
     """
     seen = counted.where("n_toxic + n_plain > 0").select("word", F.col("n_toxic").alias("a"), F.col("n_plain").alias("b"))
     table = materialize(_gram_table(seen, ["a", "b"], grams).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")))
     kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
     context = table.groupBy("context").agg(F.sum("a").alias("na"), kinds("a").alias("ka"), F.sum("b").alias("nb"), kinds("b").alias("kb"))
-    context = materialize(context.where(F.col("na") >= EVIDENCE))
-    size = lambda n: context.where(F.col("na") >= n).agg(F.sum(F.col("ka") + F.col("kb"))).first()[0] or 0
-    least = EVIDENCE
-    while size(least) > most:
-        least *= 2
-    return table.join(context.where(F.col("na") >= least), "context").select("gram", "a", "b", "na", "ka", "nb", "kb")
+    return table.join(context.where(F.col("na") >= EVIDENCE), "context").select("context", "gram", "a", "b", "na", "ka", "nb", "kb")
 
 
-def shared_grams(counted: DataFrame, most: int = SHARED_ENTRIES) -> DataFrame:
-    """(gram, types): in how many word types of the corpus a gram of order SHARED stands; the rarest go beyond `most`."""
+def shared_grams(counted: DataFrame) -> DataFrame:
+    """(gram, types): in how many word types of the corpus a gram of order SHARED stands."""
 
     def split(word: str) -> list[str]:
         w = START * (SHARED - 1) + word + END
         return [w[k : k + SHARED] for k in range(len(w) - SHARED + 1)]
 
-    table = materialize(_gram_table(counted.select("word", F.lit(1).cast("long").alias("types")), ["types"], split))
-    least = 1
-    while table.where(F.col("types") >= least).count() > most:
-        least *= 2
-    return table.where(F.col("types") >= least)
-
-
-class Shared:
-    """Interpolated Kneser-Ney over continuation counts."""
-
-    def __init__(self, rows: list[tuple[str, int]]):
-        self.counts: list[dict[str, int]] = [{} for _ in range(SHARED)]
-        self.counts[-1] = dict(rows)
-        for k in range(SHARED - 1, 0, -1):
-            lower: Counter = Counter()
-            for g in self.counts[k]:
-                lower[g[1:]] += 1
-            self.counts[k - 1] = dict(lower)
-        self.contexts: list[dict[str, list[int]]] = [{} for _ in range(SHARED)]
-        for counts, contexts in zip(self.counts, self.contexts):
-            for g, n in counts.items():
-                c = contexts.setdefault(g[:-1], [0, 0])
-                c[0] += n
-                c[1] += 1
-
-    def __call__(self, gram: str) -> float:
-        g = gram[-SHARED:].rjust(SHARED, START)
-        p = 1 / max(2, len(self.counts[0]))
-        for k in range(SHARED):
-            s = g[SHARED - 1 - k :]
-            if c := self.contexts[k].get(s[:-1]):
-                p = (max(0.0, self.counts[k].get(s, 0) - DISCOUNT) + DISCOUNT * c[1] * p) / c[0]
-        return p
-
-
-def compile_model(rows: list[tuple], shared) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratios toxic : ordinary of seen grams, and of any other character after a seen context (0 after the rest)."""
-    seen, unseen = {}, {}
-    for g, a, b, na, ka, nb, kb in rows:
-        p = shared(g)
-        toxic = (max(0.0, a - DISCOUNT) + DISCOUNT * ka * p) / na
-        plain = (max(0.0, b - DISCOUNT) + DISCOUNT * kb * p) / nb if nb else p
-        seen[g] = math.log(toxic / plain)
-        unseen[g[:-1]] = math.log(DISCOUNT * ka / na) - (math.log(DISCOUNT * kb / nb) if nb else 0.0)
-    return seen, unseen
+    return materialize(_gram_table(counted.select("word", F.lit(1).cast("long").alias("types")), ["types"], split))
+
+
+def shared_model(table: DataFrame) -> DataFrame:
+    """(gram, p) for each gram of shared_grams(): interpolated Kneser-Ney over continuation counts, an order at a time."""
+    levels = [table.select("gram", F.col("types").alias("n"))]
+    for _ in range(SHARED - 1):
+        levels.append(levels[-1].groupBy(F.substring("gram", 2, SHARED).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    p = None
+    for k, level in enumerate(reversed(levels)):
+        after = Window.partitionBy(F.substring("gram", 1, k))  # one context holds at most as many rows as there are characters
+        x = level.withColumns({"total": F.sum("n").over(after), "kinds": F.count(F.lit(1)).over(after)})
+        if p is None:
+            x = x.withColumn("lower", 1 / F.greatest(F.lit(2), F.col("kinds")))
+        else:
+            x = x.withColumn("rest", F.substring("gram", 2, SHARED)).join(p.select(F.col("gram").alias("rest"), F.col("p").alias("lower")), "rest")
+        p = x.select("gram", ((F.greatest(F.lit(0.0), F.col("n") - DISCOUNT) + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("total")).alias("p"))
+    return p
+
+
+def compiled(table: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log ratios toxic : ordinary of seen grams (gram, ratio), and of any other character after a seen context (gram: the context)."""
+    c = F.col
+    x = table.withColumn("end", F.lpad(F.right("gram", F.lit(SHARED)), SHARED, START)).join(lower.select(c("gram").alias("end"), "p"), "end")
+    toxic = (F.greatest(F.lit(0.0), c("a") - DISCOUNT) + DISCOUNT * c("ka") * c("p")) / c("na")
+    plain = F.when(c("nb") > 0, (F.greatest(F.lit(0.0), c("b") - DISCOUNT) + DISCOUNT * c("kb") * c("p")) / c("nb")).otherwise(c("p"))
+    unseen = F.log(DISCOUNT * c("ka") / c("na")) - F.when(c("nb") > 0, F.log(DISCOUNT * c("kb") / c("nb"))).otherwise(0.0)
+    after = table.groupBy("context").agg(F.first(unseen).alias("ratio"))
+    return x.select("gram", F.log(toxic / plain).alias("ratio")), after.select(c("context").alias("gram"), "ratio")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+#: Odd multipliers of a gram's characters, from its last one.
+PLACES = _mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def suffix_hashes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of all strings: 64-bit hashes of the up to ORDER - 1, and the up to ORDER, characters of its string that end there; where strings start."""
+    codes = _mixed(np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.uint64))
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    start = np.cumsum(size) - size
+    place = np.arange(len(codes)) - np.repeat(start, size)
+    h = codes * PLACES[0]
+    for j in range(1, ORDER):
+        short = h
+        h = h.copy()
+        h[j:] += np.where(place[j:] >= j, codes[:-j] * PLACES[j], np.uint64(0))
+    return short, h, start
+
+
+def packed(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending 64-bit hashes of grams and their ratios: 12 bytes each, where the grams in a dict would take over 100."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("gram").to_pylist()
+            _, h, start = suffix_hashes(g)
+            last = h[start + np.fromiter(map(len, g), np.int64, len(g)) - 1] if g else h
+            yield pa.RecordBatch.from_arrays([pa.array(last.view(np.int64)), batch.column("ratio").cast(pa.float32())], names=["h", "ratio"])
+
+    t = ratios.mapInArrow(run, "h long, ratio float").toArrow()
+    h, v = t.column("h").to_numpy().view(np.uint64), t.column("ratio").to_numpy()
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of hashes (0 where there is none), and which are there."""
+    if not len(keys):
+        return np.zeros(len(h)), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    there = keys[at] == h
+    return np.where(there, values[at], 0.0), there
 
 
 class Scorer:
-    def __init__(self, seen: dict[str, float], unseen: dict[str, float]):
+    def __init__(self, seen: tuple[np.ndarray, np.ndarray], unseen: tuple[np.ndarray, np.ndarray]):
         self.seen, self.unseen = seen, unseen
         self.cache: dict[str, float] = {}
 
-    def word(self, w: str) -> float:
-        s = self.seen
-        return sum(s[g] if g in s else self.unseen.get(g[:-1], 0.0) for g in grams(w))
-
-    def features(self, text: str | None) -> list[float]:
-        """Mean log ratio per word; means of the strongest ones; logarithm of the length."""
-        found = words(text or "")
-        kinds = Counter(found)
+    def ratios(self, some: list[str]) -> list[float]:
+        """Each word's sum over its grams: the ratio of the gram, else that of its context, else 0."""
+        short, h, start = suffix_hashes([f"{START}{w}{END}" for w in some])
+        value, there = _looked_up(*self.seen, h[1:])
+        rest = np.flatnonzero(~there)
+        value[rest] = _looked_up(*self.unseen, short[:-1][rest])[0]
+        value = np.append(0.0, value)
+        value[start] = 0.0  # start marks
+        return np.add.reduceat(value, start).tolist()
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Keep the ratios of all these words."""
         if len(self.cache) > 400_000:
             self.cache.clear()
+        if new := [w for w in set().union(*found) if w not in self.cache]:
+            self.cache.update(zip(new, self.ratios(new)))
+
+    def features(self, found: list[str]) -> list[float]:
+        """Mean log ratio per (learnt) word; means of the strongest ones; logarithm of the length."""
+        kinds = Counter(found)
         c = self.cache
-        for w in kinds:
-            if w not in c:
-                c[w] = self.word(w)
         most = max(STRONGEST)
         top = heapq.nlargest(most, ((c[w], n) for w, n in kinds.items()))
         strong = [x for x, n in top for _ in range(min(n, most))][:most]
@@ -216,6 +250,15 @@ class Scorer:
         mean = sum(c[w] * n for w, n in kinds.items()) / max(1, len(found))
         return [mean, *(sum(strong[:k]) / k for k in STRONGEST), math.log1p(len(found))]
 
+    def table(self, texts: list[str | None], at_once: int = 64) -> list[list[float]]:
+        """Features of each text."""
+        out = []
+        for k in range(0, len(texts), at_once):
+            found = [words(t or "") for t in texts[k : k + at_once]]
+            self.learn(found)
+            out += [self.features(f) for f in found]
+        return out
+
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
     """Weights (bias first) by Newton's method."""
@@ -233,12 +276,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2
 
 
 class Model:
-    def __init__(self, seen: dict[str, float], unseen: dict[str, float], weights: list[float]):
+    def __init__(self, seen, unseen, weights: list[float]):
         self.scorer, self.weights = Scorer(seen, unseen), weights
 
-    def score(self, text: str | None) -> float:
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.scorer.features(text)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def scores(self, texts: list[str | None]) -> list[float]:
+        z = [self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], f)) for f in self.scorer.table(texts)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z]
 
 
 _models: dict[str, Model] = {}
@@ -254,12 +297,12 @@ def _apply(texts: DataFrame, shared, out: T.StructType, features: bool) -> DataF
             _models[name] = Model(*shared.value[1:])
         m = _models[name]
         for batch in batches:
-            t = batch.column(batch.num_columns - 1)
+            t = batch.column(batch.num_columns - 1).to_pylist()
             if features:
-                f = [m.scorer.features(x.as_py()) for x in t]
+                f = m.scorer.table(t)
                 new = [pa.array([x[k] for x in f], pa.float64()) for k in range(FEATURES)]
             else:
-                new = [pa.array([m.score(x.as_py()) for x in t], pa.float64())]
+                new = [pa.array(m.scores(t), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[f.name for f in out])
 
     return texts.mapInArrow(run, out)
@@ -277,9 +320,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     joined = docs.select(col(key).alias("key"), col(text).alias("text")).join(known, F.col("key") == F.col("k2"), "left")
     counting = F.when(fold(F.col("key")) != FITTED, F.col("toxic"))
     counted = materialize(word_counts(joined.select("text", counting.alias("toxic"))))
-    lower = Shared([tuple(r.values()) for r in shared_grams(counted).toArrow().to_pylist()])
-    seen, unseen = compile_model([tuple(r.values()) for r in class_grams(counted).toArrow().to_pylist()], lower)
-    del lower
+    table = materialize(class_grams(counted))
+    seen, unseen = map(packed, compiled(table, shared_model(shared_grams(counted))))
     discard(counted)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, seen, unseen, [0.0] * (1 + FEATURES)))
     schema = T.StructType([T.StructField("toxic", T.IntegerType()), *(T.StructField(f"x{k}", T.DoubleType()) for k in range(FEATURES))])

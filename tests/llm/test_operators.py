@@ -118,6 +118,56 @@ def test_toxicity(spark):
     assert got[9000] == got[9001] and got[None] >= 0.3
 
 
+def test_toxicity_models_whole(spark):
+    """Beyond 500,000 grams, contexts with EVIDENCE toxic tokens all count; ratios are those of a dict-based model."""
+    rnd = random.Random(2)
+    named = sorted({"".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé", k=10)) for _ in range(90_000)})
+    data = [(w, 20, 5 if k % 10 else 0, k % 3) for k, w in enumerate(named)] + [("ü😀", 1, 0, 1), ("zorg", 5, 5, 0), ("only", 9, 0, 0)]
+    counted = spark.createDataFrame(data, "word string, n_all long, n_toxic long, n_plain long").repartition(4).cache()
+    toxicity.materialize(counted)
+    a, b, after, types = Counter(), Counter(), defaultdict(set), Counter()
+    for w, _, x, y in data:
+        for g in toxicity.grams(w) if x + y else []:
+            a[g] += x
+            b[g] += y
+            after[g[:-1]].add(g)
+        v = "\x02\x02\x02" + w + "\x03"
+        types.update(v[k : k + 4] for k in range(len(v) - 3))
+    orders = [types]
+    for _ in range(3):
+        orders.insert(0, Counter(g[1:] for g in orders[0]))
+    spread = [defaultdict(list) for _ in orders]
+    for o, c in zip(orders, spread):
+        for g, n in o.items():
+            c[g[:-1]].append(n)
+
+    def lower(g):
+        g, p = g[-4:].rjust(4, "\x02"), 1 / len(orders[0])
+        for k, (o, c) in enumerate(zip(orders, spread)):
+            s = g[3 - k :]
+            p = (max(0, o[s] - 0.75) + 0.75 * len(c[s[:-1]]) * p) / sum(c[s[:-1]])
+        return p
+
+    def ratio(g):
+        gs = after.get(g[:-1], ())
+        na, nb = sum(a[x] for x in gs), sum(b[x] for x in gs)
+        if na < toxicity.EVIDENCE:
+            return 0.0
+        ka, kb = sum(a[x] > 0 for x in gs), sum(b[x] > 0 for x in gs)
+        if g not in gs:
+            return np.log(0.75 * ka / na) - (np.log(0.75 * kb / nb) if nb else 0)
+        p = lower(g)
+        plain = (max(0, b[g] - 0.75) + 0.75 * kb * p) / nb if nb else p
+        return np.log((max(0, a[g] - 0.75) + 0.75 * ka * p) / na / plain)
+
+    want = sum(len(gs) for gs in after.values() if sum(a[g] for g in gs) >= toxicity.EVIDENCE)
+    table = toxicity.materialize(toxicity.class_grams(counted))
+    assert want > 500_000 and table.count() == want
+    scorer = toxicity.Scorer(*map(toxicity.packed, toxicity.compiled(table, toxicity.shared_model(toxicity.shared_grams(counted)))))
+    some = named[::3000] + ["zorg", "zorx", "ü😀", "only", "中文", named[0] + named[1]]
+    assert np.allclose(scorer.ratios(some), [sum(map(ratio, toxicity.grams(w))) for w in some], atol=1e-5)
+
+
 def test_suffix_array():
     rnd = random.Random(1)
     for n in [*range(30), 400, 3001]:
