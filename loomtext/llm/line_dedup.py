@@ -1,6 +1,9 @@
-"""Removal of repeated passages of lines, found as content-defined chunks.
+"""Removal of repeated passages of lines, found whole or as content-defined chunks.
 
-A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends there, so boundaries
+Whole: every two lines in a row (blank ones between them aside) and every line of over LONG_LINE words are compared, so
+a passage that repeats goes from its first line to its last, wherever it stands. The queries take this way.
+
+Chunks: a rolling hash over the hashes of two neighbouring lines decides whether a chunk ends there, so boundaries
 depend on nearby lines alone and a passage is cut alike wherever it stands. Chunks of several lines whose
 digests occur more than once are fetched and compared byte by byte; all but the first occurrence go.
 """
@@ -20,6 +23,8 @@ from .common import col, fresh, materialize
 
 #: A chunk ends after a line with a chance of one in so many.
 DIVISOR = 3
+#: A line with more words than this is a passage by itself.
+LONG_LINE = 50
 #: Documents whose keys are broadcast to the second pass; more of them are joined by a shuffle.
 BROADCAST_DOCS = 300_000
 
@@ -44,14 +49,38 @@ def removable(chunk: list[str]) -> bool:
     return sum(1 for x in chunk if x and not x.isspace()) > 1
 
 
+def chunk_units(text: str) -> dict[int, tuple[int, int, str]]:
+    """{number: (first line, line after the last, body)} of the chunks that can go."""
+    out, at = {}, 0
+    for k, c in enumerate(chunks(text) if "\n" in text else []):
+        if removable(c):
+            out[k] = at, at + len(c), "\n".join(c)
+        at += len(c)
+    return out
+
+
+def passage_units(text: str) -> dict[int, tuple[int, int, str]]:
+    """The same of all pairs of lines in a row (2 * line) and all long lines (2 * line + 1).
+
+    A text of one line is only looked up: copies of whole texts are for the near duplicates' operator.
+    """
+    lines = text.split("\n")
+    full = [k for k, x in enumerate(lines) if x and not x.isspace()]
+    out = {2 * i: (i, j + 1, f"{lines[i]}\n{lines[j]}") for i, j in zip(full, full[1:])}
+    for i in full:
+        if len(lines[i].split()) > LONG_LINE:
+            out[2 * i + 1] = i, i + (len(lines) > 1), lines[i]
+    return out
+
+
 def _row_key(text: str):
     return F.xxhash64(col(text), F.octet_length(col(text)))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest of the row's text, drop: numbers of the chunks to remove) for rows that lose some.
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chunk_units) -> DataFrame:
+    """(key, digest of the row's text, drop: numbers of the units to remove) for rows that lose some.
 
-    The first occurrence is that of the smallest key (null last), then digest, then chunk number; it stays. Rows equal
+    The first occurrence is that of the smallest key (null last), then digest, then number; it stays. Rows equal
     in key and text count as one document.
     """
     slim = docs.select(col(key).alias("key"), _row_key(text).alias("digest"), col(text).alias("text")).where("text is not null")
@@ -61,12 +90,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         for batch in batches:
             row, no, chunk = [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                if "\n" in t:
-                    for k, c in enumerate(chunks(t)):
-                        if removable(c):
-                            row.append(i)
-                            no.append(k)
-                            chunk.append(hashlib.blake2b("\n".join(c).encode(), digest_size=16).digest())
+                for k, (_, _, body) in units(t).items():
+                    row.append(i)
+                    no.append(k)
+                    chunk.append(hashlib.blake2b(body.encode(), digest_size=16).digest())
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(chunk, pa.binary())], names=["key", "digest", "no", "chunk"])
 
@@ -82,11 +109,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         for batch in batches:
             row, no, body = [], [], []
             for i, (t, nos) in enumerate(zip(batch.column("text").to_pylist(), batch.column("nos").to_pylist())):
-                cut = chunks(t)
+                cut = units(t)
                 for k in nos:
                     row.append(i)
                     no.append(k)
-                    body.append("\n".join(cut[k]))
+                    body.append(cut[k][2])
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(body, pa.string())], names=["key", "digest", "no", "body"])
 
@@ -97,9 +124,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return later.groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """docs whose `text` lacks its repeated chunks; {n_lines, n_removed (lines): column}. Null texts stay null; rows are never dropped."""
-    gone = materialize(repeated(docs, key, text))
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """docs whose `text` lacks its repeated passages (whole) or chunks; {n_lines, n_removed (lines): column}.
+
+    Null texts stay null; rows are never dropped. The first occurrence of any line stays.
+    """
+    units = passage_units if whole else chunk_units
+    gone = materialize(repeated(docs, key, text, units))
     drop, k2, d2, n_lines, n_removed = fresh(docs, "drop", "k2", "d2", "n_lines", "n_removed")
     lists = gone.select(F.col("key").alias(k2), F.col("digest").alias(d2), F.col("drop").alias(drop))
     lists = F.broadcast(lists) if gone.count() <= BROADCAST_DOCS else lists
@@ -113,9 +144,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
             for i, (t, nos) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist())):
                 lines.append(0 if t is None else t.count("\n") + 1)
                 if nos:
-                    cut, out = chunks(t), set(nos)
-                    texts[i] = "\n".join(x for k, c in enumerate(cut) if k not in out for x in c)
-                    removed.append(sum(len(cut[k]) for k in out))
+                    cut = units(t)
+                    out = {x for k in nos for x in range(*cut[k][:2])}
+                    texts[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
+                    removed.append(len(out))
                 else:
                     removed.append(0)
             columns = [*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]

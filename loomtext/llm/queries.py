@@ -74,7 +74,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines before, lines removed, and the SHA-256 of what stays."""
-    x, names = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    x, names = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return x.select("doc_id", F.col(names["n_lines"]).alias("n_lines"), F.col(names["n_removed"]).alias("n_removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

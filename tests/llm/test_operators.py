@@ -268,6 +268,42 @@ def test_line_dedup(docs):
     assert "\n".join(x for c in line_dedup.chunks("a\n\nb\nc\n") for x in c) == "a\n\nb\nc\n"
 
 
+def test_line_dedup_whole_passages(spark, docs):
+    """Against a brute-force search for repeated runs of two lines and repeated lines of over 50 words."""
+    rnd = random.Random(4)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [[line(30) for _ in range(n)] for n in (2, 2, 3, 3, 5)] + [[line(60)], [line(51)], [line(50)]]
+    texts = [line(80), line(70)]
+    for k in range(60):
+        parts = [x for p in (shared[k % 8], shared[(k * 3 + 1) % 8]) for x in ([line(8)] + p + [line(9)])]
+        texts.append(("\n\n" if k % 5 == 0 else "\n").join(parts))
+    texts += ["x\n" + texts[0], texts[1], "a\n" * 5, "\n \n\n"]
+    d = spark.createDataFrame([*enumerate(texts), (None, texts[3])], "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id <> 3").withColumn("doc_id", docs.doc_id + 1000)).repartition(3).cache()
+    x, names = line_dedup.dedup(d, whole=True)
+    got = {(r["doc_id"], r["text"], r[names["n_removed"]]) for r in x.collect()}
+    seen, want, one, two = set(), set(), 0, 0
+    for k, t in sorted({tuple(r) for r in d.collect()}, key=lambda r: (r[0] is None, r[0] or 0)):
+        if t is None:
+            want.add((k, None, 0))
+            continue
+        lines = t.split("\n")
+        full = [i for i, v in enumerate(lines) if v.strip()]
+        gone = set()
+        for i, j in zip(full, full[1:]):
+            if (lines[i], lines[j]) in seen:
+                gone |= set(range(i, j + 1))
+                two += 1
+            seen.add((lines[i], lines[j]))
+        for i in full:
+            if len(lines[i].split()) > 50:
+                if lines[i] in seen and len(lines) > 1:
+                    gone.add(i)
+                    one += 1
+                seen.add(lines[i])
+        want.add((k, "\n".join(v for i, v in enumerate(lines) if i not in gone), len(gone)))
+    assert got == want and one > 20 and two > 50
+
+
 def test_shards(docs):
     got = collected(shards.slots(shards.scatter(docs.drop("size", "place"), bucket_bytes=2000)))
     assert len(got) == docs.count()
