@@ -40,16 +40,18 @@ def hits(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
     on = matches(F.col("source_text"), F.col("term"), F.col("case_sensitive"))
     if glossary.count() <= BROADCAST_TERMS:
         return blocks.join(F.broadcast(terms), on)
-    n = F.least(F.lit(3), F.length("term"))
-    keyed = terms.withColumn("head", F.lower(F.substring(F.col("term"), F.lit(1), n)))
-    low = F.lower("source_text")
-
-    def starts(k: int) -> Column:
-        """All substrings of k characters."""
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - k + 1)), lambda i: F.substring(low, i, F.lit(k)))
-
-    heads = F.array_distinct(F.concat(*map(starts, (1, 2, 3))))
-    return blocks.withColumn("head", F.explode(heads)).join(keyed, "head").where(on).drop("head").distinct()
+    exact = F.coalesce("case_sensitive", F.lit(False))
+    compared = F.when(exact, F.col("term")).otherwise(F.lower("term"))
+    keyed = terms.withColumn("head", F.concat(F.when(exact, "=").otherwise("~"), F.substring(compared, 1, 3)))
+
+    def starts(text: Column, mark: str) -> Column:
+        """All substrings of at most three characters, the empty one too, behind the mark."""
+        of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - k + 1)), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(k))))
+        return F.concat(F.array(F.lit(mark)), of(1), of(2), of(3))
+
+    # a term has one head and a block each head once, so every pair comes out once
+    heads = F.array_distinct(F.concat(starts(F.lower("source_text"), "~"), starts(F.col("source_text"), "=")))
+    return blocks.withColumn("head", F.explode(heads)).join(keyed, "head").where(on).drop("head")
 
 
 def adherence(pairs: DataFrame, glossary: DataFrame, by: list[str]) -> DataFrame:

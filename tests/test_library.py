@@ -110,6 +110,15 @@ def test_glossary(spark, tmp_path):
     assert {(r["source"], r["target"], r["domain"]) for r in src.read_glossary(spark, str(tmp_path / "g")).collect()} == {("a", "b", "ml"), ("c", "d", "ml"), ("x", "y", "cs")}
 
 
+def test_glossary_paths_agree(spark, monkeypatch):
+    """Repeated rows, empty terms, and terms that change in lower case: alike on both sides of the limit."""
+    b = spark.createDataFrame([(1, "the İstanbul and ΑΣΑ"), (1, "the İstanbul and ΑΣΑ"), (2, ""), (3, None), (4, "of THE ab")], "doc_id int, source_text string")
+    g = spark.createDataFrame([(1, "İstanbul", "x", False), (2, "", "y", False), (3, "the", "z", None), (3, "the", "z", None), (4, "ΑΣ", "s", True), (5, "THE", "t", True), (6, "İ", "i", False), (7, None, "n", False), (8, "", "e", True)], "term_id int, source string, target string, case_sensitive boolean")
+    small = sorted(map(str, glossary.hits(b, g).collect()))
+    monkeypatch.setattr(glossary, "BROADCAST_TERMS", 1)
+    assert sorted(map(str, glossary.hits(b, g).collect())) == small and len(small) == 2 * 7 + 2 + 5
+
+
 def test_glossary_beyond_broadcast(spark, monkeypatch):
     b = queries._blocks(spark, SF).limit(200).cache()
     g = glossary.demo(spark)
