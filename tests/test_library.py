@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -110,6 +111,22 @@ def test_glossary(spark, tmp_path):
     assert {(r["source"], r["target"], r["domain"]) for r in src.read_glossary(spark, str(tmp_path / "g")).collect()} == {("a", "b", "ml"), ("c", "d", "ml"), ("x", "y", "cs")}
 
 
+def test_mask_counts_all_types(spark, monkeypatch):
+    """Types outside PORTABLE against Python's re, on a fixture that holds each of them."""
+    texts = [
+        "\\begin{align*}\na &= b\n\\end{align*} and \\begin{table}x\\end{figure}", "\\newcommand{\\R}{x} \\newcommand{\\S} [1] {y} \\providecommand{\\Q}{z}",
+        "\\DeclareMathOperator*{\\argmax}{arg} \\alpha \\alphabet \\sum_", "```py\nx = 1\n``` Fig. 2 on page 12", "Table 3.1 a, figure 4; pp. 3-9 and p. 7",
+        "see page 4, voir page suivante, cf. p. 9", "Section IV.2, chapter 3, Ch. X", "Intro .... 12\nEnd .. 3 x\nLast ... 4", "nothing here",
+    ]
+    b = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, source_text string")
+    monkeypatch.setattr(queries, "_noted", lambda spark, sf: b)
+    got = {r["mask_type"]: r["n"] for r in queries.queries()["mask_counts_all_types"](spark, "").collect()}
+    assert set(got) == {n for n, _, _ in masking.PATTERNS}
+    for name, _, p in masking.PATTERNS:
+        if name not in queries.PORTABLE:
+            assert got[name] == sum(1 for t in texts for _ in re.finditer(p, t)) > 0, name
+
+
 def test_glossary_paths_agree(spark, monkeypatch):
     """Repeated rows, empty terms, and terms that change in lower case: alike on both sides of the limit."""
     b = spark.createDataFrame([(1, "the İstanbul and ΑΣΑ"), (1, "the İstanbul and ΑΣΑ"), (2, ""), (3, None), (4, "of THE ab")], "doc_id int, source_text string")
