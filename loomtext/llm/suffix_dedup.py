@@ -1,25 +1,28 @@
-"""Removal of repeated byte strings by difference-cover suffix sorting.
-
-Sorting all suffixes of a corpus isn't needed to find strings of 100 bytes that stand in two places. Each such
-string holds an anchor, its least 32-byte gram by hash, and equal strings hold it at the same place. So:
-
-1. Texts equal to an earlier one are gone as a whole. Every other text lists its anchors, each with the run of
-   strings that it is the anchor of; anchors that occur once drop out.
-2. Of occurrences of an anchor with the same neighbourhood (all bytes of its run of strings) only the first is not late.
-3. Where an anchor has several neighbourhoods, these are brought together in buckets, and a difference-cover (modulo 3)
-   suffix sort runs over each bucket: sampled triples are sorted and named, the names sorted recursively, the other
-   suffixes merged in; then neighbours in the order are compared over 100 bytes. An anchor with very
-   many neighbourhoods would fill a bucket alone: its strings are grouped one by one, by digest, over all tasks.
+"""Removal of repeated byte strings by a distributed difference-cover sort.
+
+1. Candidates. Every string of LENGTH bytes holds an anchor, its least GRAM-byte gram by hash, and equal strings hold it at the
+   same place. Texts list their anchors, each with the run of strings that it is the anchor of; anchors that occur once
+   drop out. Runs whose bytes all agree by hash are collapsed into the first of them, the claim is checked byte by byte
+   against that first one, and runs that fail it go through the sort like the rest. Hashes never remove anything by themselves.
+2. Sampled triples. What is left are pieces of text around anchors that have several neighbourhoods. Blocks of BLOCK bytes
+   are counted from the anchor, so equal strings are cut alike. Triples of blocks at places 1 and 2 modulo 3 are sorted over
+   all tasks (range partitions of distinct triples, so a hot one counts once) and named by their place in that order.
+3. Recursion. The names are strings themselves, nine blocks to a triple of them; as that reaches to within a string's length,
+   the recursion ends there: triples of names are sorted and named in the same way.
+4. Remaining suffixes. Each string starts with up to two blocks' bytes before the next sampled place and has the name of
+   the nine blocks from there; that and the few bytes on both sides are its sort key. All strings are sorted over all tasks,
+   equal ones by place, and neighbours in that order are compared. All but the first of equal ones are late.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +30,17 @@ from .common import col, discard, fresh, materialize, passes, raw_texts
 from .shingles import _power, mix
 
 LENGTH, GRAM = 100, 32
+#: Bytes of a block: nine of them and the two at most before a sampled place fit into a string.
+BLOCK = 9
+#: Ranges of the anchor's place in a string: strings of one range share a core, and only cores that repeat are sorted.
+RANGES = (0, 17, 34, 51, LENGTH - GRAM + 1)
 #: Longer texts are cut into pieces, which overlap so that no string is lost.
 PIECE = 1 << 20
-#: Neighbourhoods of one anchor that still go to a bucket; bytes that a bucket holds about.
-CROWD, BUCKET_BYTES = 2_000, 512 << 10
-BROADCAST_KEYS = 300_000
+#: Bytes of a first run that are checked together.
+CELL = 256
 LAST = 2**63 - 1
+#: Keys of copies are broadcast up to so many bytes (48 a key); more of them are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def anchors(b: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -69,72 +77,15 @@ def anchors(b: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     return t[first], h[q], q, lo, hi, around
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence of positive integers, by the difference cover {1, 2} modulo 3."""
-    n = len(s)
-    if n < 4:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    x = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    order = np.lexsort((x[sample + 2], x[sample + 1], x[sample]))  # sampled triples
-    y = sample[order]
-    differ = np.concatenate([[True], (x[y[1:]] != x[y[:-1]]) | (x[y[1:] + 1] != x[y[:-1] + 1]) | (x[y[1:] + 2] != x[y[:-1] + 2])])
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(differ)
-    if names.max(initial=0) < len(sample):  # equal triples: the order of the names' suffixes decides
-        order = suffix_array(names)
-        names[order] = np.arange(1, len(sample) + 1)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names
-    big = np.int64(len(sample) + 2)
-    rest = np.arange(0, n, 3)
-    rest_key = x[rest] * big + rank[rest + 1]
-    o = np.argsort(rest_key, kind="stable")
-    rest, rest_key = rest[o], rest_key[o]
-    # merge: a sampled suffix is compared by one or two symbols and the rank of a sampled suffix behind them
-    ones, twos = (p[p < n] for p in (ones, twos))
-    ones, twos = ones[np.argsort(rank[ones])], twos[np.argsort(rank[twos])]
-    one_key = x[ones] * big + rank[ones + 1]
-    top = np.int64(x.max() + 1)
-    _, lead = np.unique(np.concatenate([x[twos] * top + x[twos + 1], x[rest] * top + x[rest + 1]]), return_inverse=True)
-    two_key, rest_two = lead[: len(twos)] * big + rank[twos + 2], lead[len(twos) :] * big + rank[rest + 2]
-    place = np.empty(n, np.int64)
-    place[rest] = np.arange(len(rest)) + np.searchsorted(one_key, rest_key) + np.searchsorted(two_key, rest_two)
-    both = np.concatenate([ones, twos])
-    less = np.concatenate([np.searchsorted(rest_key, one_key), np.searchsorted(rest_two, two_key)])
-    among = np.empty(len(both), np.int64)
-    among[np.argsort(rank[both])] = np.arange(len(both))
-    place[both] = among + less
-    out = np.empty(n, np.int64)
-    out[place] = np.arange(n)
-    return out
+def _sub(body: str, start: Column, length: Column) -> Column:
+    return F.substring(body, start.cast("int"), length.cast("int"))
 
 
-def late_strings(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """Class of each start in the joined parts (-1: no string of `length` fits into its part): equal strings share their class."""
-    joined = np.concatenate([np.concatenate([np.frombuffer(p, np.uint8).astype(np.int32) + 2, np.ones(1, np.int32)]) for p in parts])
-    sizes = np.array([len(p) + 1 for p in parts])
-    end = np.repeat(np.cumsum(sizes) - 1, sizes)
-    fits = np.arange(len(joined)) + length <= end
-    order = suffix_array(joined)
-    order = order[fits[order]]
-    same = np.zeros(max(0, len(order) - 1), bool)
-    windows = np.lib.stride_tricks.sliding_window_view(joined, length) if len(joined) >= length else None
-    for k in range(0, len(same), 20_000):
-        a, b = order[k : k + 20_001][:-1], order[k + 1 : k + 20_001]
-        m = min(len(a), len(b))
-        same[k : k + m] = (windows[a[:m]] == windows[b[:m]]).all(axis=1)
-    out = np.full(len(joined), -1, np.int64)
-    if len(order):
-        out[order] = np.concatenate([[0], np.cumsum(~same)])
-    return out
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
 
 
-KEY = [T.StructField("ord", T.LongType()), T.StructField("h", T.LongType())]
-RUN = [T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]
-ANCHOR = T.StructType([*KEY, T.StructField("gram", T.LongType()), T.StructField("around", T.LongType()), *RUN])
-LATE = T.StructType([*KEY, *RUN])
+ANCHOR = T.StructType(_longs("ord", "h", "gram", "around", "lo", "hi", "q"))
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,89 +95,181 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for at in range(0, max(1, off[j] - off[i] - LENGTH + 1), PIECE):  # several pieces only for a long text
                 piece = b[off[i] + at : min(off[j], off[i] + at + PIECE + LENGTH - 1)]
                 bounds = off[i : j + 1] - off[i] if off[j] - off[i] <= PIECE + LENGTH - 1 else np.array([0, len(piece)])
-                t, g, _, lo, hi, around = anchors(piece, bounds)
-                rows = pa.array(t + i)
-                base = bounds[t] - at
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ord").take(rows), batch.column("h").take(rows), pa.array(g.view(np.int64)), pa.array(around.view(np.int64)), pa.array(lo - base), pa.array(hi - base)], names=[f.name for f in ANCHOR]
-                )
-
-
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Late starts among the neighbourhoods of a bucket: all but the first of each class of equal strings."""
-    parts = table.column("bytes").to_pylist()
-    kind = late_strings(parts)
-    sizes = np.array([len(p) + 1 for p in parts])
-    row = np.repeat(np.arange(len(parts)), sizes)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ord_, h, lo = (table.column(c).to_numpy() for c in ("ord", "h", "lo"))
-    use = np.flatnonzero(kind >= 0)
-    k, o, hh, p = kind[use], ord_[row[use]], h[row[use]], lo[row[use]] + inside[use]
-    order = np.lexsort((p, hh, o, k))
-    k, o, hh, p = k[order], o[order], hh[order], p[order]
-    # a place that two neighbourhoods hold is one place: late is what differs from the first place of its class
-    lead = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)], np.arange(len(k)), 0))
-    late = (o != o[lead]) | (hh != hh[lead]) | (p != p[lead])
-    o, hh, p = o[late], hh[late], p[late]
-    order = np.lexsort((p, hh, o))
-    o, hh, p = o[order], hh[order], p[order]
-    # successive places as runs
-    new = np.concatenate([[True], (o[1:] != o[:-1]) | (hh[1:] != hh[:-1]) | (p[1:] - p[:-1] > 1)])[: len(p)]
-    last = np.concatenate([new[1:], [True]])[: len(p)]
-    return pa.table([pa.array(o[new]), pa.array(hh[new]), pa.array(p[new]), pa.array(p[last])], names=[f.name for f in LATE])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, digest, at = [], [], []
-        for i, (x, lo) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("lo").to_pylist())):
-            for k in range(len(x) - LENGTH + 1):
-                row.append(i)
-                digest.append(hashlib.blake2b(x[k : k + LENGTH], digest_size=16).digest())
-                at.append(lo + k)
-        r = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("ord").take(r), batch.column("h").take(r), pa.array(digest, pa.binary()), pa.array(at, pa.int64())], names=["ord", "h", "digest", "p"])
+                t, g, q, lo, hi, around = anchors(piece, bounds)
+                rows, base = pa.array(t + i), bounds[t] - at
+                yield pa.RecordBatch.from_arrays([batch.column("ord").take(rows), batch.column("h").take(rows), *map(pa.array, (g.view(np.int64), around.view(np.int64), lo - base, hi - base, q - base))], names=[f.name for f in ANCHOR])
+
+
+#: What is wanted of a text: late runs (a: lo, b: hi, c, d: text that holds the first, e: its lo), cells of first runs (a: number), pieces (a: lo, b: hi, c: id, d: anchor).
+LATE, FIRST, PIECES = range(3)
+CUT = T.StructType([T.StructField("kind", T.IntegerType()), *_longs("k1", "k2", "k3", "at", "ord", "h"), T.StructField("body", T.BinaryType())])
+
+
+def _want(kind: int, *values) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), *(F.lit(0).cast("long").alias(n) if v is None else F.col(v).cast("long").alias(n) for n, v in zip("abcde", [*values, *[None] * 5])))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, off = raw_texts(batch.column("text"))
-        row, body, lows, grams = [], [], [], []
-        for i, runs in enumerate(batch.column("runs").to_pylist()):
-            for r in runs:
-                row.append(i)
-                grams.append(r["gram"])
-                lows.append(r["lo"])
-                body.append(b[off[i] + r["lo"] : off[i] + r["hi"] + LENGTH].tobytes())
-        r = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("ord").take(r), batch.column("h").take(r), pa.array(grams, pa.int64()), pa.array(lows, pa.int64()), pa.array(body, pa.binary())], names=["ord", "h", "gram", "lo", "bytes"])
+        keys, body = [], []
+        for i, (o, h, wants) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("h").to_pylist(), batch.column("wants"))):
+            text = b[off[i] : off[i + 1]].tobytes()
+            w = wants.values.flatten()
+            kind, *x = (c.to_numpy() for c in w)
+            for k in np.flatnonzero(kind == FIRST).tolist():
+                at = int(x[0][k]) * CELL
+                keys.append((FIRST, o, h, int(x[0][k]), 0, o, h))
+                body.append(text[at : at + CELL])
+            for k in np.flatnonzero(kind == PIECES).tolist():
+                keys.append((PIECES, int(x[2][k]), 0, 0, int(x[3][k] - x[0][k]), o, h))
+                body.append(text[x[0][k] : x[1][k] + LENGTH])
+            late = np.flatnonzero(kind == LATE)
+            lo, hi, fo, fh, flo = (v[late] for v in x)
+            order = np.lexsort((lo, flo - lo, fh, fo))
+            lo, hi, fo, fh, flo = (v[order] for v in (lo, hi, fo, fh, flo))
+            # runs that follow each other here and there are one run; it is checked cell by cell of the first text
+            new = np.flatnonzero(np.concatenate([[True], (fo[1:] != fo[:-1]) | (fh[1:] != fh[:-1]) | (flo[1:] - lo[1:] != flo[:-1] - lo[:-1]) | (lo[1:] > hi[:-1] + LENGTH)])[: len(lo)])
+            ends = np.concatenate([new[1:], [len(lo)]]) - 1 if len(new) else new
+            for s, e in zip(new.tolist(), ends.tolist()):
+                start, stop, shift = int(lo[s]), int(hi[s : e + 1].max()) + LENGTH, int(flo[s] - lo[s])
+                for cell in range((start + shift) // CELL, (stop + shift - 1) // CELL + 1):
+                    x0, x1 = max(start, cell * CELL - shift), min(stop, (cell + 1) * CELL - shift)
+                    keys.append((LATE, int(fo[s]), int(fh[s]), cell, x0 + shift - cell * CELL, o, h))
+                    body.append(text[x0:x1])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int32() if c == 0 else pa.int64()) for c in range(7)), pa.array(body, pa.binary())], names=[f.name for f in CUT])
+
+
+def _fetch(texts: DataFrame, wants: DataFrame) -> DataFrame:
+    """What is wanted (ord, h, want) of texts, cut out and written."""
+    lists = wants.groupBy("ord", "h").agg(F.collect_list("want").alias("wants"))
+    return materialize(texts.join(lists, ["ord", "h"]).select("ord", "h", "text", "wants").mapInArrow(_cut_out, CUT))
+
+
+def _named(keys: DataFrame, name: str) -> DataFrame:
+    """Distinct rows of keys with a number that grows in their order: a sort over all tasks."""
+    ordered = keys.distinct().repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns)
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()))
+
+
+def sampled_names(pieces: DataFrame) -> DataFrame:
+    """(id, names: {place: name of the nine blocks from there}) of pieces (id, at: the anchor, body): triples of blocks at places 1 and 2 modulo 3, then triples of their names."""
+    last = F.floor((F.octet_length("body") - F.col("at") - 3 * BLOCK) / BLOCK)
+    places = F.filter(F.sequence(-F.floor(F.col("at") / BLOCK), last), lambda j: F.pmod(j, F.lit(3)) != 0)
+    triples = pieces.where(last >= -F.floor(F.col("at") / BLOCK)).select("id", "at", "body", F.explode(places).alias("j"))
+    triples = triples.select("id", "j", _sub("body", F.col("at") + BLOCK * F.col("j") + 1, F.lit(3 * BLOCK)).alias("bytes"))
+    names = _named(triples.select("bytes"), "name")
+    reduced = triples.join(names, "bytes").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("m"))
+    at = lambda j: F.element_at("m", j)
+    trios = F.filter(F.transform(F.map_keys("m"), lambda j: F.struct(j.alias("j"), at(j).alias("x"), at(j + 3).alias("y"), at(j + 6).alias("z"))), lambda t: t["y"].isNotNull() & t["z"].isNotNull())
+    trios = materialize(reduced.select("id", F.explode(trios).alias("t")).select("id", "t.*"))
+    upper = _named(trios.select("x", "y", "z"), "name")
+    out = materialize(trios.join(upper, ["x", "y", "z"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("names")))
+    for t in (names, trios, upper):
+        discard(t)
+    return out
+
+
+SORTED = T.StructType([T.StructField("edge", T.IntegerType()), T.StructField("task", T.IntegerType()), *_longs("id", "d", "name"), T.StructField("sides", T.BinaryType())])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings equal to the one before in sorted order (edge 0), and each task's first (1) and last (2) string."""
+    task, before = TaskContext.get().partitionId(), None
+    columns = ("name", "sides", "d")
+    out = lambda t, edge: pa.RecordBatch.from_arrays([pa.array(np.full(len(t), edge, np.int32)), pa.array(np.full(len(t), task, np.int32)), *(t.column(c) for c in ("id", "d", "name", "sides"))], names=[f.name for f in SORTED])
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = batch if before is None else pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
+        if before is None:
+            yield out(batch.slice(0, 1), 1)
+        a, b = t.slice(0, len(t) - 1), t.slice(1)
+        same = np.ones(len(a), bool)
+        for c in columns:
+            same &= pc.equal(a.column(c), b.column(c)).to_numpy(zero_copy_only=False)
+        yield out(b.filter(pa.array(same)), 0)
+        before = batch.slice(len(batch) - 1)
+    if before is not None:
+        yield out(before, 2)
+
+
+def late_strings(strings: DataFrame) -> DataFrame:
+    """(id, d) of strings (name, sides, d, id) that are equal to one of a smaller id: a sort over all tasks, then neighbours."""
+    order = ["name", "sides", "d", "id"]
+    found = materialize(strings.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, SORTED))
+    edges = sorted(found.where("edge > 0").collect(), key=lambda r: (r["task"], r["edge"]))  # two rows for each task
+    more = [(y["id"], y["d"]) for x, y in zip(edges, edges[1:]) if x["edge"] == 2 and (x["name"], x["sides"], x["d"]) == (y["name"], y["sides"], y["d"])]
+    late = found.where("edge = 0").select("id", "d")
+    return late.unionByName(found.sparkSession.createDataFrame(more, "id long, d long")) if more else late
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of strings (anchor - d) as runs."""
+    for batch in batches:
+        n = batch.column("ds").value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        p = batch.column("q").to_numpy()[row] - batch.column("ds").flatten().to_numpy()
+        order = np.lexsort((p, row))
+        row, p = row[order], p[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] - p[:-1] > 1)])[: len(p)]
+        last = np.concatenate([new[1:], [True]])[: len(p)]
+        r = pa.array(row[new])
+        yield pa.RecordBatch.from_arrays([batch.column("ord").take(r), batch.column("h").take(r), pa.array(p[new]), pa.array(p[last])], names=["ord", "h", "lo", "hi"])
+
+
+def sorted_out(mixed: DataFrame, cut: DataFrame) -> DataFrame:
+    """(ord, h, lo, hi): late runs among pieces. mixed: id (in order of place), gram, ord, h, lo, hi, q; cut: their bodies."""
+    pieces = cut.where(F.col("kind") == PIECES).select(F.col("k1").alias("id"), "at", "body")
+    most, least = F.col("at"), F.col("at") - (F.octet_length("body") - LENGTH)  # the anchor's places in the piece's strings
+    spans = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(e - 1).alias("e")) for a, e in zip(RANGES, RANGES[1:])))
+    cores = pieces.withColumn("x", F.explode(spans)).where((F.col("x.a") <= most) & (F.col("x.e") >= least))
+    cores = cores.select("id", "x", F.xxhash64("x", _sub("body", F.col("at") - F.col("x.a") + 1, LENGTH + F.col("x.a") - F.col("x.e"))).alias("core"))
+    often = materialize(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    wanted = cores.join(often, "core").groupBy("id").agg(F.collect_set("x").alias("spans"))
+    held = materialize(pieces.join(wanted, "id"))
+    names = sampled_names(held)
+    d = F.col("d")
+    places = F.flatten(F.transform("spans", lambda x: F.sequence(F.greatest(x["a"], least), F.least(x["e"], most))))
+    x = held.join(names, "id").select("id", "at", "body", "names", F.explode(F.transform(places, lambda v: v.cast("long"))).alias("d"))
+    j = -F.floor(d / BLOCK)
+    j = j + F.when(F.pmod(j, F.lit(3)) == 0, 1).otherwise(0)
+    x = x.withColumn("j", j)
+    left = BLOCK * F.col("j") + d
+    sides = F.concat(_sub("body", F.col("at") - d + 1, left), _sub("body", F.col("at") + BLOCK * F.col("j") + 9 * BLOCK + 1, LENGTH - 9 * BLOCK - left))
+    late = late_strings(x.select("id", "d", F.element_at("names", F.col("j")).alias("name"), sides.alias("sides")))
+    by_piece = late.groupBy("id").agg(F.collect_set("d").alias("ds")).join(mixed.select("id", "ord", "h", "q"), "id")
+    return by_piece.select("ord", "h", "q", "ds").mapInArrow(_runs, T.StructType(_longs("ord", "h", "lo", "hi")))
 
 
 def late_starts(texts: DataFrame) -> DataFrame:
-    """(ord, h, lo, hi): runs of starts whose 100-byte strings also start earlier. texts: ord, h, text; distinct texts."""
+    """(ord, h, lo, hi): runs of starts whose LENGTH-byte strings also start earlier. texts: ord, h, text; distinct texts."""
     rows = texts.mapInArrow(_list_anchors, ANCHOR)
-    often = rows.select("gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    often = materialize(rows.select("gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     kept = materialize(rows.join(often, "gram"))
-    place = F.struct("ord", "h", "lo")
-    first = materialize(kept.groupBy("gram", "around").agg(F.min(F.struct("ord", "h", "lo", "hi")).alias("first")))
-    late = kept.join(first.select("gram", "around", F.struct("first.ord", "first.h", "first.lo").alias("f")), ["gram", "around"]).where(place != F.col("f")).select("ord", "h", "lo", "hi")
-    several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mixed = materialize(first.join(several, "gram").select("gram", "n", "first.*"))
-    wanted = mixed.groupBy(F.col("ord").alias("o2"), F.col("h").alias("h2")).agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs"))
-    if mixed.select("ord", "h").distinct().count() <= BROADCAST_KEYS // 10:
-        wanted = F.broadcast(wanted)
-    held = texts.join(wanted, (F.col("ord") == F.col("o2")) & (F.col("h") == F.col("h2"))).select("ord", "h", "text", "runs")
-    schema = T.StructType([*KEY, T.StructField("gram", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bytes", T.BinaryType())])
-    cut = materialize(held.mapInArrow(_cut_out, schema).join(several, "gram"))
-    total = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = max(1, round(total / BUCKET_BYTES))
-    calm = cut.where(F.col("n") <= CROWD).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    sorted_ = materialize(calm.select("bucket", "ord", "h", "lo", "bytes").repartition(min(buckets, 4096), "bucket").groupBy("bucket").applyInArrow(_sort_bucket, LATE))
-    single = cut.where(F.col("n") > CROWD).mapInArrow(_strings, "ord long, h long, digest binary, p long").distinct()
-    lead = single.groupBy("digest").agg(F.min(F.struct("ord", "h", "p")).alias("f"))
-    crowded = single.join(lead, "digest").where(F.struct("ord", "h", "p") != F.col("f")).select("ord", "h", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    # a neighbourhood that is the first of its kind may still hold late strings; the rest are late as a whole
-    return late.unionByName(sorted_).unionByName(crowded)
+    place = ["ord", "h", "lo", "hi", "q"]
+    first = materialize(kept.groupBy("gram", "around").agg(F.min(F.struct(*place)).alias("f")))
+    late = kept.join(first, ["gram", "around"]).where(F.struct(*place[:3]) != F.struct("f.ord", "f.h", "f.lo"))
+    late = materialize(late.select("gram", "ord", "h", "lo", "hi", F.col("f.ord").alias("fo"), F.col("f.h").alias("fh"), F.col("f.lo").alias("flo")))
+    several = materialize(first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    numbered = lambda d: materialize(d.repartitionByRange(*place[:3]).sortWithinPartitions(*place[:3]).withColumn("id", F.monotonically_increasing_id()))
+    mixed = numbered(first.join(several, "gram").select("gram", "f.*"))
+    cells = late.select(F.col("fo").alias("ord"), F.col("fh").alias("h"), F.explode(F.sequence(F.floor(F.col("flo") / CELL), F.floor((F.col("flo") + F.col("hi") - F.col("lo") + LENGTH - 1) / CELL))).alias("cell")).distinct()
+    pieces = lambda m: m.select("ord", "h", _want(PIECES, "lo", "hi", "id", "q").alias("want"))
+    cut = _fetch(texts, late.select("ord", "h", _want(LATE, "lo", "hi", "fo", "fh", "flo").alias("want")).unionByName(cells.select("ord", "h", _want(FIRST, "cell").alias("want"))).unionByName(pieces(mixed)))
+    own = cut.where(F.col("kind") == FIRST).select("k1", "k2", "k3", F.col("body").alias("given"))
+    claims = cut.where(F.col("kind") == LATE).join(own, ["k1", "k2", "k3"], "left")
+    failed = claims.where(~_sub("given", F.col("at") + 1, F.octet_length("body")).eqNullSafe(F.col("body"))).select("ord", "h").distinct()
+    failed = materialize(failed)
+    if failed.take(1):  # other bytes under an equal hash: all runs of such anchors are sorted
+        grams = materialize(late.join(failed, ["ord", "h"]).select("gram").distinct())
+        late = late.join(grams, "gram", "left_anti")
+        mixed = numbered(mixed.drop("id").unionByName(kept.join(grams, "gram").select("gram", *place)).distinct())
+        cut = _fetch(texts, pieces(mixed))
+    out = materialize(late.select("ord", "h", "lo", "hi").unionByName(sorted_out(mixed, cut)))
+    for t in (often, kept, first, several, mixed, cut, failed):
+        discard(t)
+    return out
 
 
 def spans(runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -244,19 +287,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     """docs with removed (array of byte spans [start, end)) and kept (binary: the bytes that stay); {name: column}.
 
     Null texts are empty, null keys come last and, with equal keys, texts are in the order of a hash. Rows equal in key
-    and text are one document and come out alike.
+    and text are one document and come out alike. Texts equal by SHA-256 to that of a smaller key go whole; all else that goes has
+    been compared byte by byte or by names that stand for bytes.
     """
     removed, kept, o, h, lead, o2, h2, runs = fresh(docs, "removed", "kept", "ord", "h", "lead", "o2", "h2", "runs")
     body = F.coalesce(col(text), F.lit(""))
     keyed = docs.select(F.coalesce(col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("sha"), body.alias("text")).where(F.octet_length("text") >= LENGTH)
-    leads = materialize(keyed.groupBy("sha").agg(F.min("ord").alias("lead"), F.first("h").alias("h"), F.count_distinct("ord").alias("n")))
+    leads = materialize(keyed.groupBy("sha").agg(F.min("ord").alias("lead"), F.first("h").alias("h"), F.count_distinct("ord").alias("n"), F.count(F.lit(1)).alias("rows")))
     copies = leads.where("n > 1").select("sha", F.col("lead"))
     # first rows of their text; rows equal in key and text once
     copy_keys = keyed.join(copies, "sha").where("ord > lead").select(F.col("ord").alias("o2"), F.col("h").alias("h2")).distinct()
     gone = materialize(copy_keys)
     texts = keyed.select("ord", "h", "text")
-    small = gone.count() <= BROADCAST_KEYS
+    small = 48 * gone.count() <= BROADCAST_BYTES
     texts = texts.join(F.broadcast(gone) if small else gone, (F.col("ord") == F.col("o2")) & (F.col("h") == F.col("h2")), "left_anti")
+    if leads.where("rows > n").take(1):  # the same key and text in several rows
+        texts = texts.dropDuplicates(["ord", "h"])
     late = late_starts(texts)
     lists = late.groupBy("ord", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     whole = gone.select(F.col("o2").alias("ord"), F.col("h2").alias("h"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(LAST - LENGTH).alias("hi"))).alias("runs"))
@@ -283,4 +329,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     return x.mapInArrow(cut, schema), {"removed": removed, "kept": kept}
 
 
-__all__ = ["anchors", "dedup", "discard", "late_strings", "spans", "suffix_array"]
+__all__ = ["anchors", "dedup", "late_starts", "late_strings", "sampled_names", "spans"]

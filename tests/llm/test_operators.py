@@ -168,28 +168,44 @@ def test_toxicity_models_whole(spark):
     assert np.allclose(scorer.ratios(some), [sum(map(ratio, toxicity.grams(w))) for w in some], atol=1e-5)
 
 
-def test_suffix_array():
-    rnd = random.Random(1)
-    for n in [*range(30), 400, 3001]:
-        s = np.array([rnd.randint(1, 3) for _ in range(n)], np.int64)
-        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
-
-
-@pytest.mark.parametrize("crowd", [2_000, 1])
-def test_suffix_dedup(docs, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 1: every neighbourhood takes the way of crowded anchors
-    d = docs.where("doc_id is not null and text <> 'another text of key three'")
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_dedup(spark, docs, monkeypatch, collide):
+    """Against a search of all strings, with null texts and keys, repeated rows and keys, and a text of 3 MB. collide: all runs of strings have one hash."""
+    if collide:
+        plain = suffix_dedup._list_anchors
+
+        def same(batches):
+            import pyarrow as pa
+
+            for x in plain(batches):
+                at = x.schema.get_field_index("around")
+                yield x.set_column(at, "around", pa.array(np.zeros(len(x), np.int64)))
+
+        monkeypatch.setattr(suffix_dedup, "_list_anchors", same)
+        d = docs
+    else:
+        rnd = random.Random(8)
+        long = "".join(rnd.choice("abcdefgh ") for _ in range(3_000_000))
+        long = long[:2_500_000] + long[1_000_000:1_000_300] + long[2_500_000:]
+        more = [(500, long, None, None, "a", "b", 7, "z"), (501, "x" + long[1 << 20 :][:2000] + "y", None, None, "a", "b", 7, "z")]
+        d = docs.unionByName(spark.createDataFrame(more, SCHEMA))
     x, names = suffix_dedup.dedup(d)
-    got = {r["doc_id"]: r for r in collected(x)}
-    seen: set[bytes] = set()
-    for k, t in sorted({(r["doc_id"], r["text"]) for r in collected(d)}):
-        b = (t or "").encode()
+    got = collected(x)
+    assert len(got) == d.count() and {"found", "place", "size", "_drop"} <= set(got[0])
+    rows_ = {tuple(r) for r in d.selectExpr("coalesce(doc_id, 9223372036854775807)", "xxhash64(coalesce(text, ''))", "coalesce(text, '')").collect()}
+    seen, want = set(), {}
+    for k, _, t in sorted(rows_):
+        b = t.encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 99):
-            if b[i : i + 100] in seen:
+            w = hash(b[i : i + 100])
+            if w in seen:
                 gone[i : i + 100] = True
-            seen.add(b[i : i + 100])
-        assert bytes(got[k][names["kept"]]) == bytes(np.frombuffer(b, np.uint8)[~gone]), k
+            seen.add(w)
+        want[k, t] = bytes(np.frombuffer(b, np.uint8)[~gone]), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), int(gone.sum())
+    for r in got:
+        key = (2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["text"] or "")
+        assert (bytes(r[names["kept"]]), len(r[names["removed"]]), sum(s["end"] - s["start"] for s in r[names["removed"]])) == want[key]
 
 
 def test_licenses(docs):
