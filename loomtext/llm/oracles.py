@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from .licenses import scan_sql
-from .quality import ENOUGH, REACH, SLACK
+from .quality import FAR, FAR_LENGTH, LAST_BIN, LEVELS, REACH, SHARES
 
 
-def _quantiles(by: str, source: str = "counts") -> str:
-    key = f"{by}, " if by else ""
-    merged = f"select {key}share, bin, sum(n) as n from {source} group by all"
-    ranked = f"select *, sum(n) over (partition by {key}share order by bin) as upto, sum(n) over (partition by {key}share) as total from ({merged})"
-    return f"select {key}share, max(total) as docs, min(bin) filter (2 * upto >= total) as q2, min(bin) filter (4 * upto >= 3 * total) as q3 from ({ranked}) group by {key}share"
+def _quantiles(by: str, points: list[int]) -> str:
+    merged = "select " + by + ", share, bin, sum(n) as n from counts group by all"
+    ranked = f"select *, sum(n) over (partition by {by}, share order by bin) as upto, sum(n) over (partition by {by}, share) as total from ({merged})"
+    return f"select {by}, share, " + ", ".join(f"min(bin) filter (10000 * upto >= {p} * total) as q{p}" for p in points) + f" from ({ranked}) group by {by}, share"
 
 
 def quality_sql() -> str:
-    slack = "case g.share " + " ".join(f"when '{k}' then {v}" for k, v in SLACK.items()) + " end"
-    pick = lambda c: f"(case when g.docs >= {ENOUGH} then g.{c} when l.docs >= {ENOUGH} then l.{c} else a.{c} end)"
-    shares = {"symbols": "case when word_chars > 0 then 1000 * n_symbols // word_chars end", "dup_lines": "case when n_lines > 0 then 1000 * n_dup_lines // n_lines end", "word_length": "case when n_words > 0 then 50 * word_chars // n_words end"}
-    union = " union all ".join(f"select lang, source, '{k}' as share, {v} as bin from base" for k, v in shares.items())
+    shares = {"symbols": "1000 * n_symbols // nullif(word_chars, 0)", "dup_lines": "1000 * n_dup_lines // nullif(n_lines, 0)", "repeats": "1000 * n_repeat_words::bigint // nullif(n_words, 0)", "word_length": "50 * word_chars // nullif(n_words, 0)"}
+    shares = {k: f"case when {v} > {LAST_BIN[k]} then {LAST_BIN[k]} else {v} end" for k, v in shares.items()}
+    union = " union all ".join(f"select lang, source, '{k}' as share, {v} as bin from base where not base_failed" for k, v in shares.items())
     beyond = " or ".join(f"coalesce({v} > most_{k}, false)" for k, v in shares.items())
+    most = "case g.share " + " ".join(f"when '{k}' then least(g.q{p}, l.q{FAR[k]})" for k, p in LEVELS.items()) + f" else least(g.q7500 + {REACH} * greatest(g.q7500 - g.q2500, l.q7500 - l.q2500), l.q{FAR_LENGTH}) end"
+    own, wide = sorted({2500, 7500, *LEVELS.values()}), sorted({2500, 7500, FAR_LENGTH, *FAR.values()})
     return rf"""
 with m as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 lined as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from m),
@@ -26,12 +26,11 @@ windows as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as v from (select
 again as (select doc_id, i from windows qualify count(*) over (partition by doc_id, v) > 1),
 covered as (select doc_id, sum(least(8, coalesce(nxt - i, 8))) as n from (select *, lead(i) over (partition by doc_id order by i) as nxt from again) group by doc_id),
 base as (select doc_id, lang, source, len(w) as n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
-  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(l) as n_lines from lined left join covered using (doc_id)),
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(l) as n_lines, len(w) < 20 or 100 * coalesce(n, 0) > 30 * len(w) as base_failed from lined left join covered using (doc_id)),
 counts as (select lang, source, share, bin, count(*) as n from ({union}) where bin is not null group by all),
-limits as (select g.lang, g.source, g.share, {pick('q3')} + {REACH} * ({pick('q3')} - {pick('q2')}) + {slack} as most
-  from ({_quantiles('lang, source')}) g join ({_quantiles('lang')}) l on g.lang is not distinct from l.lang and g.share = l.share join ({_quantiles('')}) a on g.share = a.share),
-wide as (select lang, source, {', '.join(f"max(most) filter (share = '{k}') as most_{k}" for k in SLACK)} from limits group by lang, source),
-judged as (select b.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {beyond} as far from base b left join wide x on b.lang is not distinct from x.lang and b.source is not distinct from x.source)
+limits as (select g.lang, g.source, g.share, {most} as most from ({_quantiles('lang, source', own)}) g join ({_quantiles('lang', wide)}) l on g.lang is not distinct from l.lang and g.share = l.share),
+wide as (select lang, source, {', '.join(f"max(most) filter (share = '{k}') as most_{k}" for k in SHARES)} from limits group by lang, source),
+judged as (select b.*, {beyond} as far from base b left join wide x on b.lang is not distinct from x.lang and b.source is not distinct from x.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and not far as kept from judged"""
 
 
