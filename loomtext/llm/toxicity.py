@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Words are expressions of characters (a start mark before, an end mark behind). Two models of order ORDER, one
-of toxic and one of ordinary labelled text, take each character after the ones before it. What a class has not
-seen, both take from the same model of order SHARED, made of continuation counts over the word types of the whole
-corpus; so a rare expression weighs the same in both and says nothing. Both are made by joins of gram tables, and
-scoring looks grams up by 64-bit hashes. A text's toxic and ordinary
-log-likelihoods are compared per word: over the whole text and over its strongest expressions. A logistic
+of toxic and one of ordinary labelled text, take each character after the ones before it. Both back off, order by order,
+through the same lower model: interpolated Kneser-Ney over continuation counts of the whole corpus's word types. A context with
+fewer than EVIDENCE tokens of a class is too rare for counts of its own and has the shared probability in that class. Both are made
+by joins of gram tables, and scoring looks grams up by 64-bit hashes. A text's toxic and ordinary log-likelihoods are compared per
+word: over the whole text, where a toxic text is ordinary but for MIXED of its words, and over its strongest expressions. A logistic
 curve, fitted on labelled rows that the counts don't hold, turns these into a score.
 """
 
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from .common import col, discard, fresh, materialize
 
 ORDER = 8
-SHARED = 4
+SHARED = ORDER - 1
 DISCOUNT = 0.75
-#: Tokens of toxic text that a context needs to be more than a rare expression.
+#: Tokens of a class that a context needs to be more than a rare expression of it.
 EVIDENCE = 5
+#: Share of a toxic text's words that its class's model makes; the ordinary model makes the others.
+MIXED = 0.02
 #: Means are taken over so many of a text's strongest expressions.
 STRONGEST = (2, 4)
 #: Labelled rows used for fitting, at most, of each class (those with the smallest hashes).
@@ -121,13 +123,13 @@ def _gram_table(counted: DataFrame, columns: list[str], split) -> DataFrame:
 def class_grams(counted: DataFrame) -> DataFrame:
     """(context, gram, a, b, na, ka, nb, kb): toxic and ordinary tokens of a gram; tokens and kinds after its context, in both classes.
 
-    Only for contexts with EVIDENCE toxic tokens, however many there are.
+    For all contexts with EVIDENCE tokens of a class, however many there are; all others have the shared model in both classes.
     """
     seen = counted.where("n_toxic + n_plain > 0").select("word", F.col("n_toxic").alias("a"), F.col("n_plain").alias("b"))
     table = materialize(_gram_table(seen, ["a", "b"], grams).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")))
     kinds = lambda c: F.count(F.when(F.col(c) > 0, 1))
     context = table.groupBy("context").agg(F.sum("a").alias("na"), kinds("a").alias("ka"), F.sum("b").alias("nb"), kinds("b").alias("kb"))
-    return table.join(context.where(F.col("na") >= EVIDENCE), "context").select("context", "gram", "a", "b", "na", "ka", "nb", "kb")
+    return table.join(context.where(F.greatest("na", "nb") >= EVIDENCE), "context").select("context", "gram", "a", "b", "na", "ka", "nb", "kb")
 
 
 def shared_grams(counted: DataFrame) -> DataFrame:
@@ -161,9 +163,9 @@ def compiled(table: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log ratios toxic : ordinary of seen grams (gram, ratio), and of any other character after a seen context (gram: the context)."""
     c = F.col
     x = table.withColumn("end", F.lpad(F.right("gram", F.lit(SHARED)), SHARED, START)).join(lower.select(c("gram").alias("end"), "p"), "end")
-    toxic = (F.greatest(F.lit(0.0), c("a") - DISCOUNT) + DISCOUNT * c("ka") * c("p")) / c("na")
-    plain = F.when(c("nb") > 0, (F.greatest(F.lit(0.0), c("b") - DISCOUNT) + DISCOUNT * c("kb") * c("p")) / c("nb")).otherwise(c("p"))
-    unseen = F.log(DISCOUNT * c("ka") / c("na")) - F.when(c("nb") > 0, F.log(DISCOUNT * c("kb") / c("nb"))).otherwise(0.0)
+    own = lambda n, tokens, kinds: F.when(c(tokens) >= EVIDENCE, (F.greatest(F.lit(0.0), c(n) - DISCOUNT) + DISCOUNT * c(kinds) * c("p")) / c(tokens)).otherwise(c("p"))
+    rest = lambda tokens, kinds: F.when(c(tokens) >= EVIDENCE, F.log(DISCOUNT * c(kinds) / c(tokens))).otherwise(0.0)
+    toxic, plain, unseen = own("a", "na", "ka"), own("b", "nb", "kb"), rest("na", "ka") - rest("nb", "kb")
     after = table.groupBy("context").agg(F.first(unseen).alias("ratio"))
     return x.select("gram", F.log(toxic / plain).alias("ratio")), after.select(c("context").alias("gram"), "ratio")
 
@@ -220,7 +222,7 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.
 class Scorer:
     def __init__(self, seen: tuple[np.ndarray, np.ndarray], unseen: tuple[np.ndarray, np.ndarray]):
         self.seen, self.unseen = seen, unseen
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, tuple[float, float]] = {}
 
     def ratios(self, some: list[str]) -> list[float]:
         """Each word's sum over its grams: the ratio of the gram, else that of its context, else 0."""
@@ -233,21 +235,21 @@ class Scorer:
         return np.add.reduceat(value, start).tolist()
 
     def learn(self, found: list[list[str]]) -> None:
-        """Keep the ratios of all these words."""
+        """Keep the ratios of all these words, their own and the mixture's."""
         if len(self.cache) > 400_000:
             self.cache.clear()
         if new := [w for w in set().union(*found) if w not in self.cache]:
-            self.cache.update(zip(new, self.ratios(new)))
+            self.cache.update((w, (x, math.log1p(MIXED * math.expm1(min(x, 50.0))))) for w, x in zip(new, self.ratios(new)))
 
     def features(self, found: list[str]) -> list[float]:
-        """Mean log ratio per (learnt) word; means of the strongest ones; logarithm of the length."""
+        """Mean log ratio of the mixture per (learnt) word; means of the strongest ones' own; logarithm of the length."""
         kinds = Counter(found)
         c = self.cache
         most = max(STRONGEST)
-        top = heapq.nlargest(most, ((c[w], n) for w, n in kinds.items()))
+        top = heapq.nlargest(most, ((c[w][0], n) for w, n in kinds.items()))
         strong = [x for x, n in top for _ in range(min(n, most))][:most]
         strong += [0.0] * (most - len(strong))
-        mean = sum(c[w] * n for w, n in kinds.items()) / max(1, len(found))
+        mean = sum(c[w][1] * n for w, n in kinds.items()) / max(1, len(found))
         return [mean, *(sum(strong[:k]) / k for k in STRONGEST), math.log1p(len(found))]
 
     def table(self, texts: list[str | None], at_once: int = 64) -> list[list[float]]:

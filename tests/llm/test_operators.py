@@ -86,15 +86,49 @@ def test_quality_measures(docs):
         want = (len(w), sum(map(len, w)), sum(t.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(cov), len(w) < 20 or 100 * len(cov) > 30 * len(w))
         assert tuple(r[n[k]] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want
         assert not (r[n["base_failed"]] and r[n["kept"]])
-    bad = next(r for r in collected(x) if (r["text"] or "").startswith("#$%"))
-    assert not bad[n["kept"]]
     assert quality.keep(docs).columns == docs.columns
 
 
-def test_quality_quantiles(spark):
-    d = spark.createDataFrame([("en", "a", "s", k, 1) for k in range(101)], "lang string, source string, share string, bin long, n long")
-    r = quality.quantiles(d, ["lang"]).first()
-    assert (r["docs"], r["q2"], r["q3"]) == (101, 50, 75)
+def test_quality_limits(spark, docs):
+    """Limits and verdicts against plain sorting, for groups with other symbols, lines and word lengths, small groups and null ones."""
+    rnd = random.Random(6)
+    data = []
+    for k in range(900):
+        lang, source = [("en", "a"), ("en", "b"), ("de", "a"), (None, "c")][k % 4]
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 12 if source == "b" else 5))) for _ in range(rnd.randint(25, 60))]
+        for _ in range(rnd.choice([0, 0, 0, 1, 4, 20]) if source == "b" else rnd.choice([0] * 30 + [1, 30])):
+            words.insert(rnd.randrange(len(words)), "$$")
+        lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+        data.append((k, "\n".join(lines + lines[:1] * rnd.choice([0] * (3 if source == "a" else 20) + [1, 2, 5])), lang, source))
+    data += [(2000, "x" * 9000 + " a" * 30, "fr", None), (2001, " ".join(map(str, range(40))), "fr", "once")]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").unionByName(docs.select("doc_id", "text", "lang", "source").where("doc_id < 50"))
+    x, n = quality.judge(d)
+    got = collected(x)
+    share, groups, langs = [], defaultdict(list), defaultdict(list)
+    for r in got:
+        m = {k: r[n[k]] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")}
+        of = lambda unit, a, b, last: min(last, unit * m[a] // m[b]) if m[b] else None
+        s = dict(symbols=of(1000, "n_symbols", "word_chars", 1000), dup_lines=of(1000, "n_dup_lines", "n_lines", 1000), repeats=of(1000, "n_repeat_words", "n_words", 1000), word_length=of(50, "word_chars", "n_words", 5000))
+        share.append(s)
+        for k, v in s.items():
+            if v is not None and not r[n["base_failed"]]:
+                groups[r["lang"], r["source"], k].append(v)
+                langs[r["lang"], k].append(v)
+    at = lambda v, p: sorted(v)[-(-p * len(v) // 10_000) - 1]
+    most = {}
+    for (a, b, k), v in groups.items():
+        w = langs[a, k]
+        if k == "word_length":
+            most[a, b, k] = min(at(v, 7500) + 3 * max(at(v, 7500) - at(v, 2500), at(w, 7500) - at(w, 2500)), at(w, 9990))
+        else:
+            p, far = {"symbols": (9500, 9950)}.get(k, (9980, 9998))
+            most[a, b, k] = min(at(v, p), at(w, far))
+    for r, s in zip(got, share):
+        bad = [k for k, v in s.items() if v is not None and v > most.get((r["lang"], r["source"], k), v)]
+        assert r[n["kept"]] == (not r[n["base_failed"]] and not bad)
+    for k in ("symbols", "word_length"):
+        assert len({most[a, b, k] for a, b in (("en", "a"), ("en", "b"), ("de", "a"))}) > 1
+    assert 0 < sum(not r[n["kept"]] and not r[n["base_failed"]] for r in got) < 200
 
 
 def test_toxicity(spark):
@@ -131,10 +165,10 @@ def test_toxicity_models_whole(spark):
             a[g] += x
             b[g] += y
             after[g[:-1]].add(g)
-        v = "\x02\x02\x02" + w + "\x03"
-        types.update(v[k : k + 4] for k in range(len(v) - 3))
+        v = "\x02" * 6 + w + "\x03"
+        types.update(v[k : k + 7] for k in range(len(v) - 6))
     orders = [types]
-    for _ in range(3):
+    for _ in range(6):
         orders.insert(0, Counter(g[1:] for g in orders[0]))
     spread = [defaultdict(list) for _ in orders]
     for o, c in zip(orders, spread):
@@ -142,25 +176,31 @@ def test_toxicity_models_whole(spark):
             c[g[:-1]].append(n)
 
     def lower(g):
-        g, p = g[-4:].rjust(4, "\x02"), 1 / len(orders[0])
+        g, p = g[-7:].rjust(7, "\x02"), 1 / len(orders[0])
         for k, (o, c) in enumerate(zip(orders, spread)):
-            s = g[3 - k :]
+            s = g[6 - k :]
+            if s[:-1] not in c:
+                continue
             p = (max(0, o[s] - 0.75) + 0.75 * len(c[s[:-1]]) * p) / sum(c[s[:-1]])
         return p
 
+    def chance(n, g, p):
+        """Of the gram in a class with counts n; the shared p where the context is rare in it."""
+        gs = after.get(g[:-1], ())
+        total, kinds = sum(n[x] for x in gs), sum(n[x] > 0 for x in gs)
+        return (max(0, n[g] - 0.75) + 0.75 * kinds * p) / total if total >= toxicity.EVIDENCE else p
+
     def ratio(g):
         gs = after.get(g[:-1], ())
-        na, nb = sum(a[x] for x in gs), sum(b[x] for x in gs)
-        if na < toxicity.EVIDENCE:
-            return 0.0
-        ka, kb = sum(a[x] > 0 for x in gs), sum(b[x] > 0 for x in gs)
-        if g not in gs:
-            return np.log(0.75 * ka / na) - (np.log(0.75 * kb / nb) if nb else 0)
-        p = lower(g)
-        plain = (max(0, b[g] - 0.75) + 0.75 * kb * p) / nb if nb else p
-        return np.log((max(0, a[g] - 0.75) + 0.75 * ka * p) / na / plain)
-
-    want = sum(len(gs) for gs in after.values() if sum(a[g] for g in gs) >= toxicity.EVIDENCE)
+        p = lower(g) if g in gs else 1e-300  # what no class has seen: the shared probability cancels out
+        return np.log(chance(a, g, p) / chance(b, g, p))
+
+    alphabet = sorted(orders[0])
+    for context in ("\x02", "\x02zor", named[7][:4], named[8][1:6]):
+        assert np.isclose(sum(lower(context + c) for c in alphabet), 1)
+        assert np.isclose(sum(chance(b, "\x02" + c, lower("\x02" + c)) for c in alphabet), 1) and np.isclose(sum(chance(a, "\x02" + c, lower("\x02" + c)) for c in alphabet), 1)
+
+    want = sum(len(gs) for gs in after.values() if max(sum(a[g] for g in gs), sum(b[g] for g in gs)) >= toxicity.EVIDENCE)
     table = toxicity.materialize(toxicity.class_grams(counted))
     assert want > 500_000 and table.count() == want
     scorer = toxicity.Scorer(*map(toxicity.packed, toxicity.compiled(table, toxicity.shared_model(toxicity.shared_grams(counted)))))
