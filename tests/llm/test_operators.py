@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from loomtext.llm import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
+from loomtext.llm import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, shingles, suffix_dedup, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
@@ -294,6 +294,21 @@ def test_jaccard(docs, monkeypatch, small):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in r0), key=str) == want
 
 
+def test_jaccard_words_are_compared(spark, monkeypatch):
+    """Words that collide under polynomial hashes don't link; nor do any words when all hashes are equal."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    texts = [f"one {x} two three four five six", f"one {y} two three four five six", "p q r s t u v", "p q r s t u w", "k l m n o", "k l m n o p"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.join(d).collect()} == set(range(6))
+    a, b = shingles.exact_sets([shingles.normal(t.encode()) for t in ("A b\tc  d E f", "a b c d e f g")])
+    assert len(a) == 2 and set(a) < set(b) and len(b) == 3
+    few = shingles.exact_sets([b"a b", b"a b", b"b a", b"", b"a b c d e"])
+    assert few[0].tolist() == few[1].tolist() != few[2].tolist() and not len(few[3]) and few[4].tolist() != few[0].tolist()
+
+
 def test_representatives(docs):
     one = collected(jaccard.representatives(docs))
     assert len([r for r in one if r["doc_id"] in (12, 13, 14, 15) or r["doc_id"] is None]) == 1
