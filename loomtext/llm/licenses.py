@@ -1,7 +1,9 @@
-"""License scans in DataFrame functions only: lines and whole texts against templates by Dice over word bigrams.
+"""License scans in DataFrame functions only: lines, whole texts and windows of words against templates by Dice over word bigrams.
 
 Texts are lower-cased and all but a-z and 0-9 parts words. With a bigrams in a unit and b in a template, Dice
-can't reach 0.8 unless 3a >= 2b and 3b >= 2a, so most templates are ruled out before any comparison.
+can't reach 0.8 unless 3a >= 2b and 3b >= 2a, so most templates are ruled out before any comparison. A notice that is wrapped
+over lines or stands in prose is in a window of words: one as long as the template starts at each of its bigrams in the text, and of those
+that start together the closest counts. That is only tried where the text holds two thirds of the template's bigrams, fewer than which no window can have.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ TEMPLATES = {
     "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause/license": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "ISC/license": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib/license": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "ISC/notice": "Released under the ISC License",
     "LGPL-3.0/notice": "Licensed under the GNU Lesser General Public License, version 3",
     "MIT/notice": "Released under the MIT License",
@@ -46,12 +51,12 @@ def _templates(templates: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, found: str = "found") -> DataFrame:
-    """docs with struct `found`: n_lines; n_license_lines (lines that reach 0.8); licenses (names of those and of the whole
-    text's, sorted); best (dice and template of the closest unit among those that the size bounds let through; null: none).
+    """docs with struct `found`: n_lines; n_license_lines (lines that reach 0.8); licenses (names of those, of the whole
+    text's and of windows', sorted); best (dice and template of the closest unit among those that the size bounds let through; null: none).
 
-    Equal Dice: the template whose name sorts last. Null and empty texts match nothing. No shuffle.
+    Equal Dice: the template whose name sorts last. Null and empty texts match nothing. A column named `found` is replaced. No shuffle.
     """
-    lines, words, pairs, hits, plain = fresh(docs, "lines", "words", "pairs", "hits", "plain")
+    lines, words, pairs, hits, plain, some, row = fresh(docs, "lines", "words", "pairs", "hits", "plain", "some", "row")
     known = _templates(templates)
     least = min(len(bigrams(t)) for t in templates.values())
     d = docs.withColumn(plain, F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9\n]+", " "))
@@ -64,6 +69,16 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
     dice = lambda b, t: F.struct((2 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])).alias("dice"), t["name"].alias("template"))
     near = lambda b: F.filter(known, lambda t: (3 * F.size(b) >= 2 * t["size"]) & (2 * F.size(b) <= 3 * t["size"]))
     d = d.withColumn(hits, F.transform(F.col(pairs), lambda b: F.when(b.isNotNull(), F.array_max(F.transform(near(b), lambda t: dice(b, t))))))
+    # templates of which the text holds enough, then windows from each place that holds one of their bigrams
+    every = F.array(*(F.lit(b) for b in sorted({b for t in templates.values() for b in bigrams(t)})))
+    d = d.withColumn(some, F.array_intersect(F.element_at(pairs, -1), every))
+    d = d.withColumn(some, F.filter(known, lambda t: 3 * F.size(F.array_intersect(F.col(some), t["bigrams"])) >= 2 * t["size"]))
+    w = F.element_at(words, -1)
+    d = d.withColumn(row, F.when(F.size(some) > 0, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+    fits = lambda i: F.filter(F.col(some), lambda t: F.array_contains(t["bigrams"], F.get(F.col(row), i)) & (i + t["size"] <= F.size(row)))
+    best = F.transform(F.sequence(F.lit(0), F.size(row) - 1), lambda i: F.array_max(F.transform(fits(i), lambda t: dice(F.array_distinct(F.slice(F.col(row), i + 1, t["size"])), t))))
+    windows = F.filter(best, lambda h: h.isNotNull())
+    d = d.withColumn(hits, F.when(F.size(some) > 0, F.concat(F.col(hits), windows)).otherwise(F.col(hits)))
     reached = lambda a: F.filter(a, lambda h: h["dice"] >= 0.8)
     out = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
@@ -71,7 +86,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
         F.array_sort(F.array_distinct(F.transform(reached(F.col(hits)), lambda h: F.element_at(F.split(h["template"], "/"), 1)))).alias("licenses"),
         F.array_max(hits).alias("best"),
     )
-    return d.withColumn(found, out).drop(plain, lines, words, pairs, hits)
+    return d.withColumn(found, out).drop(plain, lines, words, pairs, hits, some, row)
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES) -> str:
@@ -88,7 +103,13 @@ pairs as (select doc_id, k, n_lines, list_distinct(list_transform(range(1, len(w
 scores as (
   select doc_id, k, n_lines, name, 2 * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b)) as dice
   from pairs p join templates t on 3 * len(p.b) >= 2 * len(t.b) and 2 * len(p.b) <= 3 * len(t.b)),
-best as (select doc_id, k, n_lines, max({{'dice': dice, 'template': name}}) as h from scores group by all),
+whole as (select * from words where k = n_lines + 1 and len(w) > 1),
+seqs as (select doc_id, n_lines, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as s from whole),
+rich as (select doc_id, n_lines, s, name, b from seqs s join templates t on 3 * len(list_intersect(list_distinct(s.s), t.b)) >= 2 * len(t.b)),
+spots as (select *, unnest(list_filter(range(1, len(s) - len(b) + 2), lambda i: list_contains(b, s[i]))) as i from rich),
+windows as (select doc_id, i, n_lines, name, b, list_distinct(s[i:i + len(b) - 1]) as v from spots),
+best as (select doc_id, k, n_lines, max({{'dice': dice, 'template': name}}) as h from (
+  select * from scores union all select doc_id, n_lines + 1 + i as k, n_lines, name, 2 * len(list_intersect(v, b)) / (len(v) + len(b)) as dice from windows) group by all),
 found as (
   select doc_id, count(*) filter (h.dice >= 0.8 and k <= n_lines) as n_license_lines, max(h) as best,
          array_to_string(list_sort(list_distinct(list(split_part(h.template, '/', 1)) filter (h.dice >= 0.8))), ',') as licenses

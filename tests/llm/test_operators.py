@@ -263,6 +263,46 @@ def test_licenses(docs):
     assert found == [["MIT"]]
 
 
+def test_licenses_in_windows(spark):
+    """Wrapped licences and notices in prose, against all windows of a template's length that start at one of its bigrams."""
+    import textwrap
+
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    t = licenses.TEMPLATES
+    texts = [
+        textwrap.fill(t["MIT/license"], 70) + "\n\nint main(void)\n" + prose(400),
+        prose(30) + "\n" + textwrap.fill(t["GPL-3.0/header"], 72) + "\n" + prose(50),
+        "# " + textwrap.fill(t["Apache-2.0/header"], 66).replace("\n", "\n# ") + "\n" + prose(300),
+        prose(100) + " Released under the MIT License. " + prose(60),
+        prose(20) + " " + t["ISC/license"].replace("copies", "prints") + prose(3000) + textwrap.fill(t["Zlib/license"], 40),
+        prose(500),
+        "the License the License " * 40,
+        "",
+        None,
+        "license",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    wanted = [["MIT"], ["GPL-3.0"], ["Apache-2.0"], ["MIT"], ["ISC", "Zlib"], [], [], [], [], []]
+    for r in collected(licenses.scan(d)):
+        units = [] if r["text"] is None else [*r["text"].split("\n"), r["text"]]
+        best = defaultdict(set)
+        for name, v in t.items():
+            b = set(licenses.bigrams(v))
+            w = re.findall("[a-z0-9]+", (r["text"] or "").lower())
+            row = [f"{x} {y}" for x, y in zip(w, w[1:])]
+            each = [(k, set(licenses.bigrams(u))) for k, u in enumerate(units)]
+            each = [(k, u) for k, u in each if u and 3 * len(u) >= 2 * len(b) and 2 * len(u) <= 3 * len(b)]
+            if 3 * len(b & set(row)) >= 2 * len(b):
+                each += [(("at", i), set(row[i : i + len(b)])) for i, x in enumerate(row) if x in b and i + len(b) <= len(row)]
+            for k, u in each:
+                best[k].add((2 * len(u & b) / (len(u) + len(b)), name))
+        best = [max(v) for v in best.values()]
+        f = r["found"]
+        assert f["licenses"] == sorted({n.split("/")[0] for x, n in best if x >= 0.8}) == wanted[r["doc_id"]]
+        assert (f["best"] and (f["best"]["dice"], f["best"]["template"])) == (max(best) if best else None)
+
+
 def links(texts):
     sets = []
     for t in texts:
