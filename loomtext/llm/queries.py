@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
 from .oracles import oracle_sql
-from .common import load, materialize
+from .common import load, scratch_root
 
 
 def _path(name: str) -> str:
@@ -19,6 +20,7 @@ def _path(name: str) -> str:
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, and digests of its ids and of the text decoded from them."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     path = _path("byte_bpe_50k.json")
     coded = codec.encode(docs, path).select("doc_id", "ids")
@@ -32,12 +34,14 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base measures, base_failed and the verdict."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     x, names = quality.judge(docs)
     return x.select("doc_id", *(F.col(c).alias(n) for n, c in names.items() if n != "n_lines"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: score, held out or not, and the label predicted."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, load(spark, sf_dir, "labels").select("doc_id", "toxic"))
     out = toxicity.score(docs, model)
@@ -45,6 +49,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes removed, runs removed, and the digest of what stays."""
     x, names = suffix_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.col(names["removed"])
     return x.select(
@@ -57,16 +62,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, license lines, licenses found, and the closest template."""
     x = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     f = lambda c: F.col(f"found.{c}")
     return x.select("doc_id", f("n_lines").alias("n_lines"), f("n_license_lines").alias("n_license_lines"), F.array_join(f("licenses"), ",").alias("licenses"), f("best.template").alias("best_template"), F.round(f("best.dice"), 6).alias("best_dice"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: size of its shingle set and the smallest id that links lead to."""
     return jaccard.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, tokens, and whether these exceed 512."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = token_counts.count_tokens(docs, _path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -79,12 +87,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards are written, texts and all, and slots are read off them; each row's place: shard, slot, and shard of 25."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = materialize(shards.scatter(docs).select("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket", "at"))
+    placed = shards.write_shards(docs, f"{scratch_root(spark)}/loomtext-{uuid.uuid4().hex}")
     return shards.slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, hit words, items found and their digest."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find(docs, load(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.n_hit())
     return out.select(

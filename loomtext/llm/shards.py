@@ -44,7 +44,8 @@ def scatter(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
 
     Null keys are one key. Rows with equal key and text are interchangeable, so any order among them is the same
     result. Extra columns are carried along. A bucket holds rows of one shard; big shards have many buckets, and
-    rows of one key spread over its shard's buckets by their text, so no key fills a bucket alone.
+    rows of one key spread over its shard's buckets by their text, so no key fills a bucket alone. A bucket is one task's: its
+    number is the partition's. Null texts have size 8 and checksum 0. An empty table gives no rows.
     """
     place, order = fresh(docs, "place", "order")
     size = F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long") + 8
@@ -57,7 +58,7 @@ def scatter(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
         F.struct(size.alias("size"), crc.alias("text_crc32"), shard_of(col(key), shards, seed).cast("int").alias("shard"), shard_of(col(key), shards + 1, seed).cast("int").alias("grown_shard"), sub.alias("sub")),
     )
     bucket = F.col(f"{place}.shard") * per_shard + F.col(f"{place}.sub")
-    whole = placed.withColumn(order, bucket).repartition(shards * per_shard, F.col(order)).sortWithinPartitions(F.col(order), col(key), F.col(f"{place}.text_crc32"), F.col(f"{place}.size"))
+    whole = placed.withColumn(order, bucket).repartitionById(shards * per_shard, F.col(order)).sortWithinPartitions(F.col(order), col(key), F.col(f"{place}.text_crc32"), F.col(f"{place}.size"), col(text))
     out = T.StructType([*docs.schema.fields, T.StructField("size", T.LongType()), T.StructField("text_crc32", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("at", T.LongType())])
     names = [f.name for f in out]
     n_docs = len(docs.columns)
@@ -90,9 +91,10 @@ def scatter(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write shuffled shards as Parquet under path/shard=N and read them back."""
-    scatter(docs, **options).write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    """Write shuffled shards as Parquet under path/shard=N, a file for each bucket, and read them back (columns in scatter's order)."""
+    out = scatter(docs, **options)
+    out.write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path).select(*map(col, out.columns))
 
 
 def slots(scattered: DataFrame) -> DataFrame:
