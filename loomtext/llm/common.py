@@ -32,10 +32,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where the session names none (tests)."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local") or sc.master.startswith("local-"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
         given = sc.getCheckpointDir()
     return given

@@ -25,8 +25,8 @@ from .common import col, fresh, materialize
 DIVISOR = 3
 #: A line with more words than this is a passage by itself.
 LONG_LINE = 50
-#: Documents whose keys are broadcast to the second pass; more of them are joined by a shuffle.
-BROADCAST_DOCS = 300_000
+#: Documents' keys and lists of units are broadcast to the second pass up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -77,6 +77,12 @@ def _row_key(text: str):
     return F.xxhash64(col(text), F.octet_length(col(text)))
 
 
+def _small(lists: DataFrame, numbers: str) -> bool:
+    """At 64 bytes a row and 4 a number."""
+    rows, n = lists.agg(F.count(F.lit(1)), F.sum(F.size(numbers))).first()
+    return 64 * rows + 4 * (n or 0) <= BROADCAST_BYTES
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chunk_units) -> DataFrame:
     """(key, digest of the row's text, drop: numbers of the units to remove) for rows that lose some.
 
@@ -99,9 +105,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chu
 
     schema = T.StructType([ks, slim.schema["digest"], T.StructField("no", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
     found = materialize(slim.mapInArrow(spots, schema).distinct())
-    often = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk")
+    often = materialize(found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"))  # written, so that a hot chunk's rows can be split in the join
     wanted = materialize(found.join(often, "chunk").groupBy("key", "digest").agg(F.collect_list("no").alias("nos")))
-    given = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+    given = F.broadcast(wanted) if _small(wanted, "nos") else wanted
     given = given.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), "nos")
     again = slim.join(given, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2"))).select("key", "digest", "text", "nos")
 
@@ -119,7 +125,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chu
 
     bodies = materialize(again.mapInArrow(fetch, T.StructType([*schema.fields[:3], T.StructField("body", T.StringType())])).distinct())
     place = F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("digest"), F.col("no"))
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"))  # equal bytes, by value
+    first = materialize(bodies.groupBy("body").agg(F.min(place).alias("first")))  # equal bytes, by value
     later = bodies.join(first, "body").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
@@ -133,7 +139,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool
     gone = materialize(repeated(docs, key, text, units))
     drop, k2, d2, n_lines, n_removed = fresh(docs, "drop", "k2", "d2", "n_lines", "n_removed")
     lists = gone.select(F.col("key").alias(k2), F.col("digest").alias(d2), F.col("drop").alias(drop))
-    lists = F.broadcast(lists) if gone.count() <= BROADCAST_DOCS else lists
+    lists = F.broadcast(lists) if _small(gone, "drop") else lists
     x = docs.join(lists, col(key).eqNullSafe(F.col(k2)) & (_row_key(text) == F.col(d2)), "left").drop(k2, d2)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_removed, T.LongType())])
     at = docs.columns.index(text)
