@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, raw_texts
+from .common import col, materialize, raw_texts
 
 WINDOW = 10
-#: UTF-8 bytes of item text that one automaton takes; a larger benchmark is scanned for block by block.
+#: UTF-8 bytes of item text that one automaton takes; a larger benchmark takes as many scans, one after the other.
 BLOCK_BYTES = 8 << 20
 #: ASCII: digits and small letters stand for themselves, capitals for small letters, all else for a space.
 NORMAL = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -96,42 +97,67 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
+_machines: dict[str, Automaton] = {}
+
+
+def _machine(shared, size: int) -> Automaton:
+    """The broadcast block's automaton, built once in each worker; the one before goes."""
+    name, items = shared.value
+    if name not in _machines:
+        _machines.clear()
+        _machines[name] = Automaton(items, size)
+    return _machines[name]
+
+
+def _joined(runs: list) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, e in sorted(map(list, runs)):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([a, e])
+    return out
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, found: str = "found") -> DataFrame:
     """docs with a struct column `found`: n_words; hit_runs ([first, last] word numbers); spans (byte offsets in the
     original text); items (their ids as strings, sorted). A column of that name is replaced. No shuffle of docs.
 
-    Null or wordless texts: no words, no hits. Items without words never occur; items of equal text all do.
-    A benchmark beyond BLOCK_BYTES is scanned for in blocks, each by its own automaton.
+    Null or wordless texts: no words, no hits. Items without words never occur; items of equal text all do; items without an id
+    hit like others but aren't listed. Repeated rows come out alike. A benchmark beyond BLOCK_BYTES is scanned for block by block: one
+    automaton is in memory at a time, and documents are written between two scans.
     """
     keep = [f for f in docs.schema.fields if f.name.lower() != found.lower()]
     docs = docs.select(*(col(f.name) for f in keep))
-    field = T.StructField(found, FOUND, False)
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(b) for b in blocks(benchmark, item_id, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(p.value, size) for p in parts]
-        for batch in batches:
-            b, off = raw_texts(batch.column(batch.schema.get_field_index(text)))
-            rows = []
-            for i, j in zip(off.tolist(), off[1:].tolist()):
-                raw, n, runs, items = b[i:j].tobytes(), 0, [], []
-                for m in machines:
-                    n, r, x = m.scan(raw)
-                    runs, items = runs + r, items + x
-                if len(machines) > 1 and runs:
-                    joined: list[list[int]] = []
-                    for a, e in sorted(runs):
-                        if joined and a <= joined[-1][1] + 1:
-                            joined[-1][1] = max(joined[-1][1], e)
-                        else:
-                            joined.append([a, e])
-                    runs = [tuple(x) for x in joined]
-                rows.append({"n_words": n, "hit_runs": [list(r) for r in runs], "spans": [{"start": s, "end": e} for s, e in offsets(raw, runs)], "items": sorted({str(x) for x in items})})
-            kind = pa.struct([("n_words", pa.int64()), ("hit_runs", pa.list_(pa.list_(pa.int64()))), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*(f.name for f in keep), found])
-
-    return docs.mapInArrow(run, T.StructType([*keep, field]))
+    schema = T.StructType([*keep, T.StructField(found, FOUND, False)])
+    kind = pa.struct([("n_words", pa.int64()), ("hit_runs", pa.list_(pa.list_(pa.int64()))), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    at, width = [f.name for f in keep].index(text), len(keep)
+
+    def scan(x: DataFrame, items: list[tuple]) -> DataFrame:
+        shared = x.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _machine(shared, size)
+            for batch in batches:
+                b, off = raw_texts(batch.column(at))
+                before = batch.column(width).to_pylist() if batch.num_columns > width else [None] * len(batch)
+                rows = []
+                for i, j, old in zip(off.tolist(), off[1:].tolist(), before):
+                    raw = b[i:j].tobytes()
+                    n, runs, ids = machine.scan(raw)
+                    named = {str(k) for k in ids if k is not None}
+                    if old:
+                        runs, named = _joined([*old["hit_runs"], *runs]), named | set(old["items"])
+                    rows.append({"n_words": n, "hit_runs": [list(r) for r in runs], "spans": [{"start": s, "end": e} for s, e in offsets(raw, runs)], "items": sorted(named)})
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(rows, kind)], names=schema.names)
+
+        return x.mapInArrow(run, schema)
+
+    given = blocks(benchmark, item_id, item_text)
+    docs = scan(docs, next(given))
+    for items in given:
+        docs = scan(materialize(docs), items)
+    return docs
 
 
 def n_hit(found: str = "found"):

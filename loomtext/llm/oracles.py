@@ -43,7 +43,7 @@ items as (select distinct item_id, least(len(w), 10) as k, array_to_string(w[i:i
 sizes as (select distinct k from items),
 found as (select doc_id, i, t.k, v from (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as v from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes)) t where v in (select v from items)),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
-named as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from found join items using (k, v)) group by doc_id)
+named as (select doc_id, count(id) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from found join items using (k, v)) group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join named using (doc_id)"""
 

@@ -430,10 +430,32 @@ def test_shards(docs):
     assert sorted(shards.fisher_yates(50, 1).tolist()) == list(range(50)) and shards.fisher_yates(50, 1).tolist() != list(range(50))
 
 
+def test_written_shards(spark, docs, tmp_path):
+    d = docs.withColumnRenamed("size", "size2").drop("place")
+    got = shards.write_shards(d, f"{tmp_path}/shards", bucket_bytes=2000)
+    want = shards.scatter(d, bucket_bytes=2000)
+    assert got.columns == want.columns
+    rows_ = lambda x: sorted(map(str, x.select("shard", "bucket", "at", "doc_id", "text").collect()))
+    assert rows_(got) == rows_(want)
+    by = defaultdict(list)
+    for r in collected(want):
+        by[r["bucket"]].append((r["at"], r["doc_id"], r["text_crc32"], r["size"], r["text"], r["shard"]))
+    last = lambda v: (v is not None, v)
+    for bucket, found in by.items():  # each bucket is its rows in a fixed order, shuffled with its own seed
+        found.sort()
+        order = shards.fisher_yates(len(found), (shards.SEED << 32) ^ bucket)
+        fixed = sorted((x[1:5] for x in found), key=lambda x: (last(x[0]), x[1], x[2], last(x[3])))
+        assert [fixed[i] for i in order] == [x[1:5] for x in found]
+    starts = Counter()
+    for r in sorted(collected(shards.slots(want)), key=lambda r: (r["shard"], r["bucket"], r["at"])):
+        assert r["slot"] == starts[r["shard"]]
+        starts[r["shard"]] += 1
+
+
 @pytest.mark.parametrize("limit", [8 << 20, 40])
 def test_decontamination(spark, docs, monkeypatch, limit):
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (limit,))
-    items = [(1, LONG), (2, "one TWO"), (3, None), (4, " .. "), (5, "never seen anywhere at all"), (6, "one two")]
+    items = [(1, LONG), (2, "one TWO"), (3, None), (4, " .. "), (5, "never seen anywhere at all"), (6, "one two"), (None, "one TWO"), (7, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -445,7 +467,7 @@ def test_decontamination(spark, docs, monkeypatch, limit):
                 for i in range(len(w) - len(x) + 1):
                     if w[i : i + len(x)] == x:
                         hit.update(range(i, i + len(x)))
-                        ids.add(str(k))
+                        ids |= {str(k)} if k is not None else set()
         assert (r["found"]["n_words"], r["n_hit"], r["found"]["items"]) == (len(w), len(hit), sorted(ids))
         cut = b" ".join((r["text"] or "").encode()[s["start"] : s["end"]] for s in r["found"]["spans"]).decode()
         assert len(low(cut)) == len(hit)
