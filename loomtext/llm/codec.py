@@ -201,7 +201,7 @@ def decoder(path: str) -> Decoder:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", checked: str | None = None) -> DataFrame:
     """docs with an array<int> column `ids`: the tokens of the whole `text` (null and empty text: no tokens).
 
-    checked: name of a boolean column that says whether the ids decode to the text again, found by the same worker.
+    checked: name of a boolean column that says whether the ids, decoded by the same worker, are the text again (null: the empty text).
     All other columns stay as they are; columns named like the new ones are replaced. Rows stay where they are (no shuffle).
     """
     bound_batches(docs.sparkSession)
@@ -219,11 +219,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", che
                 part = batch.slice(i, j - i)
                 same = []
                 if checked:
-                    at, table = np.concatenate([[0], np.cumsum(n)]), c.bytes_of
-                    raw = b[off[i] : off[j]].tobytes()
+                    at, raw = np.concatenate([[0], np.cumsum(n)]).tolist(), b[off[i] : off[j]].tobytes()
                     for k in range(j - i):
-                        back = b"".join(map(table.__getitem__, flat[at[k] : at[k + 1]].tolist()))
-                        same.append(back == raw[off[i + k] - off[i] : off[i + k + 1] - off[i]])
+                        back = c.decode(flat[at[k] : at[k + 1]].tolist())
+                        same.append(back == raw[off[i + k] - off[i] : off[i + k + 1] - off[i]].decode())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(same, pa.bool_())] if checked else [])], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)

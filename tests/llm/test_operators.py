@@ -496,3 +496,58 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in cp.STAGES][0] == "quality rules" and out and all(r["round_trip"] for r in out)
     assert len({r["doc_id"] for r in out} & {12, 13, 14, 15}) == 1
     assert set(docs.columns) == set(cp.line_deduplication(spark, docs, str(tmp_path)).columns)
+
+
+def test_pipeline_whole(spark, tmp_path):
+    """run() against plain loops: limits by judge() (tested above), passages by search, links of all pairs, windows, the library's ids."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(2000)]
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    shared, item = [prose(30), prose(30), prose(25)], prose(14)
+    base = [prose(100) for _ in range(4)]
+    near = lambda t: " ".join(w if k != 50 else "changed" for k, w in enumerate(t.split()))
+    texts = [*base, *base, *map(near, base), "\n".join([prose(30), *shared, prose(9)]), "\n".join([*shared, prose(40)]), prose(20) + " " + item + " " + prose(30), prose(50) + "\n" + item, None, "", "short one", "\n".join(["spam line here"] * 60)]
+    texts += [prose(rnd.randint(25, 90)) for _ in range(25)]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    table = [(k, texts[i], rnd.choice(["en", "de", None]), rnd.choice(["s", "t"]), len(texts[i] or "")) for k, i in enumerate(order)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "never seen anywhere"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in collected(cp.run(spark, str(tmp_path)))}
+
+    x, names = quality.judge(docs)
+    left = {r["doc_id"]: r["text"] for r in collected(x) if r[names["kept"]]}
+    seen = set()
+    for k in sorted(left):
+        lines = left[k].split("\n")
+        full = [i for i, v in enumerate(lines) if v.strip()]
+        gone = set()
+        for i, j in zip(full, full[1:]):
+            if (lines[i], lines[j]) in seen:
+                gone |= set(range(i, j + 1))
+            seen.add((lines[i], lines[j]))
+        for i in full:
+            if len(lines[i].split()) > 50:
+                if lines[i] in seen and len(lines) > 1:
+                    gone.add(i)
+                seen.add(lines[i])
+        left[k] = "\n".join(v for i, v in enumerate(lines) if i not in gone)
+    ids = sorted(left)
+    sets = dict(zip(ids, links([left[k] for k in ids])))
+    group = {k: k for k in ids}
+    for a in ids:
+        for b in ids:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = sorted((group[a], group[b]), reverse=True)
+                group = {k: new if v == old else v for k, v in group.items()}
+    windows = {tuple(item.split()[i : i + 10]) for i in range(5)} | {("never", "seen", "anywhere")}
+    hit = lambda t: any(tuple(w[i : i + n]) in windows for w in [t.lower().split()] for n in (3, 10) for i in range(len(w)))
+    want = [k for k in ids if group[k] == k and not hit(left[k])]
+    assert sorted(got) == want and len(want) < len(left) < len(texts)
+    tok = library()
+    for k in want:
+        e = tok.encode(left[k], add_special_tokens=False).ids
+        assert (got[k]["ids"], got[k]["n_tokens"], got[k]["round_trip"]) == (e, len(e), True)
