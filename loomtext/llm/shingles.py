@@ -128,3 +128,9 @@ def exact_sets(texts: list[bytes]) -> list[np.ndarray]:
             out.append(np.array([-1 - short.setdefault(tuple(p), len(short))] if k else [], np.int64))
         at += k
     return out
+
+
+def shingles_of(text: bytes) -> set[tuple[bytes, ...]]:
+    """A normal text's shingles, as words."""
+    w = text.split(b" ")
+    return set(zip(*(w[k:] for k in range(WORDS)))) if len(w) >= WORDS else {tuple(w)} if text else set()

@@ -345,6 +345,11 @@ def test_jaccard_words_are_compared(spark, monkeypatch):
     assert {r["component_id"] for r in jaccard.join(d).collect()} == set(range(6))
     a, b = shingles.exact_sets([shingles.normal(t.encode()) for t in ("A b\tc  d E f", "a b c d e f g")])
     assert len(a) == 2 and set(a) < set(b) and len(b) == 3
+    words = [b"a b c d e f g h i j", b"a b c d e f g h i j k", b"p q r s t", b"a b c d e f g h i j k l"]
+    assert jaccard.families(words).tolist() == [0, 0, 2, 0]
+    plain = jaccard.families(words).tolist()
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda b, off: [np.array([1], np.uint64) for _ in off[1:]])
+    assert jaccard.families(words).tolist() == plain
     few = shingles.exact_sets([b"a b", b"a b", b"b a", b"", b"a b c d e"])
     assert few[0].tolist() == few[1].tolist() != few[2].tolist() and not len(few[3]) and few[4].tolist() != few[0].tolist()
 
