@@ -64,7 +64,7 @@ merged as (select lower(source) as source, target, domain, load_seq from loaded
 NOTED = BLOCKS + ", noted as (select doc_id, pos, source_text || ' see https://doi.org/10.1000/ab1 and [3,4], (Smith et al., 2020), mail a.b@example.org, $x''+1$ `code` Fig. 2 on page 12' as s from blocks)"
 #: RE2 forms of the patterns that both engines read alike.
 _RE2 = {
-    "latex_apostrophe": r"(?s)\$[^$]*?''[^$]*?\$",
+    "latex_apostrophe": r"(?s)(\$[^$]*?[''][^$]*?\$|\\\(.*?\\\))",
     "latex_display": r"\$\$[^$]+\$\$|\\\[[^\]]+\\\]",
     "latex_text_ops": r"(?s)\\(?:text|mathrm|mathbf|mathbb|mathcal|mathfrak|mathsf|operatorname)\{.*?\}",
     "latex_inline": r"\$[^$\n]+\$",
@@ -75,7 +75,7 @@ _RE2 = {
     "doi": r"(?:doi:|DOI:|https?://doi\.org/)10\.\d{4,}/\S+",
     "arxiv": r"arXiv:\d{4}\.\d{4,5}(?:v\d+)?",
     "url_full": r"(?:https?|ftp|file)://[-A-Za-z0-9+&@#/%?=~_|!:,.;]*[-A-Za-z0-9+&@#/%=~_|]",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
     "citation_bracket": r"\[\d+(?:[,-]\d+)*\]",
     "citation_author": r"\([A-Z][a-z]+(?:\s+et\s+al\.?)?,\s*\d{4}\)",
 }

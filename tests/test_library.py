@@ -33,6 +33,27 @@ def test_mask_types(spark, text, kind):
     assert m["masks"][0]["original"] in text
 
 
+def test_mask_places(spark):
+    """Places are those of the pattern, against Python's re and plain loops."""
+    import re
+
+    texts = ["our homepage 12 has more, see page 12 now", "a.b@c.org xa.b@c.org, a.b@c.org!", "$$x$$ and $y$ and \\(z'\\) `c` ``` d ``` [1] x[1] [1,2]", "p. 3 top. 3 p. 3", "\x01$a$\x02 [3] \x01", "", None, "Fig. 2 figure 2 a tableau 3. See also page 4, (→ voir page suivante)", "x ... 12\ny..... 3"]
+    d = spark.createDataFrame(list(enumerate(texts)), "pos int, source_text string").selectExpr("'d' as doc_id", "pos", "source_text")
+    got = {r["pos"]: [(s["start"], s["end"], s["name"]) for s in r["spans"] or []] for r in masking.spans(d).collect()}
+    for k, t in enumerate(texts):
+        every = sorted((m.start(), -m.end(), -priority, name) for name, priority, p in masking.PATTERNS for m in re.finditer(p, t or ""))
+        chosen = []
+        for start, end, rank, name in every:
+            x = (start, -end, rank, name)
+            if not chosen or start >= chosen[-1][1]:
+                chosen.append(x)
+            elif -end > chosen[-1][1] and rank < chosen[-1][2]:
+                chosen[-1] = x
+        assert got[k] == [(a, b, n) for a, b, _, n in chosen]
+    m = masking.mask(d).where("pos = 0").first()
+    assert m["masked_text"].startswith("our homepage 12 has more, ")
+
+
 def test_mask_roundtrip_and_numbering(spark):
     rows = [("d", 0, r"let $\alpha$ be, see https://doi.org/10.1000/x and [1]."), ("d", 1, "again $x$ and $y$"), ("e", 0, "plain"), ("e", 1, None)]
     m = masking.mask(spark.createDataFrame(rows, "doc_id string, pos int, source_text string")).where("source_text is not null")
