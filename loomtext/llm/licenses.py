@@ -56,7 +56,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
 
     Equal Dice: the template whose name sorts last. Null and empty texts match nothing. A column named `found` is replaced. No shuffle.
     """
-    lines, words, pairs, hits, plain, some, row = fresh(docs, "lines", "words", "pairs", "hits", "plain", "some", "row")
+    lines, words, pairs, hits, plain, some, row, held = fresh(docs, "lines", "words", "pairs", "hits", "plain", "some", "row", "held")
     known = _templates(templates)
     least = min(len(bigrams(t)) for t in templates.values())
     d = docs.withColumn(plain, F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9\n]+", " "))
@@ -75,8 +75,10 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
     d = d.withColumn(some, F.filter(known, lambda t: 3 * F.size(F.array_intersect(F.col(some), t["bigrams"])) >= 2 * t["size"]))
     w = F.element_at(words, -1)
     d = d.withColumn(row, F.when(F.size(some) > 0, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+    d = d.withColumn(held, F.array_distinct(F.flatten(F.transform(F.col(some), lambda t: t["bigrams"]))))
+    spots = F.filter(F.transform(F.col(row), lambda b, i: F.when(F.array_contains(F.col(held), b), i)), lambda i: i.isNotNull())
     fits = lambda i: F.filter(F.col(some), lambda t: F.array_contains(t["bigrams"], F.get(F.col(row), i)) & (i + t["size"] <= F.size(row)))
-    best = F.transform(F.sequence(F.lit(0), F.size(row) - 1), lambda i: F.array_max(F.transform(fits(i), lambda t: dice(F.array_distinct(F.slice(F.col(row), i + 1, t["size"])), t))))
+    best = F.transform(spots, lambda i: F.array_max(F.transform(fits(i), lambda t: dice(F.array_distinct(F.slice(F.col(row), i + 1, t["size"])), t))))
     windows = F.filter(best, lambda h: h.isNotNull())
     d = d.withColumn(hits, F.when(F.size(some) > 0, F.concat(F.col(hits), windows)).otherwise(F.col(hits)))
     reached = lambda a: F.filter(a, lambda h: h["dice"] >= 0.8)
@@ -86,7 +88,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
         F.array_sort(F.array_distinct(F.transform(reached(F.col(hits)), lambda h: F.element_at(F.split(h["template"], "/"), 1)))).alias("licenses"),
         F.array_max(hits).alias("best"),
     )
-    return d.withColumn(found, out).drop(plain, lines, words, pairs, hits, some, row)
+    return d.withColumn(found, out).drop(plain, lines, words, pairs, hits, some, row, held)
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES) -> str:
