@@ -4,6 +4,9 @@ Texts are lower-cased and all but a-z and 0-9 parts words. With a bigrams in a u
 can't reach 0.8 unless 3a >= 2b and 3b >= 2a, so most templates are ruled out before any comparison. A notice that is wrapped
 over lines or stands in prose is in a window of words: one as long as the template starts at each of its bigrams in the text, and of those
 that start together the closest counts. That is only tried where the text holds two thirds of the template's bigrams, fewer than which no window can have.
+
+Such a text holds one of any words that stand in over a third of the template's bigrams. And a unit without any bigram of a template has
+Dice 0 with all, so that its size alone says which of them comes out. Most units need no more than that.
 """
 
 from __future__ import annotations
@@ -50,30 +53,53 @@ def _templates(templates: dict[str, str]) -> Column:
     return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b := bigrams(text))).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for name, text in sorted(templates.items())))
 
 
+def telling(templates: dict[str, str]) -> list[str]:
+    """Words, one of which is in every text that holds two thirds of a template's bigrams: for each, its longest ones that stand in over a third of them."""
+    out: set[str] = set()
+    for text in templates.values():
+        b = [x.split() for x in bigrams(text)]
+        met: set[int] = set()
+        for w in sorted({w for x in b for w in x}, key=lambda w: (-len(w), w)):
+            if 3 * len(met) > len(b):
+                break
+            out.add(w)
+            met |= {k for k, x in enumerate(b) if w in x}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, found: str = "found") -> DataFrame:
     """docs with struct `found`: n_lines; n_license_lines (lines that reach 0.8); licenses (names of those, of the whole
     text's and of windows', sorted); best (dice and template of the closest unit among those that the size bounds let through; null: none).
 
     Equal Dice: the template whose name sorts last. Null and empty texts match nothing. A column named `found` is replaced. No shuffle.
     """
-    lines, words, pairs, hits, plain, some, row, held = fresh(docs, "lines", "words", "pairs", "hits", "plain", "some", "row", "held")
+    lines, words, whole, pairs, seen, pool, hits, plain, some, row, held = fresh(docs, "lines", "words", "whole", "pairs", "seen", "pool", "hits", "plain", "some", "row", "held")
     known = _templates(templates)
-    least = min(len(bigrams(t)) for t in templates.values())
+    sizes = {name: len(bigrams(t)) for name, t in templates.items()}
+    least, most = min(sizes.values()), max(sizes.values()) * 3 // 2
     d = docs.withColumn(plain, F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9\n]+", " "))
-    # the last unit is the whole text
     d = d.withColumn(lines, F.when(col(text).isNotNull(), F.split(plain, "\n")).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn(words, F.transform(F.concat(F.col(lines), F.array(F.translate(F.col(plain), "\n", " "))), lambda u: F.array_remove(F.split(u, " "), "")))
+    d = d.withColumn(words, F.transform(F.col(lines), lambda u: F.array_remove(F.split(u, " "), "")))
+    d = d.withColumn(whole, F.flatten(F.col(words)))
     pair = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-    # a unit of k words has k-1 bigrams at most
+    # a unit of k words has k-1 bigrams at most, and one less than it has distinct words at least
     d = d.withColumn(pairs, F.transform(F.col(words), lambda w: F.when(3 * (F.size(w) - 1) >= 2 * least, pair(w))))
+    w = F.col(whole)
+    near_or_held = F.arrays_overlap(w, F.array(*map(F.lit, telling(templates)))) | (F.size(F.array_distinct(w)) - 1 <= most)
+    d = d.withColumn(pool, F.when((3 * (F.size(w) - 1) >= 2 * least) & near_or_held, pair(w)))
+    every = F.array(*(F.lit(b) for b in sorted({b for t in templates.values() for b in bigrams(t)})))
+    d = d.withColumn(seen, F.array_intersect(F.flatten(F.filter(F.concat(F.col(pairs), F.array(F.col(pool))), lambda b: b.isNotNull())), every))
     dice = lambda b, t: F.struct((2 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])).alias("dice"), t["name"].alias("template"))
     near = lambda b: F.filter(known, lambda t: (3 * F.size(b) >= 2 * t["size"]) & (2 * F.size(b) <= 3 * t["size"]))
-    d = d.withColumn(hits, F.transform(F.col(pairs), lambda b: F.when(b.isNotNull(), F.array_max(F.transform(near(b), lambda t: dice(b, t))))))
+    # by number of bigrams: the last template within the bounds
+    last = F.array(*(F.lit(max((n for n, k in sizes.items() if 3 * b >= 2 * k and 2 * b <= 3 * k), default=None)).cast("string") for b in range(most + 1)))
+    zero = lambda b: F.when(F.get(last, F.size(b)).isNotNull(), F.struct(F.lit(0.0).alias("dice"), F.get(last, F.size(b)).alias("template")))
+    hit = lambda b: F.when(b.isNotNull(), F.when(F.arrays_overlap(b, F.col(seen)), F.array_max(F.transform(near(b), lambda t: dice(b, t)))).otherwise(zero(b)))
+    # the last unit is the whole text
+    d = d.withColumn(hits, F.transform(F.concat(F.col(pairs), F.array(F.col(pool))), hit))
     # templates of which the text holds enough, then windows from each place that holds one of their bigrams
-    every = F.array(*(F.lit(b) for b in sorted({b for t in templates.values() for b in bigrams(t)})))
-    d = d.withColumn(some, F.array_intersect(F.element_at(pairs, -1), every))
-    d = d.withColumn(some, F.filter(known, lambda t: 3 * F.size(F.array_intersect(F.col(some), t["bigrams"])) >= 2 * t["size"]))
-    w = F.element_at(words, -1)
+    d = d.withColumn(some, F.when(F.col(pool).isNotNull(), F.array_intersect(F.col(pool), F.col(seen))))
+    d = d.withColumn(some, F.when(F.size(some) > 0, F.filter(known, lambda t: 3 * F.size(F.array_intersect(F.col(some), t["bigrams"])) >= 2 * t["size"])))
     d = d.withColumn(row, F.when(F.size(some) > 0, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
     d = d.withColumn(held, F.array_distinct(F.flatten(F.transform(F.col(some), lambda t: t["bigrams"]))))
     spots = F.filter(F.transform(F.col(row), lambda b, i: F.when(F.array_contains(F.col(held), b), i)), lambda i: i.isNotNull())
@@ -88,7 +114,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
         F.array_sort(F.array_distinct(F.transform(reached(F.col(hits)), lambda h: F.element_at(F.split(h["template"], "/"), 1)))).alias("licenses"),
         F.array_max(hits).alias("best"),
     )
-    return d.withColumn(found, out).drop(plain, lines, words, pairs, hits, some, row, held)
+    return d.withColumn(found, out).drop(plain, lines, words, whole, pairs, seen, pool, hits, some, row, held)
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES) -> str:
