@@ -79,9 +79,10 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
     least, most = min(sizes.values()), max(sizes.values()) * 3 // 2
     d = docs.withColumn(plain, F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[^a-z0-9\n]+", " "))
     d = d.withColumn(lines, F.when(col(text).isNotNull(), F.split(plain, "\n")).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn(words, F.transform(F.col(lines), lambda u: F.array_remove(F.split(u, " "), "")))
+    d = d.withColumn(words, F.transform(F.col(lines), lambda u: F.when(F.trim(u) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(u), " "))))
     d = d.withColumn(whole, F.flatten(F.col(words)))
-    pair = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+    each = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    pair = lambda w: F.array_distinct(each(w))
     # a unit of k words has k-1 bigrams at most, and one less than it has distinct words at least
     d = d.withColumn(pairs, F.transform(F.col(words), lambda w: F.when(3 * (F.size(w) - 1) >= 2 * least, pair(w))))
     w = F.col(whole)
@@ -100,7 +101,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
     # templates of which the text holds enough, then windows from each place that holds one of their bigrams
     d = d.withColumn(some, F.when(F.col(pool).isNotNull(), F.array_intersect(F.col(pool), F.col(seen))))
     d = d.withColumn(some, F.when(F.size(some) > 0, F.filter(known, lambda t: 3 * F.size(F.array_intersect(F.col(some), t["bigrams"])) >= 2 * t["size"])))
-    d = d.withColumn(row, F.when(F.size(some) > 0, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+    d = d.withColumn(row, F.when(F.size(some) > 0, each(w)))
     d = d.withColumn(held, F.array_distinct(F.flatten(F.transform(F.col(some), lambda t: t["bigrams"]))))
     spots = F.filter(F.transform(F.col(row), lambda b, i: F.when(F.array_contains(F.col(held), b), i)), lambda i: i.isNotNull())
     fits = lambda i: F.filter(F.col(some), lambda t: F.array_contains(t["bigrams"], F.get(F.col(row), i)) & (i + t["size"] <= F.size(row)))
