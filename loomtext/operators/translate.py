@@ -40,7 +40,8 @@ def misses(texts: DataFrame, cache: DataFrame, now: Column, days: int = 7) -> Da
 
 
 def translate_distinct(blocks: DataFrame, translator: Column | Callable[[list[str]], list[str]], text: str = "source_text", out: str = "translated_text", sources: int = 0) -> DataFrame:
-    """Translate each distinct text once and hand it to all its rows; blank texts pass, failures keep the text.
+    """Translate each distinct text once and hand it to all its rows; blank texts pass; a text that the
+    translator fails at (an error, or null) stays as it is, and the others of its batch are tried alone.
 
     translator: a Column of `text`, or a function of a list of texts. sources: partitions (concurrent clients) for a function; 0: as planned.
     """
@@ -49,9 +50,20 @@ def translate_distinct(blocks: DataFrame, translator: Column | Callable[[list[st
         done = todo.withColumn("_t", translator)
     else:
 
+        def alone(t: str) -> str | None:
+            try:
+                return translator([t])[0]
+            except Exception:
+                return None
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield f.assign(_t=translator(list(f[text])))
+                texts = list(f[text])
+                try:
+                    done = translator(texts)
+                except Exception:  # a translator may raise anything
+                    done = [alone(t) for t in texts]
+                yield f.assign(_t=done)
 
         done = (todo.repartition(sources) if sources else todo).mapInPandas(run, f"{text} string, _t string")
     keyed = done.select(F.col(text).alias("_s"), "_t")
