@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.glossary import DEMO
 from ..operators.scoring import WEIGHTS
+from ..operators.translate import RULES
 
 _WORDS = r"regexp_extract_all({}, '\S+')"
 
@@ -34,6 +35,12 @@ def _gloss(x: str) -> str:
     return x
 
 
+def _ruled(x: str) -> str:
+    for a, b in RULES:
+        x = f"replace(replace({x}, '{a} ', '{b} '), '{a.capitalize()} ', '{b.capitalize()} ')"
+    return x
+
+
 _T = _trim("source_text")
 BLOCKS = rf"""
 raw as (select doc_id, lang, unnest(string_split(text, chr(10))) as source_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
@@ -53,6 +60,8 @@ HAS_LETTERS = rf"coalesce(length({{0}}) > 0 and {_count('{0}', r'\p{{L}}')} / nu
 _S, _U = _norm("source_text"), _norm("translated_text")
 SIMPLE = rf"coalesce({_S} = {_U} and {_count(_S, r'\p{L}')} >= 0.3 * length({_S}) and length({_S}) >= 5 and {_count(_S, r'\p{L}')} >= 0.4 * length({_S}), false)"
 IDENTITY = rf"coalesce({_S} = {_U} and length({_T}) >= 30 and {_count('source_text', r'\S+')} >= 6 and 10 * {_count('source_text', r'\p{Lu}')} <= 7 * {_count('source_text', r'\p{L}')} and 10 * {_count('source_text', r'\p{Nd}')} <= 3 * length(source_text) and 2 * (length(source_text) - length(regexp_replace(source_text, '<<[A-Z_]+_\d+>>|MASK_[A-Z_]+_\d+_MASK', '', 'g'))) <= length(source_text), false)"
+#: Java's upper case of sharp s is SS, DuckDB's is one letter.
+_UPPER = "upper(replace(source_text, 'ß', 'ss'))"
 _DONE = f"{CAN} and not ({_blank('translated_text')})"
 _LOST = f"{CAN} and ({_blank('translated_text')})"
 _COVER = "case when translatable > 0 then round(translated / translatable, 6) else 1.0 end"
@@ -199,6 +208,9 @@ def oracle_sql() -> dict[str, str]:
         "cascade_failover": f"{B} select lang, case pos % 4 when 0 then 0 when 2 then 1 when 1 then 2 end as service, count(*) as n from blocks group by all",
         "bleu_corpus": f"{TR}, {_ngram('word', 4)}, k as (select *, pow(2, sum(case when m = 0 then 1 else 0 end) over (partition by lang order by n)) as z from per), x as (select lang, avg(ln(case when m = 0 then 1 / (z * h) else m / h end)) filter (h > 0) as s, max(h) filter (n = 1) as hw, max(r) filter (n = 1) as rw, max(m) filter (n = 1) as mw from k group by lang) select lang, round(case when mw = 0 then 0.0 else (case when hw < rw then exp(1 - rw / hw) else 1.0 end) * exp(s) end, 6) as bleu from x",
         "chrf_corpus": f"{TR}, {_ngram('char', 6)}, x as (select lang, avg(m / h) filter (h > 0 and r > 0) as p, avg(m / r) filter (h > 0 and r > 0) as q from per group by lang) select lang, round(5 * p * q / (4 * p + q), 6) as chrf from x",
+        "metric_bundle": rf"{TR}, {GLOSSARY}, p as (select lang, list_distinct(list_transform(regexp_extract_all(source_text, '[+-]?\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.'))) as a, list_distinct(list_transform(regexp_extract_all(coalesce(translated_text, ''), '[+-]?\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.'))) as b from tr), c as (select lang, case when sum(len(a)) > 0 then round(sum(len(list_intersect(a, b))) / sum(len(a)), 6) else 1.0 end as consistency from p group by lang), l as (select lang, round(count(*) filter (not ({_blank('translated_text')})) / count(*), 6) as fidelity from tr group by lang), g as (select lang, round(count(*) filter (contains(lower(coalesce(translated_text, '')), term_target)) / count(*), 6) as adherence from tr join glossary on contains(lower(source_text), term) group by lang) select lang, consistency, fidelity, coalesce(adherence, 1.0) as adherence, null::double as comet from c join l using (lang) left join g using (lang)",
+        "dedup_translate": f"{B} select doc_id, pos, md5({_ruled('source_text')}) as translated_hash from blocks",
+        "repair_failed": f"{TR} select status, count(*) as n from (select case when not can or not ({_blank('translated_text')} or {SIMPLE}) then 'ok' when pos % 2 = 0 and not ({SIMPLE.replace(_U, _norm(_UPPER))}) then 'repaired_0' else 'repaired_1' end as status from tr) group by status",
         "iou_match": f"with {BOXES}, x as (select b.doc_id, b.pos, d.det_idx, d.cls, {IOU} as iou from blocks b join det d using (doc_id, page)), y as (select * from x where iou > 0.3 qualify row_number() over (partition by doc_id, pos order by round(iou, 9) desc, det_idx) = 1) select b.doc_id, b.pos, det_idx, cls, round(iou, 6) as iou from blocks b left join y using (doc_id, pos)",
         "layout_iou_mean": f"with {BOXES}, x as (select b.doc_id, b.pos, coalesce(max(case when d.doc_id is null then null else {IOU} end), 0.0) as best from (select * from blocks where page = 0) b left join (select * from det where page = 0) d using (doc_id) group by all) select doc_id, round(avg(best), 6) as mean_iou, round(avg((best > 0.3)::int), 6) as share from x group by doc_id",
         "column_detection": f"{B}, x as (select distinct doc_id, page, x0 from blocks), y as (select *, coalesce((x0 - lag(x0) over (partition by doc_id, page order by x0) >= 50)::int, 0) as new from x) select doc_id, page, sum(new) + 1 as columns from y group by all",

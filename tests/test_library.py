@@ -240,7 +240,7 @@ def normal(d: pd.DataFrame) -> pd.DataFrame:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", [n for n in oracles.oracle_sql() if n not in ("rerank_best", "rerank_stats", "score_report_tiers", "worst_blocks")])
+@pytest.mark.parametrize("name", list(oracles.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
