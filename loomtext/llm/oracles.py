@@ -48,5 +48,25 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hits using (doc_id) left join named using (doc_id)"""
 
 
+def audit_sql() -> str:
+    """Walks every order over every document, without masks' counts."""
+    fails = {"A": "n < 100", "B": "100 * len(list_distinct(w)) < 80 * n", "C": "100 * caps > 10 * length(t)", "D": "regexp_matches(t, '[#$%&*|]')", "E": "doc_id > first"}
+    flags = ", ".join(f"coalesce({c}, false)::int as {f}" for f, c in fails.items())
+    fail = "case substr(o, s::int, 1) " + " ".join(f"when '{f}' then {f}" for f in fails) + " end"
+    earlier = " or ".join(f"({f} = 1 and strpos(o, '{f}') < s)" for f in fails)
+    return rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+m as (select *, min(doc_id) over (partition by t) as first, regexp_extract_all(t, '[^ 	-]+') as w, len(regexp_extract_all(t, '[A-Z]')) as caps from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+f as (select part, {flags}, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from (select *, len(w) as n from m) left join l using (doc_id)),
+g as (select part, A, B, C, D, E, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select g.*, o, s, substr(o, s::int, 1) as own, {fail} as fail, ({earlier})::int as earlier, A + B + C + D + E as many from g, orders, range(1, 6) r(s)),
+y as (select part, o as filter_order, s::int as step, own, sum(n * ((1 - earlier) * (1 - fail)))::bigint as kept, sum(n * (1 - earlier) * fail)::bigint as removed, sum(n * earlier * fail)::bigint as redundant,
+  sum(case when fail = 1 and many = 1 then n else 0 end)::bigint as unique_fails, sum(good * (1 - earlier) * fail)::bigint as good_lost, sum(toxic * (1 - earlier) * fail)::bigint as toxic_lost from steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op5_license_scan": scan_sql(), "op10_decontamination": decontamination_sql()}
+    return {"op2_quality_rules": quality_sql(), "op5_license_scan": scan_sql(), "op10_decontamination": decontamination_sql(), "op11_filter_audit": audit_sql()}

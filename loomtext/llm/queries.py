@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
+from . import codec, decontaminate, filter_audit, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
 from .oracles import oracle_sql
 from .common import load, scratch_root
 
@@ -107,8 +107,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, order of the five filters and step: what is kept, removed, redundant and lost."""
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), load(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.mask_counts(docs, labels), "ABCDE")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination, op11_filter_audit)}
 
 
 __all__ = ["oracle_sql", "queries"]
