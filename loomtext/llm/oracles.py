@@ -56,7 +56,8 @@ def audit_sql() -> str:
     earlier = " or ".join(f"({f} = 1 and strpos(o, '{f}') < s)" for f in fails)
     return rf"""
 with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
-m as (select *, min(doc_id) over (partition by t) as first, regexp_extract_all(t, '[^ 	-]+') as w, len(regexp_extract_all(t, '[A-Z]')) as caps from d),
+m as (select *, min(doc_id) over (partition by t) as first, regexp_extract_all(t, '[^ 	-
+]+') as w, len(regexp_extract_all(t, '[A-Z]')) as caps from d),
 l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
 f as (select part, {flags}, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from (select *, len(w) as n from m) left join l using (doc_id)),
 g as (select part, A, B, C, D, E, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
@@ -68,5 +69,15 @@ y as (select part, o as filter_order, s::int as step, own, sum(n * ((1 - earlier
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley from y"""
 
 
+def url_sql() -> str:
+    return r"""
+with r(action, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, regexp_extract(rest, '^[^/?#]*') as h, rest from a),
+p as (select row_number() over () as row_no, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from b),
+m as (select row_no, arg_max({'rule': r.host || r.path, 'action': action}, length(r.host) + length(r.path)) as won from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by row_no)
+select page_id, host, path, won.rule as rule, coalesce(won.action, 'allow') as verdict from p left join m using (row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op5_license_scan": scan_sql(), "op10_decontamination": decontamination_sql(), "op11_filter_audit": audit_sql()}
+    return {"op2_quality_rules": quality_sql(), "op5_license_scan": scan_sql(), "op10_decontamination": decontamination_sql(), "op11_filter_audit": audit_sql(), "op12_url_filters": url_sql()}

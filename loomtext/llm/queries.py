@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, filter_audit, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity
+from . import codec, decontaminate, filter_audit, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity, url_filters
 from .oracles import oracle_sql
 from .common import load, scratch_root
 
@@ -113,8 +113,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_counts(docs, labels), "ABCDE")
 
 
+#: The contract's rules: action, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host, path, the rule that decides, and the verdict."""
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    x, names = url_filters.judge(load(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return x.select("page_id", *(F.col(c).alias(n) for n, c in names.items()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination, op11_filter_audit, op12_url_filters)}
 
 
 __all__ = ["oracle_sql", "queries"]
