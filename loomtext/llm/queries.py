@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, filter_audit, jaccard, licenses, line_dedup, quality, shards, suffix_dedup, token_counts, toxicity, url_filters
+from . import codec, decontaminate, filter_audit, jaccard, licenses, line_dedup, periodic_runs, quality, shards, suffix_dedup, token_counts, toxicity, url_filters
 from .oracles import oracle_sql
 from .common import load, scratch_root
 
@@ -124,8 +124,42 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", *(F.col(c).alias(n) for n, c in names.items()))
 
 
+def _with_tail(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of one document in ten, by the checksum of its id, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    d = docs.withColumn("words", F.when(h % 10 == 0, words))
+    n = F.size("words")
+    d = d.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("a")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), rest)), " ")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: runs, the longest one, and digests of all runs and of the words that stay."""
+    x, names = periodic_runs.find(_with_tail(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col(names["runs"])
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    x = x.withColumn("longest", longest)
+    length = -F.col("longest.shorter")
+    return x.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        length.alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(1000 * length / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(names["collapsed"], 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination, op11_filter_audit, op12_url_filters)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_quality_rules, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_jaccard_join, op7_token_counts, op8_line_dedup, op9_shuffled_shards, op10_decontamination, op11_filter_audit, op12_url_filters, op13_periodic_runs)}
 
 
 __all__ = ["oracle_sql", "queries"]
