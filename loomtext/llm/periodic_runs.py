@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, passes, raw_texts
+from .common import PASS_BYTES, fresh, passes, raw_texts
 
 #: A run has as many words at least, and as many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -182,7 +182,7 @@ def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = raw_texts(batch.column(place))
-            for i, j in passes(off):
+            for i, j in passes(off, PASS_BYTES):
                 piece = batch.slice(i, j - i)
                 n, listed, joined = _pass(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([*piece.columns, n, listed, joined.cast(pa.large_string())], names=schema.names)
