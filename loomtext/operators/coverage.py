@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import BLOCK_TYPES
+from ..sources.scratch import written
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -16,6 +18,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part / whole).otherwise(1.0), 6)
 
 
+def defect() -> Column:
+    """A translatable block whose translation is missing or repeats the source."""
+    return tx.is_translatable("block_type") & (tx.blank("translated_text") | tx.simple_identity("source_text", "translated_text"))
+
+
 def defects(blocks: DataFrame) -> DataFrame:
     """Translatable blocks whose translation is missing or a copy of the source; reason says which."""
     reason = F.when(tx.blank("translated_text"), "missing_translation").when(tx.simple_identity("source_text", "translated_text"), "identity_translation")
@@ -66,13 +73,15 @@ def repair(blocks: DataFrame, translators: list[Callable[[DataFrame], DataFrame]
 
     A translator takes blocks and returns them with another translated_text.
     """
-    good = ~(tx.blank("translated_text") | tx.simple_identity("source_text", "translated_text"))
-    out = blocks.withColumn("status", F.when(good | ~tx.is_translatable("block_type"), "ok"))
+    bad = F.coalesce(defect(), F.lit(False))
+    out, left = [blocks.where(~bad).withColumn("status", F.lit("ok"))], written(blocks.where(bad))
     for k, translate in enumerate(translators):
-        todo = out.where("status is null").drop("status")
-        tried = translate(todo).withColumn("status", F.when(good, F.lit(f"repaired_{k}")))
-        out = out.where("status is not null").unionByName(tried)
-    return out.withColumn("status", F.coalesce("status", F.lit("failed")))
+        if left.isEmpty():
+            break
+        tried = written(translate(left))
+        out.append(tried.where(~bad).withColumn("status", F.lit(f"repaired_{k}")))
+        left = tried.where(bad)
+    return reduce(DataFrame.unionByName, [*out, left.withColumn("status", F.lit("failed"))])
 
 
 def quality_gate(source: Column, target: Column, masks: Column, confidence: Column, least: float, check_masks: bool = True) -> Column:

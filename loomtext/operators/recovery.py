@@ -1,65 +1,104 @@
 """Recovery of failed translations: rounds of retries, a fallback service, refinement, answers that were cut, and what a run reports of it.
 
-Answers are Columns, so that each stage is a projection: no row is shuffled, and only rows that an earlier stage left need a later one's answer.
+Rounds and fallbacks run over what is left: each writes its answers, and the next translator is asked only for the rest.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .coverage import ratio, refinement_ok
-from .translate import chunk, chunk_masked
+from ..sources.scratch import written
+from .coverage import defect, failure_report, ratio, refinement_ok
+from .translate import Translator, answered, chunk, chunk_masked
 
 Answer = Callable[[Column], Column]
 
 
-def _defect() -> Column:
-    return tx.is_translatable("block_type") & (tx.blank("translated_text") | tx.simple_identity("source_text", "translated_text"))
-
-
 def usable(answer: Column, source: Column | str = "source_text") -> Column:
     """The answer, or null where it is blank or only repeats the source."""
     source = F.col(source) if isinstance(source, str) else source
     return F.when(~tx.blank(answer) & (tx.normalize(answer) != tx.normalize(source)), answer)
 
 
-def retry(blocks: DataFrame, attempts: list[Column], delay: float = 1.0, factor: float = 2.0) -> DataFrame:
-    """Failed blocks take the first usable attempt. round: its number from 1 (null: none needed, or none helped); waited: seconds of back-off.
+@dataclass(frozen=True)
+class Backoff:
+    """Seconds between rounds: none before the first, then `delay`, each further one `factor` times as long."""
+
+    delay: float = 1.0
+    factor: float = 2.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def before(self, k: int) -> float:
+        """Seconds of waiting before round k (from 0)."""
+        return self.delay * self.factor ** (k - 1) if k else 0.0
+
+
+class CoverageError(Exception):
+    """Translatable blocks are left without a translation. report: the failure report of all of them, as a DataFrame."""
+
+    def __init__(self, missing: int, total: int, report: DataFrame):
+        self.missing, self.total, self.report = missing, total, report
+        self.coverage = (total - missing) / total if total else 1.0
+        super().__init__(f"translation coverage is {self.coverage:.6f}: {missing} of {total} blocks are missing")
+
+
+def rounds(blocks: DataFrame, translators: list[Translator], backoff: Backoff = Backoff(), at_once: int = 0) -> DataFrame:
+    """Ask one translator after the other, each only for the blocks that are left.
+
+    A block is left while it is translatable and its translation is missing or repeats the source. Each round's answers are
+    written as a table in the shared folder before the next translator is asked, so a translator sees a block once, lost executors
+    or not, and a round without remainder isn't run. Other blocks are read once more and never shuffled.
 
-    There is no wait before the first round; each further one waits `factor` times as long. Nothing sleeps here. failed: still without a translation.
+    round: number of the translator that helped, from 1 (null: none was needed, or none helped); waited: seconds of back-off up to there;
+    failed: still without a translation. Translators are Columns, functions of a list of texts, or of DataFrames (blocks in, blocks with
+    another translated_text out). at_once: so many of the last ones are asked without a wait. A text that a translator raises at, or answers with null, stays for the next one.
     """
-    good = [usable(a) for a in attempts]
-    bad = _defect()
-    waits = [sum(delay * factor**k for k in range(r)) for r in range(len(attempts))]
-    took, waited = F.when(F.lit(False), 0), F.when(~bad, 0.0)
-    for k, g in enumerate(good):
-        took = took.when(bad & g.isNotNull(), k + 1)
-        waited = waited.when(g.isNotNull(), waits[k])
-    found = F.coalesce(*good, F.lit(None).cast("string"))
-    return blocks.withColumns({"round": took, "waited": waited.otherwise(waits[-1] if waits else 0.0), "failed": bad & found.isNull(), "translated_text": F.when(bad & found.isNotNull(), found).otherwise(F.col("translated_text"))})
-
-
-def guarantee(blocks: DataFrame, attempts: list[Column], fallback: Column | None = None) -> DataFrame:
-    """Retries, then the fallback service for what they left. status: ok, retried, fallback or failed. A fallback of None is skipped."""
-    tried = retry(blocks, attempts)
-    last = F.lit(None).cast("string") if fallback is None else usable(fallback)
-    saved = F.col("failed") & last.isNotNull()
-    status = F.when(F.col("round").isNotNull(), "retried").when(saved, "fallback").when(F.col("failed"), "failed").otherwise("ok")
-    return tried.withColumns({"status": status, "translated_text": F.when(saved, last).otherwise(F.col("translated_text"))}).drop("round", "waited", "failed")
+    bad = F.coalesce(defect(), F.lit(False))
+    kept = [c for c in blocks.columns if c not in ("round", "waited", "failed")]
+    none = {"round": F.lit(None).cast("int"), "waited": F.lit(0.0), "failed": F.lit(False)}
+    out = [blocks.select(*kept).where(~bad).withColumns(none)]
+    left, waited = written(blocks.select(*kept).where(bad)), 0.0
+    for k, translator in enumerate(translators):
+        if left.isEmpty():
+            break
+        pause = backoff.before(k) if k < len(translators) - at_once else 0.0
+        if pause:
+            backoff.sleep(pause)
+        waited += pause
+        good = usable(F.col("_answer"))
+        tried = written(answered(left, translator))
+        solved = tried.where(good.isNotNull()).withColumn("translated_text", good).drop("_answer")
+        out.append(solved.withColumns({"round": F.lit(k + 1), "waited": F.lit(waited), "failed": F.lit(False)}))
+        left = tried.where(good.isNull()).drop("_answer")
+    out.append(left.withColumns({"round": F.lit(None).cast("int"), "waited": F.lit(waited), "failed": F.lit(True)}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def guarantee(blocks: DataFrame, attempts: list[Translator], fallback: Translator | None = None, backoff: Backoff = Backoff()) -> DataFrame:
+    """Rounds of retries, then the fallback service without a wait for what they left. status: ok, retried, fallback or failed."""
+    n = len(attempts)
+    tried = rounds(blocks, attempts, backoff) if fallback is None else rounds(blocks, [*attempts, fallback], backoff, at_once=1)
+    status = F.when(F.col("failed"), "failed").when(F.col("round") > n, "fallback").when(F.col("round").isNotNull(), "retried").otherwise("ok")
+    return tried.withColumn("status", status).drop("round", "waited", "failed")
 
 
 def guaranteed_coverage(blocks: DataFrame, strict: bool = False) -> DataFrame:
-    """guarantee()'s rows by document: translatable, recovered, missing and coverage. strict: the job fails at a document with missing blocks, naming it."""
-    n, lost = F.count_if(tx.is_translatable("block_type")), F.count_if(F.col("status") == "failed")
-    out = blocks.groupBy("doc_id").agg(n.alias("translatable"), F.count_if(F.col("status").isin("retried", "fallback")).alias("recovered"), lost.alias("missing"), ratio(n - lost, n).alias("coverage"))
+    """guarantee()'s rows by document: translatable, recovered, missing and coverage. strict: CoverageError where blocks are missing."""
+    can, gone = tx.is_translatable("block_type"), F.col("status") == "failed"
     if strict:
-        told = F.concat(F.lit("translation coverage of document "), F.col("doc_id").cast("string"), F.lit(" is "), F.col("coverage").cast("string"))
-        out = out.withColumn("coverage", F.when(F.col("missing") > 0, F.raise_error(told)).otherwise(F.col("coverage")))
-    return out
+        blocks = written(blocks)
+        seen = blocks.agg(F.count_if(can).alias("total"), F.count_if(gone).alias("missing")).first()
+        if seen.missing:
+            raise CoverageError(seen.missing, seen.total, failure_report(blocks.where(gone)))
+    n, lost = F.count_if(can), F.count_if(gone)
+    return blocks.groupBy("doc_id").agg(n.alias("translatable"), F.count_if(F.col("status").isin("retried", "fallback")).alias("recovered"), lost.alias("missing"), ratio(n - lost, n).alias("coverage"))
 
 
 def single_fallback(source: Column, answer: Column) -> Column:
@@ -121,5 +160,5 @@ def translation_report(blocks: DataFrame) -> DataFrame:
     """Each block's part of the translation report: kind, whether it has a translation, lengths and status."""
     has = ~tx.blank("translated_text")
     can = tx.is_translatable("block_type")
-    status = F.when(~can, "skipped").when(_defect() & has, "identity").when(has, "translated").otherwise("missing")
+    status = F.when(~can, "skipped").when(defect() & has, "identity").when(has, "translated").otherwise("missing")
     return blocks.select("doc_id", "pos", "block_type", can.alias("is_translatable"), has.alias("has_translation"), F.length("source_text").alias("source_length"), F.coalesce(F.length("translated_text"), F.lit(0)).alias("translation_length"), status.alias("status"))

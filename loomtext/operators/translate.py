@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -39,6 +40,48 @@ def misses(texts: DataFrame, cache: DataFrame, now: Column, days: int = 7) -> Da
     return texts.join(live, "key", "left_anti")
 
 
+#: A Column of the text, a function of a list of texts (it runs in Arrow batches), or of DataFrames (blocks in, blocks with another translated_text out).
+Translator = Column | Callable[[list[str]], list[str]] | Callable[[DataFrame], DataFrame]
+
+
+def on_frames(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Marks a translator that takes blocks, as a DataFrame."""
+    f.on_frames = True
+    return f
+
+
+def _in_batches(translator: Callable[[list[str]], list[str]], text: str, out: str):
+    """mapInPandas function: the translator over each batch; where it raises, each text alone (an error: null)."""
+
+    def alone(t: str) -> str | None:
+        try:
+            return translator([t])[0]
+        except Exception:
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = list(f[text])
+            try:
+                done = list(translator(texts))
+            except Exception:  # a translator may raise anything
+                done = [alone(t) for t in texts] if len(texts) > 1 else [None] * len(texts)
+            yield f.assign(**{out: done})
+
+    return run
+
+
+def answered(blocks: DataFrame, translator: Translator, text: str = "source_text", out: str = "_answer") -> DataFrame:
+    """blocks with the translator's answer to each of them, in a column of its own."""
+    if isinstance(translator, Column):
+        return blocks.withColumn(out, translator)
+    if getattr(translator, "on_frames", False):
+        had = blocks.withColumn("_had", F.col("translated_text"))
+        return translator(had).withColumnRenamed("translated_text", out).withColumnRenamed("_had", "translated_text")
+    schema = T.StructType([*blocks.schema.fields, T.StructField(out, T.StringType())])
+    return blocks.mapInPandas(_in_batches(translator, text, out), schema)
+
+
 def translate_distinct(blocks: DataFrame, translator: Column | Callable[[list[str]], list[str]], text: str = "source_text", out: str = "translated_text", sources: int = 0) -> DataFrame:
     """Translate each distinct text once and hand it to all its rows; blank texts pass; a text that the
     translator fails at (an error, or null) stays as it is, and the others of its batch are tried alone.
@@ -46,27 +89,9 @@ def translate_distinct(blocks: DataFrame, translator: Column | Callable[[list[st
     translator: a Column of `text`, or a function of a list of texts. sources: partitions (concurrent clients) for a function; 0: as planned.
     """
     todo = blocks.where(~tx.blank(text)).select(text).distinct()
-    if isinstance(translator, Column):
-        done = todo.withColumn("_t", translator)
-    else:
-
-        def alone(t: str) -> str | None:
-            try:
-                return translator([t])[0]
-            except Exception:
-                return None
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                texts = list(f[text])
-                try:
-                    done = translator(texts)
-                except Exception:  # a translator may raise anything
-                    done = [alone(t) for t in texts]
-                yield f.assign(_t=done)
-
-        done = (todo.repartition(sources) if sources else todo).mapInPandas(run, f"{text} string, _t string")
-    keyed = done.select(F.col(text).alias("_s"), "_t")
+    if sources and not isinstance(translator, Column):
+        todo = todo.repartition(sources)
+    keyed = answered(todo, translator, text, "_t").select(F.col(text).alias("_s"), "_t")
     return blocks.join(keyed, F.col(text) == F.col("_s"), "left").withColumn(out, F.coalesce("_t", text)).drop("_s", "_t")
 
 

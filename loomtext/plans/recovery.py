@@ -4,29 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recovery
+from ..operators.translate import Translator
 from ..sources.blocks import read_table
 from . import oracles
 from .queries import _blocks, _translated
 
 
-def _attempts() -> tuple[list[Column], Column]:
+def _attempts() -> tuple[list[Translator], Translator]:
     """Two rounds and a fallback; the first round's answer repeats the source, helps or is blank."""
     s, k = F.col("source_text"), F.col("pos")
     one = F.when(k % 3 == 0, F.concat(F.lit("  "), s)).when(k % 3 == 1, F.concat(F.lit("[1] "), s)).otherwise(F.lit("  "))
     return [one, F.when(k % 2 == 0, F.concat(F.lit("[2] "), s))], F.when(k % 5 == 0, F.concat(F.lit("[f] "), s))
 
 
+#: The answers are at hand, so rounds don't wait.
+AT_ONCE = recovery.Backoff(sleep=lambda seconds: None)
+
+
 def retry_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    x = recovery.retry(_translated(spark, sf), _attempts()[0]).where("failed or round is not null")
+    x = recovery.rounds(_translated(spark, sf), _attempts()[0], AT_ONCE).where("failed or round is not null")
     return x.select("doc_id", "pos", "round", "waited", F.md5("translated_text").alias("text_hash"))
 
 
 def coverage_guarantee(spark: SparkSession, sf: str) -> DataFrame:
-    return recovery.guaranteed_coverage(recovery.guarantee(_translated(spark, sf), *_attempts()))
+    return recovery.guaranteed_coverage(recovery.guarantee(_translated(spark, sf), *_attempts(), AT_ONCE))
 
 
 def single_block_fallback(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,20 +12,79 @@ from loomtext.plans import recovery as plans
 from tests.test_library import LONG, SF, blocks, normal
 
 
-def test_retry_and_guarantee(spark):
+def waits():
+    """A back-off that notes how long it would sleep."""
+    slept = []
+    return slept, recovery.Backoff(sleep=slept.append)
+
+
+def test_rounds_and_guarantee(spark):
     b = blocks(spark, [("PARAGRAPH", LONG, None), ("PARAGRAPH", LONG, LONG), ("PARAGRAPH", LONG, "bon"), ("EQUATION", "x", None), ("PARAGRAPH", "alone here", " ")])
     s, k = F.col("source_text"), F.col("pos")
     attempts = [F.when(k == 0, F.upper(s)).otherwise(F.lit(" ")), F.when(k < 2, F.concat(F.lit("a "), s))]
-    got = [tuple(r) for r in recovery.retry(b, attempts).orderBy("pos").select("round", "waited", "failed", "translated_text").collect()]
-    assert got == [(2, 1.0, False, "a " + LONG), (2, 1.0, False, "a " + LONG), (None, 0.0, False, "bon"), (None, 0.0, False, None), (None, 1.0, True, " ")]
-    g = recovery.guarantee(b, attempts)
+    slept, backoff = waits()
+    got = [tuple(r) for r in recovery.rounds(b, attempts, backoff).orderBy("pos").select("round", "waited", "failed", "translated_text").collect()]
+    assert got == [(2, 1.0, False, "a " + LONG), (2, 1.0, False, "a " + LONG), (None, 0.0, False, "bon"), (None, 0.0, False, None), (None, 1.0, True, " ")] and slept == [1.0]
+    g = recovery.guarantee(b, attempts, backoff=backoff)
     assert [r["status"] for r in g.orderBy("pos").collect()] == ["retried", "retried", "ok", "ok", "failed"]
     assert tuple(recovery.guaranteed_coverage(g).first()) == ("d", 4, 2, 1, 0.75)
-    with pytest.raises(Exception, match="coverage of document d is 0.75"):
-        recovery.guaranteed_coverage(g, strict=True).collect()
-    saved = recovery.guarantee(b, attempts, F.lit("au secours"))
-    assert recovery.guaranteed_coverage(saved, strict=True).first()["coverage"] == 1.0
-    assert recovery.guarantee(b, []).where("status = 'failed'").count() == 3 and recovery.retry(b.limit(0), attempts).count() == 0
+    with pytest.raises(recovery.CoverageError, match="1 of 4 blocks") as e:
+        recovery.guaranteed_coverage(g, strict=True)
+    assert e.value.coverage == 0.75 and [(r["doc_id"], r["pos"], r["reason"]) for r in e.value.report.collect()] == [("d", 4, "missing_translation")]
+    slept.clear()
+    saved = recovery.guarantee(b, attempts, F.lit("au secours"), backoff)
+    assert recovery.guaranteed_coverage(saved, strict=True).first()["coverage"] == 1.0 and slept == [1.0]  # no wait before the fallback
+    assert recovery.guarantee(b, []).where("status = 'failed'").count() == 3 and recovery.rounds(b.limit(0), attempts, backoff).count() == 0
+
+
+def test_translators_see_only_what_is_left(spark, tmp_path):
+    """Each call leaves a file, so that calls of Python workers can be counted."""
+    n = 200
+    b = blocks(spark, [("PARAGRAPH", f"{LONG} number {k}", None if k % 2 == 0 else "bon") for k in range(n)] + [("EQUATION", "x = 1", None)]).repartition(4)
+
+    def counting(name, helps):
+        folder = tmp_path / name
+        folder.mkdir()
+
+        def run(texts):
+            out = []
+            for t in texts:
+                k = int(t.rsplit(" ", 1)[1])
+                (folder / str(k)).touch(exist_ok=False)  # a second call for a text would fail
+                if k % 10 == 4:
+                    raise RuntimeError("no answer")
+                out.append("ok " + t if helps(k) else None)
+            return out
+
+        return folder, (lambda texts: run(texts) if len(texts) == 1 else many())
+
+    def many():
+        raise RuntimeError("one text at a time")
+
+    seen, translators = zip(*(counting(n, f) for n, f in (("one", lambda k: k % 4 == 0), ("two", lambda k: k % 6 == 0), ("three", lambda k: False), ("last", lambda k: k != 10))))
+    slept, backoff = waits()
+    out = recovery.guarantee(b, list(translators[:3]), translators[3], backoff).collect()
+    left, want = [k for k in range(n) if k % 2 == 0], []
+    for f in (lambda k: k % 4 == 0, lambda k: k % 6 == 0, lambda k: False, lambda k: k != 10):
+        want.append(sorted(left))
+        left = [k for k in left if k % 10 == 4 or not f(k)]
+    assert [sorted(int(p.name) for p in folder.iterdir()) for folder in seen] == want and slept == [1.0, 2.0]
+    assert sorted(int(r["source_text"].rsplit(" ", 1)[1]) for r in out if r["status"] == "failed") == sorted(left) and len(out) == n + 1
+
+
+def test_no_round_without_a_remainder(spark):
+    """Once nothing is left, no further translator is asked; a translator may take a DataFrame."""
+    b = blocks(spark, [("PARAGRAPH", LONG, None), ("PARAGRAPH", "fine", "bon")])
+    asked = []
+
+    @translate.on_frames
+    def frames(df):
+        asked.append(df.count())
+        return df.withColumn("translated_text", F.concat(F.lit("f "), "source_text"))
+
+    slept, backoff = waits()
+    got = recovery.rounds(b, [F.lit(None).cast("string"), frames, frames, frames], backoff).orderBy("pos").collect()
+    assert asked == [1] and slept == [1.0] and [(r["round"], r["translated_text"]) for r in got] == [(2, "f " + LONG), (None, "bon")]
 
 
 def test_single_fallback_and_list(spark):
