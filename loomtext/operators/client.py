@@ -34,7 +34,8 @@ class TokenBucket:
     burst: int = 1
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    _free: float = field(init=False, default=0.0)
+    #: When the bucket is full again.
+    _full: float = field(init=False, default=0.0)
     _lock: Lock = field(init=False, default_factory=Lock, repr=False)
 
     def take(self) -> float:
@@ -43,9 +44,8 @@ class TokenBucket:
             return 0.0
         with self._lock:
             now = self.clock()
-            # the time at which a full bucket would have allowed this call
-            self._free = max(self._free, now - (self.burst - 1) / self.rate)
-            wait, self._free = max(0.0, self._free - now), self._free + 1 / self.rate
+            wait = max(0.0, self._full - (self.burst - 1) / self.rate - now)
+            self._full = max(self._full, now) + 1 / self.rate
         if wait:
             self.sleep(wait)
         return wait
