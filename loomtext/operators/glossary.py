@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from . import automaton
 
 #: A demonstration glossary of frequent tokens (matching is by substring).
 DEMO = [("the", "le"), ("and", "et"), ("of", "de"), ("for", "pour"), ("that", "que"), ("tion", "cion")]
-BROADCAST_TERMS = 100_000
+#: Glossaries of more bytes (texts, and ROW_BYTES a term) aren't held in one automaton.
+AUTOMATON_BYTES, ROW_BYTES = 32 << 20, 32
+#: Dictionaries that come with the library: JSON files {domain, direction, terms}.
+SHIPPED = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "glossaries")
 
 
 def demo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, s, t, "demo", False) for k, (s, t) in enumerate(DEMO)], "term_id int, source string, target string, domain string, case_sensitive boolean")
 
 
+def shipped_domains() -> list[str]:
+    return sorted(f.removesuffix("_en_fr.json") for f in os.listdir(SHIPPED) if f.endswith("_en_fr.json"))
+
+
+def load_domains(spark: SparkSession, names: list[str] | None = None, direction: str = "en-fr") -> DataFrame:
+    """The shipped dictionaries of these domains (all; unknown ones have no terms) as one glossary, the last one's terms over earlier
+    ones'. direction fr-en: targets and sources change places."""
+    rows = []
+    for name in shipped_domains() if names is None else names:
+        path = os.path.join(SHIPPED, f"{name}_en_fr.json")
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                content = json.load(f)
+            rows += [(s, t, content["domain"]) if direction == "en-fr" else (t, s, content["domain"]) for s, t in content["terms"].items()]
+    return numbered(spark.createDataFrame([(s, t, d, k) for k, (s, t, d) in enumerate(rows)], "source string, target string, domain string, load_seq long"))
+
+
+def numbered(loaded: DataFrame) -> DataFrame:
+    """A glossary (term_id, source, target, domain, case_sensitive) of loaded terms, last write wins; ids follow the order of loading."""
+    return merge(loaded).select(F.col("load_seq").alias("term_id"), "source", "target", "domain", F.lit(False).alias("case_sensitive"))
+
+
 def merge(glossaries: DataFrame) -> DataFrame:
     """The last loaded term of each lower-cased source wins."""
     w = Window.partitionBy(F.lower("source")).orderBy(F.desc("load_seq"))
@@ -30,16 +60,33 @@ def matches(text: Column, term: Column, case_sensitive: Column) -> Column:
     return F.when(case_sensitive, F.contains(text, term)).otherwise(F.contains(F.lower(text), F.lower(term)))
 
 
+def glossary_bytes(glossary: DataFrame) -> int:
+    """Bytes of a glossary's texts and numbers."""
+    size = F.octet_length(F.coalesce("source", F.lit(""))) + F.octet_length(F.coalesce("target", F.lit(""))) + ROW_BYTES
+    return glossary.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def hits(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
     """Blocks with each term that stands in their source text (no word boundaries), a row for each pair.
 
-    Substring matching has no equality key: the glossary is broadcast if it is small, and beyond that each block
-    takes only terms whose first three characters it holds.
+    Substring matching has no equality key. Glossaries of up to AUTOMATON_BYTES are scanned for by one automaton, which each
+    worker builds once: time grows with the texts and what is found in them, not with the terms. Beyond that each block meets
+    only the terms whose first three characters it holds. Null texts and terms match nothing, an empty term every text.
     """
+    if glossary_bytes(glossary) > AUTOMATON_BYTES:
+        return _hits_by_heads(blocks, glossary)
+    rows = glossary.select("term_id", "source", "target", F.coalesce("case_sensitive", F.lit(False)).alias("exact"), F.lower("source").alias("low"), "case_sensitive").collect()
+    spark = blocks.sparkSession
+    kind = glossary.select("term_id", F.col("source").alias("term"), F.col("target").alias("term_target"), "case_sensitive").schema
+    terms = spark.createDataFrame([(k, r.term_id, r.source, r.target, r.case_sensitive) for k, r in enumerate(rows)], T.StructType([T.StructField("_term", T.IntegerType()), *kind.fields]))
+    found = automaton.scan(blocks, [(F.lower("source_text"), [None if r.exact else r.low for r in rows]), (F.col("source_text"), [r.source if r.exact else None for r in rows])], "_found")
+    return found.withColumn("_term", F.explode("_found")).join(F.broadcast(terms), "_term").drop("_term", "_found")
+
+
+def _hits_by_heads(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
+    """hits() by an equality join on the terms' first three characters."""
     terms = glossary.select("term_id", F.col("source").alias("term"), F.col("target").alias("term_target"), "case_sensitive")
     on = matches(F.col("source_text"), F.col("term"), F.col("case_sensitive"))
-    if glossary.count() <= BROADCAST_TERMS:
-        return blocks.join(F.broadcast(terms), on)
     exact = F.coalesce("case_sensitive", F.lit(False))
     compared = F.when(exact, F.col("term")).otherwise(F.lower("term"))
     keyed = terms.withColumn("head", F.concat(F.when(exact, "=").otherwise("~"), F.substring(compared, 1, 3)))

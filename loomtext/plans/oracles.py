@@ -170,6 +170,7 @@ def oracle_sql() -> dict[str, str]:
         "mask_counts_by_type": f"with {NOTED} " + " union all ".join(f"select '{k}' as mask_type, sum(len(regexp_extract_all(s, '{p}')))::bigint as n from noted" for k, p in _RE2.items()),
         "mask_roundtrip": f"{B} select doc_id, pos, true as same, 0 as missing, true as all_restored, true as all_present from blocks",
         "residue_cleanup": rf"{B} select doc_id, pos, trim(regexp_replace(regexp_replace(' ' || regexp_replace(source_text, '<<[^<>]*>>', '', 'g') || ' ', '\.{{3,}}', '', 'g'), ' {{2,}}', ' ', 'g'), ' ') as text from blocks",
+        "glossary_many_terms": f"{B}, words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) as term from benchmark) select term, count(*) as blocks, count(distinct doc_id) as documents from blocks join words on case when starts_with(term, 't') then contains(source_text, term) else contains(lower(source_text), lower(term)) end group by term",
         "glossary_term_hits": f"{B}, {GLOSSARY} select doc_id, pos, term from blocks join glossary on contains(lower(source_text), lower(term))",
         "glossary_adherence": f"{TR}, {GLOSSARY}, x as (select lang, count(*) as found, count(*) filter (contains(lower(coalesce(translated_text, '')), term_target)) as enforced from tr join glossary on contains(lower(source_text), term) group by lang) select l.lang, coalesce(found, 0) as found, coalesce(enforced, 0) as enforced, round(coalesce(enforced / nullif(found, 0), 1.0), 6) as rate from (select distinct lang from tr) l left join x using (lang)",
         "glossary_apply": f"{B} select doc_id, pos, {_gloss('source_text')} as text from blocks",

@@ -188,6 +188,14 @@ def glossary_term_hits(spark, sf):
     return glossary.hits(_blocks(spark, sf), glossary.demo(spark)).select("doc_id", "pos", "term")
 
 
+@query
+def glossary_many_terms(spark, sf):
+    """Blocks that hold each longer word of the benchmark: a glossary of as many terms as there are such words."""
+    words = read_table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("source")).distinct()
+    g = words.select(F.xxhash64("source").alias("term_id"), "source", F.upper("source").alias("target"), F.col("source").startswith("t").alias("case_sensitive"))
+    return glossary.hits(_blocks(spark, sf), g).groupBy("term").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("doc_id").alias("documents"))
+
+
 @query
 def glossary_adherence(spark, sf):
     return glossary.adherence(_translated(spark, sf), glossary.demo(spark), ["lang"])

@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 import re
+import time
 
 import duckdb
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomtext.functions import text as tx
-from loomtext.operators import context, coverage, glossary, layout, masking, metrics, report, scoring, translate
+from loomtext.operators import automaton, context, coverage, glossary, layout, masking, metrics, report, scoring, translate
 from loomtext.plans import oracles, queries
 from loomtext.sources import blocks as src
 from loomtext.streaming import events
@@ -153,15 +155,48 @@ def test_glossary_paths_agree(spark, monkeypatch):
     b = spark.createDataFrame([(1, "the İstanbul and ΑΣΑ"), (1, "the İstanbul and ΑΣΑ"), (2, ""), (3, None), (4, "of THE ab")], "doc_id int, source_text string")
     g = spark.createDataFrame([(1, "İstanbul", "x", False), (2, "", "y", False), (3, "the", "z", None), (3, "the", "z", None), (4, "ΑΣ", "s", True), (5, "THE", "t", True), (6, "İ", "i", False), (7, None, "n", False), (8, "", "e", True)], "term_id int, source string, target string, case_sensitive boolean")
     small = sorted(map(str, glossary.hits(b, g).collect()))
-    monkeypatch.setattr(glossary, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(glossary, "AUTOMATON_BYTES", 1)
     assert sorted(map(str, glossary.hits(b, g).collect())) == small and len(small) == 2 * 7 + 2 + 5
 
 
+def test_shipped_dictionaries(spark):
+    g = glossary.load_domains(spark)
+    rows = g.collect()
+    assert {r["domain"] for r in rows} == set(glossary.shipped_domains()) and len({r["source"].lower() for r in rows}) == len(rows) > 50
+    one = glossary.load_domains(spark, ["physics", "no such domain"], "fr-en")
+    assert ("entropie", "entropy") in {(r["source"], r["target"]) for r in one.collect()} and glossary.load_domains(spark, []).count() == 0
+    p = spark.createDataFrame([("d", "The Wave Function and the entropy", "la fonction d'onde et l'énergie")], "doc_id string, source_text string, translated_text string")
+    assert tuple(glossary.adherence(p, g, ["doc_id"]).first()) == ("d", 2, 1, 0.5)
+
+
+def test_automaton_is_linear(spark):
+    """100,000 terms: the same rows as by plain search on some texts, and hardly more time than for ten terms."""
+    rnd = random.Random(1)
+    terms = sorted({"".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 9))) for _ in range(100_000)} | {"", "aa"})
+    built = automaton.build(terms)
+    for _ in range(20):
+        t = "".join(rnd.choice("abcdefghij ") for _ in range(200))
+        assert automaton.standing(*built, t) == {k for k, w in enumerate(terms) if w in t}
+    few, texts = automaton.build(terms[5:15]), ["".join(rnd.choice("abcdefghij ") for _ in range(2000)) for _ in range(300)]
+
+    def seconds(a):
+        begun = time.perf_counter()
+        found = sum(len(automaton.standing(*a, t)) for t in texts)
+        return time.perf_counter() - begun, found
+
+    (few_s, _), (all_s, found) = seconds(few), seconds(built)
+    assert all_s < 50 * few_s + 2e-6 * found + 0.5
+    g = spark.createDataFrame([(k, w, w.upper(), k % 3 == 0) for k, w in enumerate(terms) if w], "term_id int, source string, target string, case_sensitive boolean")
+    b = spark.createDataFrame([(k, t.upper() if k % 2 else t) for k, t in enumerate(texts[:40])], "doc_id int, source_text string")
+    want = {(d, k) for d, t in enumerate(texts[:40]) for k in automaton.standing(*built, t) if terms[k] and (d % 2 == 0 or k % 3)}
+    assert {(r["doc_id"], r["term_id"]) for r in glossary.hits(b, g).collect()} == want
+
+
 def test_glossary_beyond_broadcast(spark, monkeypatch):
     b = queries._blocks(spark, SF).limit(200).cache()
     g = glossary.demo(spark)
     small = {tuple(r) for r in glossary.hits(b, g).select("doc_id", "pos", "term").collect()}
-    monkeypatch.setattr(glossary, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(glossary, "AUTOMATON_BYTES", 1)
     assert {tuple(r) for r in glossary.hits(b, g).select("doc_id", "pos", "term").collect()} == small
 
 
