@@ -40,6 +40,8 @@ def test_mask_places(spark):
     import re
 
     texts = ["our homepage 12 has more, see page 12 now", "a.b@c.org xa.b@c.org, a.b@c.org!", "$$x$$ and $y$ and \\(z'\\) `c` ``` d ``` [1] x[1] [1,2]", "p. 3 top. 3 p. 3", "\x01$a$\x02 [3] \x01", "", None, "Fig. 2 figure 2 a tableau 3. See also page 4, (→ voir page suivante)", "x ... 12\ny..... 3"]
+    # spaces that don't break, digits and letters of other scripts
+    texts += ["voir p.\u00a012 et Fig.\u00a03", "la page\u202f14", "pp.\u200912\u201315, §\u00a04 Section\u2003IX", "FIGURE\u00a0٣ und Tab. १२", "doi:10.1000/abc\u00a0suite", "(Smith et\u00a0al., 2020) (Müller, 2020)", "éfig. 3 fig. 3é pagé 4 ſection 5 spage 6", "\\alphaé \\alpha é", "..\u00a0 7\n"]
     d = spark.createDataFrame(list(enumerate(texts)), "pos int, source_text string").selectExpr("'d' as doc_id", "pos", "source_text")
     got = {r["pos"]: [(s["start"], s["end"], s["name"]) for s in r["spans"] or []] for r in masking.spans(d).collect()}
     for k, t in enumerate(texts):
@@ -52,8 +54,9 @@ def test_mask_places(spark):
             elif -end > chosen[-1][1] and rank < chosen[-1][2]:
                 chosen[-1] = x
         assert got[k] == [(a, b, n) for a, b, _, n in chosen]
-    m = masking.mask(d).where("pos = 0").first()
-    assert m["masked_text"].startswith("our homepage 12 has more, ")
+    masked = {r["pos"]: r for r in masking.mask(d).collect()}
+    assert masked[0]["masked_text"].startswith("our homepage 12 has more, ")
+    assert [[m["original"] for m in masked[k]["masks"]] for k in (9, 10)] == [["voir p.\u00a012", "Fig.\u00a03"], ["page\u202f14"]]
 
 
 def test_mask_roundtrip_and_numbering(spark):
