@@ -1,11 +1,12 @@
-"""Removal of repeated passages of lines, found whole or as content-defined chunks.
+"""Removal of repeated passages of lines through content-defined chunks on two levels.
 
-Whole: every two lines in a row (blank ones between them aside) and every line of over LONG_LINE words are compared, so
-a passage that repeats goes from its first line to its last, wherever it stands. The queries take this way.
+A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends there, so boundaries depend on nearby
+lines alone and a passage is cut alike wherever it stands. Chunks whose digests occur more than once are fetched and compared byte
+by byte; all but the first occurrence go. That settles what is inside repeated chunks, however often they stand.
 
-Chunks: a rolling hash over the hashes of two neighbouring lines decides whether a chunk ends there, so boundaries
-depend on nearby lines alone and a passage is cut alike wherever it stands. Chunks of several lines whose
-digests occur more than once are fetched and compared byte by byte; all but the first occurrence go.
+A passage rarely begins and ends at boundaries, and a short one may hold none. So a second level cuts at every line: chunks of two
+neighbouring lines, and of one long line. Only those that aren't inside a chunk that goes take part; they extend a chunk's match
+over equal neighbouring lines, and find passages too short for the first level. They are matched and compared alike.
 """
 
 from __future__ import annotations
@@ -29,47 +30,48 @@ LONG_LINE = 50
 BROADCAST_BYTES = 8 << 20
 
 
-def chunks(text: str) -> list[list[str]]:
-    """The lines of text, in chunks."""
+def full_lines(text: str) -> tuple[list[str], list[int]]:
+    """All lines, and numbers of those with more than white space. Blank lines part nothing."""
     lines = text.split("\n")
-    out: list[list[str]] = [[]]
-    before = 0
-    for line in lines:
+    return lines, [k for k, x in enumerate(lines) if x and not x.isspace()]
+
+
+def chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """Bounds [i, j) of the chunks of two lines or more that a rolling hash over the lines' hashes cuts; all lines are in one."""
+    out, begin, before = [], 0, 0
+    for k, line in enumerate(lines):
         h = zlib.crc32(line.encode())
-        out[-1].append(line)
         rolled = ((before * 0x9E3779B1 + h) * 0x85EBCA77) & 0xFFFFFFFF
-        if out[-1][:1] and len(out[-1]) > 1 and (rolled >> 8) % DIVISOR == 0:
-            out.append([])
+        if k > begin and (rolled >> 8) % DIVISOR == 0:
+            out.append((begin, k + 1))
+            begin = k + 1
         before = h
-    return out if out[-1] else out[:-1]
-
-
-def removable(chunk: list[str]) -> bool:
-    """Chunks of at least two lines with more than white space."""
-    return sum(1 for x in chunk if x and not x.isspace()) > 1
-
-
-def chunk_units(text: str) -> dict[int, tuple[int, int, str]]:
-    """{number: (first line, line after the last, body)} of the chunks that can go."""
-    out, at = {}, 0
-    for k, c in enumerate(chunks(text) if "\n" in text else []):
-        if removable(c):
-            out[k] = at, at + len(c), "\n".join(c)
-        at += len(c)
+    if begin < len(lines):
+        out.append((begin, len(lines)))
     return out
 
 
-def passage_units(text: str) -> dict[int, tuple[int, int, str]]:
-    """The same of all pairs of lines in a row (2 * line) and all long lines (2 * line + 1).
-
-    A text of one line is only looked up: copies of whole texts are for the near duplicates' operator.
-    """
-    lines = text.split("\n")
-    full = [k for k, x in enumerate(lines) if x and not x.isspace()]
-    out = {2 * i: (i, j + 1, f"{lines[i]}\n{lines[j]}") for i, j in zip(full, full[1:])}
-    for i in full:
+#: Kinds of units: number = KINDS * first line + kind.
+CHUNK, PAIR, LINE = range(3)
+KINDS = 3
+
+
+def units(text: str) -> dict[int, tuple[int, int, str, int | None]]:
+    """{number: (first line, line after the last, body, number of the chunk around it)} of a text's chunks, of its pairs of neighbouring
+    lines and its long lines. A text of one line is only looked up: copies of whole texts are for the near duplicates' operator."""
+    lines, full = full_lines(text)
+    out: dict[int, tuple[int, int, str, int | None]] = {}
+    own: list[int | None] = [None] * len(full)
+    for i, j in chunks([lines[k] for k in full]):
+        if j - i > 1:
+            no = KINDS * full[i] + CHUNK
+            out[no] = full[i], full[j - 1] + 1, "\n".join(lines[k] for k in full[i:j]), None
+            own[i:j] = [no] * (j - i)
+    for n, (i, j) in enumerate(zip(full, full[1:])):
+        out[KINDS * i + PAIR] = i, j + 1, f"{lines[i]}\n{lines[j]}", own[n] if own[n] == own[n + 1] else None
+    for n, i in enumerate(full):
         if len(lines[i].split()) > LONG_LINE:
-            out[2 * i + 1] = i, i + (len(lines) > 1), lines[i]
+            out[KINDS * i + LINE] = i, i + (len(lines) > 1), lines[i], own[n]
     return out
 
 
@@ -83,30 +85,44 @@ def _small(lists: DataFrame, numbers: str) -> bool:
     return 64 * rows + 4 * (n or 0) <= BROADCAST_BYTES
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chunk_units) -> DataFrame:
+def _place():
+    """The order of occurrences: smallest key (null last), digest of the text, number."""
+    return F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("digest"), F.col("no"))
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", by_chunks: bool = True) -> DataFrame:
     """(key, digest of the row's text, drop: numbers of the units to remove) for rows that lose some.
 
-    The first occurrence is that of the smallest key (null last), then digest, then number; it stays. Rows equal
-    in key and text count as one document.
+    The first occurrence of a unit stays. Rows equal in key and text count as one document. by_chunks: what is inside a chunk that goes
+    takes no further part.
     """
     slim = docs.select(col(key).alias("key"), _row_key(text).alias("digest"), col(text).alias("text")).where("text is not null")
     ks = slim.schema["key"]
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, chunk = [], [], []
+            row, no, unit, inside = [], [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                for k, (_, _, body) in units(t).items():
+                for k, (_, _, body, chunk) in units(t).items():
                     row.append(i)
                     no.append(k)
-                    chunk.append(hashlib.blake2b(body.encode(), digest_size=16).digest())
+                    unit.append(hashlib.blake2b(body.encode(), digest_size=16, salt=bytes([k % KINDS])).digest())
+                    inside.append(chunk)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(chunk, pa.binary())], names=["key", "digest", "no", "chunk"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(unit, pa.binary()), pa.array(inside, pa.int32())], names=["key", "digest", "no", "unit", "inside"])
 
-    schema = T.StructType([ks, slim.schema["digest"], T.StructField("no", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
+    schema = T.StructType([ks, slim.schema["digest"], T.StructField("no", T.IntegerType()), T.StructField("unit", T.BinaryType()), T.StructField("inside", T.IntegerType())])
     found = materialize(slim.mapInArrow(spots, schema).distinct())
-    often = materialize(found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"))  # written, so that a hot chunk's rows can be split in the join
-    wanted = materialize(found.join(often, "chunk").groupBy("key", "digest").agg(F.collect_list("no").alias("nos")))
+    # written before each join, so that a hot unit's rows can be split there
+    chunked, fine = found.where(F.col("no") % KINDS == CHUNK), found.where(F.col("no") % KINDS != CHUNK)
+    often = materialize(chunked.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).where("n > 1").select("unit", "first"))
+    marked = materialize(chunked.join(often, "unit").select("key", "digest", "no", (~_place().eqNullSafe(F.col("first"))).alias("later")))
+    if by_chunks:
+        gone = marked.where("later").select(F.col("key").alias("k3"), F.col("digest").alias("d3"), F.col("no").alias("inside3"))
+        fine = materialize(fine.join(gone, F.col("key").eqNullSafe(F.col("k3")) & (F.col("digest") == F.col("d3")) & (F.col("inside") == F.col("inside3")), "left_anti"))
+    twice = materialize(fine.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit"))
+    every = marked.select("key", "digest", "no").unionByName(fine.join(twice, "unit").select("key", "digest", "no"))
+    wanted = materialize(every.groupBy("key", "digest").agg(F.collect_list("no").alias("nos")))  # a text's own units
     given = F.broadcast(wanted) if _small(wanted, "nos") else wanted
     given = given.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), "nos")
     again = slim.join(given, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2"))).select("key", "digest", "text", "nos")
@@ -123,20 +139,28 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", units=chu
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(body, pa.string())], names=["key", "digest", "no", "body"])
 
-    bodies = materialize(again.mapInArrow(fetch, T.StructType([*schema.fields[:3], T.StructField("body", T.StringType())])).distinct())
-    place = F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("digest"), F.col("no"))
-    first = materialize(bodies.groupBy("body").agg(F.min(place).alias("first")))  # equal bytes, by value
-    later = bodies.join(first, "body").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop"))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> tuple[DataFrame, dict[str, str]]:
-    """docs whose `text` lacks its repeated passages (whole) or chunks; {n_lines, n_removed (lines): column}.
-
-    Null texts stay null; rows are never dropped. The first occurrence of any line stays.
+    bodies = materialize(again.mapInArrow(fetch, T.StructType([*schema.fields[:3], T.StructField("body", T.StringType())])).distinct().withColumn("kind", F.col("no") % KINDS))
+    first = materialize(bodies.groupBy("kind", "body").agg(F.min(_place()).alias("first")))  # equal bytes, by value
+    judged = bodies.join(first, ["kind", "body"]).select("key", "digest", "no", "kind", (~_place().eqNullSafe(F.col("first"))).alias("goes"))
+    dropped = materialize(judged.where("goes").groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop")))
+    if by_chunks:
+        # two chunks of one digest with other bytes: then the second level has to see all lines
+        kept = marked.where("later").agg(F.count(F.lit(1))).first()[0]
+        went = dropped.agg(F.sum(F.size(F.filter("drop", lambda n: n % KINDS == CHUNK)))).first()[0] or 0
+        if went != kept:
+            return repeated(docs, key, text, False)
+    return dropped
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """docs whose `text` lacks its repeated passages; {n_lines, n_removed (lines): column}.
+
+    A line goes if a run of two or more lines that holds it (blank lines between them aside), or itself with over LONG_LINE words, also
+    starts earlier: in a document of smaller key (null last; then smaller digest of the text), or before in the same one. Overlaps count, so
+    of five equal lines one stays. Null texts stay null, rows are never dropped, and rows equal in key and text are one document.
+    Texts of one line stay whole, but what they hold counts as said. A text of any length is cut in one task's memory.
     """
-    units = passage_units if whole else chunk_units
-    gone = materialize(repeated(docs, key, text, units))
+    gone = repeated(docs, key, text)
     drop, k2, d2, n_lines, n_removed = fresh(docs, "drop", "k2", "d2", "n_lines", "n_removed")
     lists = gone.select(F.col("key").alias(k2), F.col("digest").alias(d2), F.col("drop").alias(drop))
     lists = F.broadcast(lists) if _small(gone, "drop") else lists
@@ -151,7 +175,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool
                 lines.append(0 if t is None else t.count("\n") + 1)
                 if nos:
                     cut = units(t)
-                    out = {x for k in nos for x in range(*cut[k][:2])}
+                    out = {x for k in nos for x in range(cut[k][0], cut[k][1])}
                     texts[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
                     removed.append(len(out))
                 else:

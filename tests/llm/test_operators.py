@@ -363,25 +363,73 @@ def test_representatives(docs):
     assert 12 in ids and not ids & {13, 14, 15} and {0, 1, 2} <= ids
 
 
-def test_line_dedup(docs):
-    x, names = line_dedup.dedup(docs)
-    got = collected(x)
-    assert len(got) == docs.count()
-    seen, want = set(), {}
-    src = {(r["doc_id"], r["text"]) for r in collected(docs) if r["text"] is not None}
-    assert sum(r[names["n_removed"]] for r in got) > 0
-    for k, t in sorted(src, key=lambda r: (r[0] is None, r[0] or 0)):
-        out = []
-        for c in line_dedup.chunks(t):
-            if line_dedup.removable(c) and tuple(c) in seen:
-                continue
-            seen.add(tuple(c))
-            out += c
-        want[k] = "\n".join(out)
-    for r in got:
-        if r["text"] is not None and r["doc_id"] != 3:
-            assert r["text"] == want[r["doc_id"]]
-    assert "\n".join(x for c in line_dedup.chunks("a\n\nb\nc\n") for x in c) == "a\n\nb\nc\n"
+def without_repeats(rows, long_line=50):
+    """Each text without the lines of any run, of whatever length from two lines on, that also starts earlier: every run is searched for.
+
+    rows: (key, text) in order. A run is a sequence of lines that aren't blank; a single one counts if it has over long_line words.
+    """
+    said, out = {}, []
+    texts = [(k, t, [(i, v) for i, v in enumerate((t or "").split("\n")) if v.strip()]) for k, t in rows]
+    for place, (_, _, full) in enumerate(texts):
+        for i in range(len(full)):
+            for j in range(i + 1, min(len(full), i + 8) + 1):
+                said.setdefault(tuple(v for _, v in full[i:j]), (place, i))
+    for place, (k, t, full) in enumerate(texts):
+        if t is None:
+            out.append((k, None, 0))
+            continue
+        lines, gone = t.split("\n"), set()
+        for i in range(len(full)):
+            for j in range(i + 1, min(len(full), i + 8) + 1):
+                run = tuple(v for _, v in full[i:j])
+                counts = j - i > 1 or (len(run[0].split()) > long_line and len(lines) > 1)
+                if counts and said[run] < (place, i):
+                    gone |= set(range(full[i][0], full[j - 1][0] + 1))
+        out.append((k, "\n".join(v for i, v in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_line_chunks():
+    """All lines are in a chunk; inside equal passages boundaries fall alike, whatever stands before."""
+    rnd = random.Random(5)
+    passage = [f"line {rnd.random()}" for _ in range(60)]
+    cut = lambda lines: {tuple(lines[i:j]) for i, j in line_dedup.chunks(lines)}
+    for _ in range(20):
+        before, behind = ([f"other {rnd.random()}" for _ in range(rnd.randint(0, 9))] for _ in range(2))
+        lines = before + passage + behind
+        bounds = line_dedup.chunks(lines)
+        assert [i for i, _ in bounds] == [0, *(j for _, j in bounds[:-1])] and bounds[-1][1] == len(lines)
+        assert all(j - i > 1 for i, j in bounds[:-1]) and len(cut(lines) & cut(passage)) > 10
+    assert line_dedup.chunks([]) == [] and line_dedup.units("") == {} and line_dedup.units("one") == {}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_against_search(spark, seed, monkeypatch):
+    """Passages of 2 to 20 lines, overlapping, nested, cut short, in other orders, within a text and beside blank lines."""
+    rnd = random.Random(seed)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [[line(rnd.choice([3, 12, 30, 60])) for _ in range(rnd.choice([2, 2, 3, 5, 9, 20]))] for _ in range(12)] + [["spam"] * 9, ["x", "y"] * 4]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rnd.randint(0, 4)):
+            p = rnd.choice(shared)
+            i = rnd.choice([0, 0, rnd.randrange(len(p))])
+            parts += p[i : rnd.choice([len(p), rnd.randint(i, len(p))])]
+            parts += [line(rnd.choice([4, 55])) for _ in range(rnd.choice([0, 1, 2]))] + [""] * rnd.choice([0, 0, 1])
+        texts.append("\n".join(parts))
+    rows = [*enumerate(texts), (7, texts[7]), (None, texts[9]), (500, None), (501, texts[20])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    want = without_repeats(order)
+    x, names = line_dedup.dedup(d)
+    got = {(r["doc_id"], r["text"], r[names["n_removed"]]) for r in x.collect()}
+    assert got == set(want) and x.count() == len(rows) and sum(n for _, _, n in want) > 300
+    # joined by shuffles, and by the second level alone
+    if seed == 1:
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+        assert {(r["doc_id"], r["text"], r[names["n_removed"]]) for r in line_dedup.dedup(d)[0].collect()} == set(want)
+        assert {tuple(r) for r in line_dedup.repeated(d, by_chunks=False).select("key").collect()} == {tuple(r) for r in line_dedup.repeated(d).select("key").collect()}
 
 
 def test_line_dedup_whole_passages(spark, docs):
@@ -395,7 +443,7 @@ def test_line_dedup_whole_passages(spark, docs):
         texts.append(("\n\n" if k % 5 == 0 else "\n").join(parts))
     texts += ["x\n" + texts[0], texts[1], "a\n" * 5, "\n \n\n"]
     d = spark.createDataFrame([*enumerate(texts), (None, texts[3])], "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("doc_id <> 3").withColumn("doc_id", docs.doc_id + 1000)).repartition(3).cache()
-    x, names = line_dedup.dedup(d, whole=True)
+    x, names = line_dedup.dedup(d)
     got = {(r["doc_id"], r["text"], r[names["n_removed"]]) for r in x.collect()}
     seen, want, one, two = set(), set(), 0, 0
     for k, t in sorted({tuple(r) for r in d.collect()}, key=lambda r: (r[0] is None, r[0] or 0)):
