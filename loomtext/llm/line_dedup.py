@@ -112,17 +112,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", by_chunks
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(unit, pa.binary()), pa.array(inside, pa.int32())], names=["key", "digest", "no", "unit", "inside"])
 
     schema = T.StructType([ks, slim.schema["digest"], T.StructField("no", T.IntegerType()), T.StructField("unit", T.BinaryType()), T.StructField("inside", T.IntegerType())])
-    found = materialize(slim.mapInArrow(spots, schema).distinct())
+    found = materialize(slim.mapInArrow(spots, schema))
     # written before each join, so that a hot unit's rows can be split there
     chunked, fine = found.where(F.col("no") % KINDS == CHUNK), found.where(F.col("no") % KINDS != CHUNK)
-    often = materialize(chunked.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).where("n > 1").select("unit", "first"))
+    # repeated rows have the same places: a unit occurs twice if its first place isn't its last
+    often = materialize(chunked.groupBy("unit").agg(F.min(_place()).alias("first"), F.max(_place()).alias("end")).where(~F.col("first").eqNullSafe(F.col("end"))).select("unit", "first"))
     marked = materialize(chunked.join(often, "unit").select("key", "digest", "no", (~_place().eqNullSafe(F.col("first"))).alias("later")))
     if by_chunks:
         gone = marked.where("later").select(F.col("key").alias("k3"), F.col("digest").alias("d3"), F.col("no").alias("inside3"))
         fine = materialize(fine.join(gone, F.col("key").eqNullSafe(F.col("k3")) & (F.col("digest") == F.col("d3")) & (F.col("inside") == F.col("inside3")), "left_anti"))
-    twice = materialize(fine.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit"))
+    twice = materialize(fine.groupBy("unit").agg(F.min(_place()).alias("first"), F.max(_place()).alias("end")).where(~F.col("first").eqNullSafe(F.col("end"))).select("unit"))
     every = marked.select("key", "digest", "no").unionByName(fine.join(twice, "unit").select("key", "digest", "no"))
-    wanted = materialize(every.groupBy("key", "digest").agg(F.collect_list("no").alias("nos")))  # a text's own units
+    wanted = materialize(every.groupBy("key", "digest").agg(F.collect_set("no").alias("nos")))  # a text's own units
     given = F.broadcast(wanted) if _small(wanted, "nos") else wanted
     given = given.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), "nos")
     again = slim.join(given, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2"))).select("key", "digest", "text", "nos")
@@ -139,13 +140,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", by_chunks
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("digest").take(at), pa.array(no, pa.int32()), pa.array(body, pa.string())], names=["key", "digest", "no", "body"])
 
-    bodies = materialize(again.mapInArrow(fetch, T.StructType([*schema.fields[:3], T.StructField("body", T.StringType())])).distinct().withColumn("kind", F.col("no") % KINDS))
+    bodies = materialize(again.mapInArrow(fetch, T.StructType([*schema.fields[:3], T.StructField("body", T.StringType())])).withColumn("kind", F.col("no") % KINDS))
     first = materialize(bodies.groupBy("kind", "body").agg(F.min(_place()).alias("first")))  # equal bytes, by value
     judged = bodies.join(first, ["kind", "body"]).select("key", "digest", "no", "kind", (~_place().eqNullSafe(F.col("first"))).alias("goes"))
     dropped = materialize(judged.where("goes").groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop")))
     if by_chunks:
         # two chunks of one digest with other bytes: then the second level has to see all lines
-        kept = marked.where("later").agg(F.count(F.lit(1))).first()[0]
+        kept = marked.where("later").groupBy("key", "digest").agg(F.count_distinct("no").alias("n")).agg(F.sum("n")).first()[0] or 0
         went = dropped.agg(F.sum(F.size(F.filter("drop", lambda n: n % KINDS == CHUNK)))).first()[0] or 0
         if went != kept:
             return repeated(docs, key, text, False)
