@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import UNTRANSLATED
 
 WORDS = r"\S+"
+#: The beginning of a text of ten words or more.
+TEN_WORDS = r"^\S+(?:\s+\S+){9}"
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once for each row, however often f uses it and wherever the optimizer copies the result."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def count(x: Column | str, pattern: str) -> Column:
     return F.regexp_count(_c(x), F.lit(pattern))
 
 
+def count_chars(x: Column | str, others: str) -> Column:
+    """Characters outside the class `others`: what is left without its runs. (An array of all matches, as regexp_count makes, costs many times that.)"""
+    return F.length(F.regexp_replace(_c(x), others + "+", ""))
+
+
 def trim_ws(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
 
@@ -55,15 +69,15 @@ def skip_reason(block_type: Column | str, text: Column | str, tables: bool = Fal
 
 def layout_type(x: Column | str) -> Column:
     """Block type by the first rule that fits."""
-    t = trim_ws(x)
-    return (
+    kind = lambda t: (
         F.when((F.length(t) < 100) & t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}"), "TITLE")
         .when(F.startswith(F.lower(t), F.lit("abstract")), "ABSTRACT")
-        .when((n_words(t) < 10) & ~F.endswith(t, F.lit(".")), "HEADING")
+        .when(~t.rlike(TEN_WORDS) & ~F.endswith(t, F.lit(".")), "HEADING")
         .when(F.contains(t, F.lit("$")) | F.contains(t, F.lit("\\")), "EQUATION")
         .when(t.rlike(r"^([•*–-]|\d+\.)"), "LIST_ITEM")
         .otherwise("PARAGRAPH")
     )
+    return once(trim_ws(x), kind)
 
 
 def style_type(font_flags: dict[str, Column]) -> Column:
@@ -78,7 +92,7 @@ def style_type(font_flags: dict[str, Column]) -> Column:
 
 
 def letters(x: Column | str) -> Column:
-    return count(x, r"\p{L}")
+    return count_chars(x, r"\P{L}")
 
 
 def has_letters(x: Column | str, least: float = 0.3) -> Column:
@@ -96,17 +110,16 @@ def placeholder_chars(x: Column | str) -> Column:
 def identity_failure(source: Column | str, target: Column | str, same_language: Column | None = None) -> Column:
     """Long prose that came back unchanged: not headings, acronyms, numbers or placeholders."""
     s, n = _c(source), F.length(_c(source))
-    upper, alpha = count(s, r"\p{Lu}"), letters(s)
-    return F.coalesce(
-        ~(F.lit(False) if same_language is None else same_language) & (normalize(s) == normalize(target)) & (F.length(trim_ws(s)) >= 30) & (n_words(s) >= 6) & (10 * upper <= 7 * alpha) & (10 * count(s, r"\p{Nd}") <= 3 * n) & (2 * placeholder_chars(s) <= n),
-        F.lit(False),
-    )
+    upper, alpha = count_chars(s, r"\P{Lu}"), letters(s)
+    prose = (F.length(trim_ws(s)) >= 30) & (n_words(s) >= 6) & (10 * upper <= 7 * alpha) & (10 * count_chars(s, r"\P{Nd}") <= 3 * n) & (2 * placeholder_chars(s) <= n)
+    other = ~(F.lit(False) if same_language is None else same_language)
+    return F.coalesce(F.when(other & (normalize(s) == normalize(target)), prose), F.lit(False))  # a branch: counted for equal texts only
 
 
 def simple_identity(source: Column | str, target: Column | str) -> Column:
     """The coverage detector's shorter test."""
-    s = normalize(source)
-    return F.coalesce((s == normalize(target)) & has_letters(s) & (F.length(s) >= 5) & (letters(s) >= 0.4 * F.length(s)), F.lit(False))
+    same = lambda s: F.when(s == normalize(target), has_letters(s) & (F.length(s) >= 5) & (letters(s) >= 0.4 * F.length(s)))
+    return F.coalesce(once(normalize(source), same), F.lit(False))
 
 
 def truncated(source: Column | str, target: Column | str, finish_reason: Column | None = None, cjk: Column | None = None) -> Column:

@@ -143,11 +143,14 @@ def _ngram(kind: str, most: int) -> str:
         split, sep = lambda x: f"regexp_extract_all(coalesce({x}, ''), '{chr(92)}S+')", " "
     else:
         split, sep = lambda x: f"list_filter(string_split(regexp_replace(coalesce({x}, ''), '{chr(92)}s', '', 'g'), ''), lambda c: c <> '')", " "
+    grams = lambda side: f"select lang, doc_id, pos, n, array_to_string({side}[i:i + n - 1], '{sep}') as v, count(*) as c from (select *, unnest(range(1, len({side}) - n + 2)) as i from tok, orders where h <> r) group by all"
     return f"""tok as (select lang, doc_id, pos, {split("translated_text")} as h, {split("g")} as r from tr),
 orders as (select unnest(range(1, {most + 1})) as n),
-hg as (select lang, doc_id, pos, n, array_to_string(h[i:i + n - 1], '{sep}') as v, count(*) as c from (select *, unnest(range(1, len(h) - n + 2)) as i from tok, orders) group by all),
-rg as (select lang, doc_id, pos, n, array_to_string(r[i:i + n - 1], '{sep}') as v, count(*) as c from (select *, unnest(range(1, len(r) - n + 2)) as i from tok, orders) group by all),
-per as (select lang, n, sum(coalesce(hg.c, 0)) as h, sum(coalesce(rg.c, 0)) as r, sum(least(coalesce(hg.c, 0), coalesce(rg.c, 0))) as m from hg full join rg using (lang, doc_id, pos, n, v) group by lang, n)"""
+hg as ({grams("h")}),
+rg as ({grams("r")}),
+parts as (select lang, n, coalesce(hg.c, 0) as h, coalesce(rg.c, 0) as r, least(coalesce(hg.c, 0), coalesce(rg.c, 0)) as m from hg full join rg using (lang, doc_id, pos, n, v)
+  union all select lang, n, g, g, g from (select lang, n, greatest(len(h) - n + 1, 0) as g from tok, orders where h = r)),
+per as (select lang, n, sum(h) as h, sum(r) as r, sum(m) as m from parts group by lang, n)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,7 +35,8 @@ def _translated(spark, sf) -> DataFrame:
     g = _rewrite(F.col("source_text"))
     fault = (F.col("doc_id") * 31 + F.col("pos")) % 17
     t = F.when(fault == 0, None).when(fault == 1, "  ").when(fault == 2, F.col("source_text")).when(fault == 3, F.substring(g, F.lit(1), F.floor(F.length(g) / 10).cast("int"))).otherwise(g)
-    return _blocks(spark, sf).withColumn("translated_text", t)
+    # made once for each row: predicates on it stay behind the generator
+    return _blocks(spark, sf).withColumn("translated_text", F.explode(F.array(t)))
 
 
 def _candidates(spark, sf) -> DataFrame:
