@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -58,14 +58,36 @@ def best_template(usage: DataFrame, least: int = 10, default: str = "scientific_
     return usage.where(F.col("usage") >= least).agg(F.coalesce(F.max_by("template", F.struct(F.round(s, 9), -F.col("template_no"))), F.lit(default)).alias("template"))
 
 
-def template_progress(records: DataFrame, rate: float = 0.1) -> DataFrame:
-    """Smoothed BLEU and running success rate of each template over its records in order of seq."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "bleu", "success")))
-    per = records.groupBy("template").agg(rows.alias("r"))
-    start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(0).alias("n"), F.lit(0).alias("ok"))
-    step = lambda a, x: F.struct(F.coalesce((1 - rate) * a["b"] + rate * x["bleu"], x["bleu"]).alias("b"), (a["n"] + 1).alias("n"), (a["ok"] + x["success"].cast("int")).alias("ok"))
-    end = F.aggregate("r", start, step)
-    return per.select("template", F.round(end["b"], 6).alias("bleu"), F.round(end["ok"] / end["n"], 6).alias("success_rate"), end["n"].alias("usage"))
+#: Records of a template are smoothed in slices of so many sequence numbers.
+SLICE = 10_000
+
+
+def template_progress(records: DataFrame, rate: float = 0.1, state: DataFrame | None = None) -> DataFrame:
+    """Smoothed BLEU and chrF, success rate and usage of each template after its records (template, seq, bleu, chrf, success).
+
+    A record moves a mean m to (1 - rate) * m + rate * value, from 0 or from the loaded state (template, bleu, chrf, success_rate, usage).
+    Such steps compose: a slice of records is one step, m * (1 - rate)^n + sum, however it is divided. So slices are summed side by side
+    and a template of any history is never in one task; only slices are then put in order. Equal sequence numbers come in order of their values.
+    """
+    keep = 1 - rate
+    sliced = records.withColumn("slice", F.floor(F.col("seq") / SLICE))
+    own = Window.partitionBy("template", "slice")  # a slice
+    ahead = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("seq", "bleu", "chrf", "success"))
+    weight = rate * F.pow(F.lit(keep), ahead)
+    parts = sliced.select("template", "slice", "success", *((weight * F.col(c)).alias(c) for c in ("bleu", "chrf")))
+    steps = parts.groupBy("template", "slice").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("ok"), F.sum("bleu").alias("bleu"), F.sum("chrf").alias("chrf"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy("template").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a slice
+    steps = steps.withColumn("fade", F.pow(F.lit(keep), later))
+    x = steps.groupBy("template").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), *(F.sum(F.col(c) * F.col("fade")).alias(c) for c in ("bleu", "chrf")))
+    if state is not None:
+        old = state.select("template", F.col("bleu").alias("b0"), F.col("chrf").alias("c0"), F.col("success_rate").alias("s0"), F.col("usage").alias("n0"))
+        x = x.join(old, "template", "full")
+    else:
+        x = x.withColumns({"b0": F.lit(0.0), "c0": F.lit(0.0), "s0": F.lit(0.0), "n0": F.lit(0)})
+    v = lambda c: F.coalesce(c, F.lit(0))
+    usage = v("n") + v("n0")
+    smooth = lambda c, c0: F.round(v(c0) * F.pow(F.lit(keep), v("n")) + v(c), 6)
+    return x.select("template", smooth("bleu", "b0").alias("bleu"), smooth("chrf", "c0").alias("chrf"), F.round((v("ok") + v("s0") * v("n0")) / usage, 6).alias("success_rate"), usage.alias("usage"))
 
 
 def weak_templates(records: DataFrame, threshold: float = 0.4, last: int = 100) -> DataFrame:
@@ -100,3 +122,24 @@ def document_json(blocks: DataFrame) -> DataFrame:
 def validation_text(validated: DataFrame) -> DataFrame:
     line = F.format_string("document %s: coverage %.3f, %d identity, %d masks missing, %s", F.col("doc_id").cast("string"), F.col("coverage"), F.col("identity_blocks"), F.col("missing_masks"), F.when(F.col("is_valid"), "valid").otherwise("invalid"))
     return validated.select("doc_id", line.alias("report"))
+
+
+def write_back(documents: DataFrame, updates: DataFrame, fields: dict[str, str], by: str = "document_id", block: str = "block_id") -> DataFrame:
+    """Nested documents whose blocks take the values of keyed updates; fields: {field of a block: column of updates}.
+
+    Blocks are updated where they stand: no document is taken apart and put together again. Documents and blocks without an update, and
+    fields whose update is null, stay as they are; of several updates of one block the last one by their values counts; unknown ones go nowhere.
+    A document's updates come as one map, as large as its own blocks at most.
+    """
+    value = F.struct(*(F.col(c).alias(f) for f, c in fields.items()))
+    one = updates.where(F.col(block).isNotNull()).groupBy(by, block).agg(F.max_by(value, F.to_json(value)).alias("_v"))
+    given = one.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(block, "_v"))).alias("_given"))
+
+    def updated(b: Column) -> Column:
+        new = F.element_at("_given", b[block])
+        for f in fields:
+            b = b.withField(f, F.coalesce(new[f], b[f]))
+        return b
+
+    changed = F.transform("segments", lambda s: s.withField("blocks", F.transform(s["blocks"], updated)))
+    return documents.join(given, by, "left").withColumn("segments", F.when(F.col("_given").isNull(), F.col("segments")).otherwise(changed)).drop("_given")

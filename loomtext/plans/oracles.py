@@ -67,6 +67,7 @@ _LOST = f"{CAN} and ({_blank('translated_text')})"
 _COVER = "case when translatable > 0 then round(translated / translatable, 6) else 1.0 end"
 _GLOSS_VALUES = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(DEMO))
 GLOSSARY = f"glossary(term_id, term, term_target) as (values {_GLOSS_VALUES})"
+PROGRESS = "with r as (select event_type as template, event_id as seq, (user_id % 100)::double as bleu, (event_id % 90)::double as chrf, event_id % 4 <> 0 as success from events)"
 LOADED = """loaded as (select lower(p_name) as source, p_brand as target, p_type as domain, p_partkey as load_seq from part
   union all select upper(p_name), p_type, p_type, p_partkey * 3 + 1 from part where (p_partkey * 3 + 1) % 2 = 0),
 merged as (select lower(source) as source, target, domain, load_seq from loaded qualify row_number() over (partition by lower(source) order by load_seq desc) = 1)"""
@@ -173,6 +174,10 @@ def oracle_sql() -> dict[str, str]:
         "mask_counts_by_type": f"with {NOTED} " + " union all ".join(f"select '{k}' as mask_type, sum(len(regexp_extract_all(s, '{p}')))::bigint as n from noted" for k, p in _RE2.items()),
         "mask_roundtrip": f"{B} select doc_id, pos, true as same, 0 as missing, true as all_restored, true as all_present from blocks",
         "residue_cleanup": rf"{B} select doc_id, pos, trim(regexp_replace(regexp_replace(' ' || regexp_replace(source_text, '<<[^<>]*>>', '', 'g') || ' ', '\.{{3,}}', '', 'g'), ' {{2,}}', ' ', 'g'), ' ') as text from blocks",
+        "template_progress": f"{PROGRESS}, w as (select *, row_number() over (partition by template order by seq desc) - 1 as k from r) select template, round(sum(0.1 * pow(0.9, k) * bleu), 6) as bleu, round(sum(0.1 * pow(0.9, k) * chrf), 6) as chrf, round(avg(success::int), 6) as success_rate, count(*) as usage from w group by template",
+        "template_progress_resumed": f"{PROGRESS}, w as (select *, row_number() over (partition by template order by seq % 2 desc, seq desc) - 1 as k from r) select template, round(sum(0.1 * pow(0.9, k) * bleu), 6) as bleu, round(sum(0.1 * pow(0.9, k) * chrf), 6) as chrf, round(avg(success::int), 6) as success_rate, count(*) as usage from w group by template",
+        "score_write_back": "with l as (select doc_id::varchar as document_id, unnest(string_split(coalesce(text, ''), chr(10))) as t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as k from documents) select document_id, count(*) as blocks, round(sum(case when k % 3 = 1 then round(length(t) / 1000, 3) else 0.5 end), 3) as total, count(*) filter (k % 3 = 1) as missing, md5(coalesce(string_agg('<<M_' || k || '>>', ',' order by '<<M_' || k || '>>') filter (k % 3 = 1), '')) as missing_hash from l group by document_id",
+        "cache_upsert": f"{B}, b as (select doc_id, pos, source_text as t from blocks where pos < 3), e as (select t, 'one ' || doc_id as value, timestamp '2024-06-10' - to_days((doc_id % 9)::int) as ts from b where doc_id % 2 = 0 union all select t, 'two ' || doc_id, timestamp '2024-06-10' - to_days(((doc_id + 4) % 9)::int) from b where doc_id % 3 = 0), c as (select t, value from e where ts > timestamp '2024-06-10' - interval 7 days qualify row_number() over (partition by t order by ts desc, value desc) = 1) select doc_id, pos, value as cached from b left join c using (t)",
         "glossary_many_terms": f"{B}, words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) as term from benchmark) select term, count(*) as blocks, count(distinct doc_id) as documents from blocks join words on case when starts_with(term, 't') then contains(source_text, term) else contains(lower(source_text), lower(term)) end group by term",
         "glossary_term_hits": f"{B}, {GLOSSARY} select doc_id, pos, term from blocks join glossary on contains(lower(source_text), lower(term))",
         "glossary_adherence": f"{TR}, {GLOSSARY}, x as (select lang, count(*) as found, count(*) filter (contains(lower(coalesce(translated_text, '')), term_target)) as enforced from tr join glossary on contains(lower(source_text), term) group by lang) select l.lang, coalesce(found, 0) as found, coalesce(enforced, 0) as enforced, round(coalesce(enforced / nullif(found, 0), 1.0), 6) as rate from (select distinct lang from tr) l left join x using (lang)",

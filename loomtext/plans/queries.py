@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import context, coverage, glossary, layout, masking, metrics, report, scoring, translate
+from ..operators import cache, context, coverage, glossary, layout, masking, metrics, report, scoring, translate
 from ..sources.blocks import blocks as split_blocks
 from ..sources.blocks import read_table
 from ..streaming import events
@@ -520,7 +520,7 @@ def prompt_build(spark, sf):
 
 def _records(spark, sf) -> DataFrame:
     e = read_table(spark, sf, "events")
-    return e.select(F.col("event_type").alias("template"), F.col("event_id").alias("seq"), (F.col("user_id") % 100).cast("double").alias("bleu"), (F.col("event_id") % 4 != 0).alias("success"))
+    return e.select(F.col("event_type").alias("template"), F.col("event_id").alias("seq"), (F.col("user_id") % 100).cast("double").alias("bleu"), (F.col("event_id") % 90).cast("double").alias("chrf"), (F.col("event_id") % 4 != 0).alias("success"))
 
 
 @query
@@ -562,6 +562,51 @@ def chunk_text(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", F.size(translate.chunk(F.col("text"), 450)).alias("chunks"), F.md5(F.array_join(translate.chunk(F.col("text"), 450), "|")).alias("chunks_hash"))
 
 
+@query
+def template_progress_resumed(spark, sf):
+    """The later half of the records on top of the state that the earlier half left."""
+    r = _records(spark, sf)
+    return report.template_progress(r.where("seq % 2 = 1"), state=report.template_progress(r.where("seq % 2 = 0")))
+
+
+@query
+def merge_and_split_back(spark, sf):
+    """No SQL: cuts minimise a cost (tested against all cuts)."""
+    b = _blocks(spark, sf).withColumn("page", F.floor(F.col("pos") / 2).cast("int")).withColumn("source_text", F.when(F.col("pos") % 3 == 1, F.regexp_replace("source_text", r"[.]\s*$", "")).otherwise(F.col("source_text")))
+    x = context.split_back(context.part_lengths(b).withColumn("translated_text", translate.rule_translate(F.col("source_text"))))
+    return x.select("doc_id", "pos", F.size("translated_parts").alias("parts"), F.md5(F.array_join("translated_parts", "|")).alias("parts_hash"))
+
+
+@query
+def score_write_back(spark, sf):
+    """Nested documents of their lines; every third block gets a score and a missing placeholder."""
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    block = lambda t, i: F.struct(i.cast("string").alias("block_id"), t.alias("source_text"), F.array().cast("array<string>").alias("missing"), F.create_map(F.lit("total"), F.lit(0.5)).alias("scores"))
+    nested = docs.select("document_id", F.array(F.struct(F.lit("main").alias("segment_id"), F.transform(F.split("text", "\n"), block).alias("blocks"))).alias("segments"))
+    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).where("k % 3 = 1")
+    updates = lines.select("document_id", F.col("k").cast("string").alias("block_id"), F.create_map(F.lit("total"), F.round(F.length("t") / 1000, 3)).alias("scores"), F.array(F.concat(F.lit("<<M_"), F.col("k").cast("string"), F.lit(">>"))).alias("missing"))
+    x = report.write_back(nested, updates, {"scores": "scores", "missing": "missing"})
+    b = F.explode(F.col("segments")[0]["blocks"])
+    return x.select("document_id", b.alias("b")).groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum(F.col("b.scores")["total"]), 3).alias("total"), F.sum(F.size("b.missing")).alias("missing"), F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("b.missing"))), ",")).alias("missing_hash"))
+
+
+@query
+def cache_upsert(spark, sf):
+    """Two overlapping writes to a fresh table, and what a lookup finds afterwards."""
+    import uuid
+
+    from ..sources.scratch import shared_folder
+
+    path = f"{shared_folder(spark)}/loomtext-cache-{uuid.uuid4().hex}"
+    b = _blocks(spark, sf).where("pos < 3").select("doc_id", "pos", cache.key(F.col("source_text"), F.lit("en"), F.lit("fr"), F.lit("rules")).alias("key"), "source_text")
+    age = lambda c: _now() - F.make_interval(days=(c % 9).cast("int"))
+    one = b.where("doc_id % 2 = 0").select("key", F.concat(F.lit("one "), F.col("doc_id").cast("string")).alias("value"), age(F.col("doc_id")).alias("ts"))
+    two = b.where("doc_id % 3 = 0").select("key", F.concat(F.lit("two "), F.col("doc_id").cast("string")).alias("value"), age(F.col("doc_id") + 4).alias("ts"))
+    cache.upsert(one, path, _now())
+    cache.upsert(two, path, _now())
+    return cache.get(b, path, _now()).select("doc_id", "pos", "cached")
+
+
 @query
 def conversation_context(spark, sf):
     c = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("source_text"))
