@@ -15,9 +15,10 @@ def _doc():
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def window(blocks: DataFrame, n: int = 3) -> DataFrame:
-    """Each block with the texts of up to n blocks before and behind it, itself included."""
-    w = _doc().rowsBetween(-n, n)
+def window(blocks: DataFrame, n: int = 3, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each block with the texts of up to n blocks before and behind it, itself included. by: what a context doesn't go beyond
+    (a segment: its columns behind the document's)."""
+    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-n, n)
     return blocks.withColumn("context", F.collect_list("source_text").over(w))
 
 

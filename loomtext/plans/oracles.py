@@ -156,7 +156,7 @@ per as (select lang, n, sum(h) as h, sum(r) as r, sum(m) as m from parts group b
 
 def oracle_sql() -> dict[str, str]:
     shown = f"case when {_blank('translated_text')} then source_text else translated_text end"
-    return {
+    found = {
         "block_stats_by_lang": f"{B} select lang, count(*) as blocks, count(*) filter ({CAN}) as translatable, round(avg(length(source_text)), 6) as mean_length from blocks group by lang",
         "block_type_counts": f"{B} select lang, block_type, count(*) as n from blocks group by all",
         "split_blocks_scan": f"{B} select doc_id, pos, source_text from blocks",
@@ -178,6 +178,12 @@ def oracle_sql() -> dict[str, str]:
         "template_progress_resumed": f"{PROGRESS}, w as (select *, row_number() over (partition by template order by seq % 2 desc, seq desc) - 1 as k from r) select template, round(sum(0.1 * pow(0.9, k) * bleu), 6) as bleu, round(sum(0.1 * pow(0.9, k) * chrf), 6) as chrf, round(avg(success::int), 6) as success_rate, count(*) as usage from w group by template",
         "score_write_back": "with l as (select doc_id::varchar as document_id, unnest(string_split(coalesce(text, ''), chr(10))) as t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as k from documents) select document_id, count(*) as blocks, round(sum(case when k % 3 = 1 then round(length(t) / 1000, 3) else 0.5 end), 3) as total, count(*) filter (k % 3 = 1) as missing, md5(coalesce(string_agg('<<M_' || k || '>>', ',' order by '<<M_' || k || '>>') filter (k % 3 = 1), '')) as missing_hash from l group by document_id",
         "cache_upsert": f"{B}, b as (select doc_id, pos, source_text as t from blocks where pos < 3), e as (select t, 'one ' || doc_id as value, timestamp '2024-06-10' - to_days((doc_id % 9)::int) as ts from b where doc_id % 2 = 0 union all select t, 'two ' || doc_id, timestamp '2024-06-10' - to_days(((doc_id + 4) % 9)::int) from b where doc_id % 3 = 0), c as (select t, value from e where ts > timestamp '2024-06-10' - interval 7 days qualify row_number() over (partition by t order by ts desc, value desc) = 1) select doc_id, pos, value as cached from b left join c using (t)",
+        "context_window_segments": f"{B}, x as (select doc_id, pos, list(source_text) over (partition by doc_id, page order by pos rows between 3 preceding and 3 following) as c from blocks) select doc_id, pos, md5(array_to_string(c, chr(10))) as context_hash, len(c) as n from x",
+        "validation_masks": f"{B}, x as (select doc_id, count(*) filter ({CAN}) as translatable, count(*) filter ({CAN} and pos % 4 <> 1) as translated, 0 as identity_blocks, count(*) filter (pos % 4 = 0) as missing_masks from blocks group by doc_id) select *, {_COVER} as coverage, missing_masks = 0 and translated = translatable as is_valid, missing_masks > 0 or translated < translatable as has_errors from x",
+        "validation_texts": rf"""{B}, m as (select *, {CAN} as can, len(regexp_extract_all(source_text, '\[\d+(?:[,-]\d+)*\]')) + 1 as masks from blocks),
+k as (select *, coalesce(sum(masks) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) + 1 as first_no from m),
+c as (select doc_id, count(*) filter (can) as n, count(*) filter (can and pos % 4 <> 1) as done, count(*) filter (can and pos % 4 = 1) as gone, count(*) filter (pos % 4 = 0) as lost, (list(pos::varchar order by pos) filter (can and pos % 4 = 1))[:5] as gone_at, (list(pos || ' <<CITATION_BRACKET_' || lpad(first_no::bigint::varchar, greatest(4, length(first_no::bigint::varchar))::int, '0') || '>> (citation_bracket)' order by pos) filter (pos % 4 = 0))[:5] as lost_at from k group by doc_id)
+select doc_id, case when lost = 0 and done = n then 'valid' else 'not valid' end || ': ' || done || ' of ' || n || ' blocks translated' || case when gone > 0 then chr(10) || gone || ' without a translation: ' || array_to_string(gone_at, ', ') || case when gone > 5 then ' and ' || (gone - 5) || ' more' else '' end else '' end || case when lost > 0 then chr(10) || lost || ' lost placeholders: ' || array_to_string(lost_at, ', ') || case when lost > 5 then ' and ' || (lost - 5) || ' more' else '' end else '' end as report from c""",
         "glossary_many_terms": f"{B}, words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) as term from benchmark) select term, count(*) as blocks, count(distinct doc_id) as documents from blocks join words on case when starts_with(term, 't') then contains(source_text, term) else contains(lower(source_text), lower(term)) end group by term",
         "glossary_term_hits": f"{B}, {GLOSSARY} select doc_id, pos, term from blocks join glossary on contains(lower(source_text), lower(term))",
         "glossary_adherence": f"{TR}, {GLOSSARY}, x as (select lang, count(*) as found, count(*) filter (contains(lower(coalesce(translated_text, '')), term_target)) as enforced from tr join glossary on contains(lower(source_text), term) group by lang) select l.lang, coalesce(found, 0) as found, coalesce(enforced, 0) as enforced, round(coalesce(enforced / nullif(found, 0), 1.0), 6) as rate from (select distinct lang from tr) l left join x using (lang)",
@@ -235,3 +241,5 @@ def oracle_sql() -> dict[str, str]:
         "circuit_breaker_islands": "with o as (select event_type as service, event_id as seq, ts, user_id % 3 = 0 as ok from events), x as (select *, sum(ok::int) over (partition by service order by ts, seq) as run from o) select service, min(ts) as first_ts, max(ts) as last_ts, count(*) as length from x where not ok group by service, run having count(*) >= 3",
         "conversation_context": "with x as (select conv_id, turn, list(text) over (partition by conv_id order by turn rows between 2 preceding and 2 following) as c from conversations) select conv_id, turn, len(c) as n, md5(array_to_string(c, chr(10))) as context_hash from x",
     }
+    bundle, bleu, chrf = (found[k] for k in ("metric_bundle", "bleu_corpus", "chrf_corpus"))
+    return found | {"metric_bundle_full": f"select * from ({bundle}) join ({bleu}) using (lang) join ({chrf}) using (lang)"}

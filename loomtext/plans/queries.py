@@ -607,6 +607,40 @@ def cache_upsert(spark, sf):
     return cache.get(b, path, _now()).select("doc_id", "pos", "cached")
 
 
+@query
+def context_window_segments(spark, sf):
+    """Pages stand for segments: no context goes beyond one."""
+    return context.window(_blocks(spark, sf), 3, ("doc_id", "page")).select("doc_id", "pos", F.md5(F.array_join("context", "\n")).alias("context_hash"), F.size("context").alias("n"))
+
+
+def _masked(spark, sf) -> DataFrame:
+    """Masked blocks; every fourth one's translation lost its first placeholder, others are missing."""
+    m = masking.mask(_noted(spark, sf), patterns=[p for p in masking.PATTERNS if p[0] == "citation_bracket"])
+    t = F.when(F.col("pos") % 4 == 0, F.replace(F.col("masked_text"), F.col("masks")[0]["placeholder"], F.lit(""))).when(F.col("pos") % 4 == 1, " ").otherwise(F.col("masked_text"))
+    return m.withColumn("translated_text", F.explode(F.array(t)))
+
+
+@query
+def validation_masks(spark, sf):
+    b = _masked(spark, sf)
+    lost = F.when(tx.blank("translated_text"), 0).otherwise(F.size(masking.missing(F.col("translated_text"), F.col("masks"))))
+    return coverage.validate(b, restored=F.size("masks") - lost, expected=F.size("masks"))
+
+
+@query
+def validation_texts(spark, sf):
+    b = _masked(spark, sf)
+    lost = F.when(tx.blank("translated_text"), 0).otherwise(F.size(masking.missing(F.col("translated_text"), F.col("masks"))))
+    return report.validation_text(b, coverage.validate(b, restored=F.size("masks") - lost, expected=F.size("masks")))
+
+
+@query
+def metric_bundle_full(spark, sf):
+    """The bundle with BLEU and chrF."""
+    p = _pairs(spark, sf)
+    return _all["metric_bundle"](spark, sf).join(metrics.bleu(p, ["lang"]), "lang").join(metrics.chrf(p, ["lang"]), "lang")
+
+
 @query
 def conversation_context(spark, sf):
     c = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("source_text"))
