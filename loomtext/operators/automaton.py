@@ -14,30 +14,30 @@ from pyspark.sql import types as T
 _built: dict[str, list] = {}
 
 
-def build(patterns: list[str | None]) -> tuple[ahocorasick.Automaton | None, list[int]]:
-    """The automaton of the patterns, each with the places at which it stands in the list, and the places of empty ones (null: no pattern)."""
+def build(patterns: list[str | None]) -> tuple[ahocorasick.Automaton | None, list[list[int]], list[int]]:
+    """The automaton of the distinct patterns, the places of each in the list, and the places of empty ones (null: no pattern)."""
     places: dict[str, list[int]] = {}
     for k, p in enumerate(patterns):
         if p is not None:
             places.setdefault(p, []).append(k)
     everywhere = places.pop("", [])
     if not places:
-        return None, everywhere
+        return None, [], everywhere
     found = ahocorasick.Automaton()
-    for p, k in places.items():
-        found.add_word(p, k)
+    for n, p in enumerate(places):
+        found.add_word(p, n)
     found.make_automaton()
-    return found, everywhere
+    return found, list(places.values()), everywhere
 
 
-def standing(automaton: ahocorasick.Automaton | None, everywhere: list[int], text: str | None) -> set[int]:
+def standing(automaton: ahocorasick.Automaton | None, places: list[list[int]], everywhere: list[int], text: str | None) -> set[int]:
     """Places of the patterns that stand in the text."""
     if text is None:
         return set()
     out = set(everywhere)
     if automaton is not None:
-        for _, k in automaton.iter(text):
-            out.update(k)
+        for n in {n for _, n in automaton.iter(text)}:
+            out.update(places[n])
     return out
 
 
@@ -55,9 +55,9 @@ def scan(rows: DataFrame, patterns: list[tuple[Column, list[str | None]]], out:
             _built[name] = [build(p) for p in lists.value]
         for b in batches:
             found: list[set[int]] = [set() for _ in range(b.num_rows)]
-            for t, (automaton, everywhere) in zip(texts, _built[name]):
+            for t, built in zip(texts, _built[name]):
                 for k, text in enumerate(b.column(t).to_pylist()):
-                    found[k] |= standing(automaton, everywhere, text)
+                    found[k] |= standing(*built, text)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([sorted(f) for f in found], pa.list_(pa.int32()))], names=schema.names)
 
     return rows.withColumns({n: t for n, (t, _) in zip(texts, wanted)}).mapInArrow(run, schema)
