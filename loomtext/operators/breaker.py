@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.scratch import written
+from ..sources.scratch import PART, in_ranges
 
 ADDED = ("attempted", "failures", "open_until", "opened")
 _ORDER = ("service", "ts", "seq", "outcome")
-_PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -59,12 +58,11 @@ def replay(calls: DataFrame, rule: Rule = Rule(), parts: int | None = None) -> D
     x = calls.drop(*ADDED)
     timed = x.where("ts is not null")
     keys = [F.col(c).asc_nulls_first() for c in _ORDER]
-    timed = (timed.repartitionByRange(parts, *keys) if parts else timed.repartitionByRange(*keys)).withColumn(_PART, F.spark_partition_id())
-    table = written(timed)
+    table = in_ranges(timed, keys, parts)
     kind = x.schema["service"].dataType
-    ordered = lambda d: (d.repartition(parts, _PART) if parts else d.repartition(_PART)).sortWithinPartitions(_PART, *keys)
+    ordered = lambda d: (d.repartition(parts, PART) if parts else d.repartition(PART)).sortWithinPartitions(PART, *keys)
     exits = T.StructType([T.StructField("service", kind)]).add("part", "integer").add("first", "boolean").add("kind", "integer").add("value", "long").add("failures", "integer").add("until", "long")
-    spans = ordered(table.select(_PART, *_ORDER)).mapInArrow(_spans(rule), exits)
+    spans = ordered(table.select(PART, *_ORDER)).mapInArrow(_spans(rule), exits)
     order = [F.col(c).asc_nulls_first() for c in ("service", "part", "kind", "value")]
     starts = spans.repartition("service").sortWithinPartitions(*order).mapInArrow(_walk, "part int, failures int, until long")
     known = {r["part"]: (r["failures"], r["until"]) for r in starts.collect()}  # at most a row for each part of the shuffle
@@ -155,7 +153,7 @@ def _spans(rule: Rule):
 
         for b in batches:
             kind = b.column("service").type
-            parts, services = b.column(_PART).to_pylist(), b.column("service").to_pylist()
+            parts, services = b.column(PART).to_pylist(), b.column("service").to_pylist()
             ts = b.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
             said = b.column("outcome").to_pylist()
             busy = np.array([o == "busy" for o in said], dtype=bool)
@@ -202,7 +200,7 @@ def _states(starts: dict[int, tuple[int, int | None]], rule: Rule):
         state: tuple[int, int | None] = (0, None)
         for b in batches:
             kind, out = b.column("ts").type, []
-            for p, s, t, o in zip(b.column(_PART).to_pylist(), b.column("service").to_pylist(), b.column("ts").cast(pa.int64()).to_pylist(), b.column("outcome").to_pylist()):
+            for p, s, t, o in zip(b.column(PART).to_pylist(), b.column("service").to_pylist(), b.column("ts").cast(pa.int64()).to_pylist(), b.column("outcome").to_pylist()):
                 if p != part:
                     state = starts.get(p, (0, None))
                 elif s != service:
@@ -212,7 +210,7 @@ def _states(starts: dict[int, tuple[int, int | None]], rule: Rule):
                 state = (failures, until)
                 out.append((made, failures, until, opened))
             made, failures, until, opened = zip(*out) if out else ((),) * 4
-            keep = [n for n in b.schema.names if n != _PART]
+            keep = [n for n in b.schema.names if n != PART]
             cols = [b.column(n) for n in keep] + [pa.array(made, pa.bool_()), pa.array(failures, pa.int32()), pa.array(until, pa.int64()).cast(kind), pa.array(opened, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *ADDED])
 

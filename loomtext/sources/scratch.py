@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/loomtext-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Column of the part in tables that `in_ranges` writes.
+PART = "_part"
+
+
+def in_ranges(df: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
+    """df as a written table, cut by ranges of its keys into parts whose numbers follow the keys' order; equal keys share a part."""
+    cut = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return written(cut.withColumn(PART, F.spark_partition_id()))
