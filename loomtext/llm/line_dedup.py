@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, materialize
+from .common import col, discard, fresh, materialize
 
 #: A chunk ends after a line with a chance of one in so many.
 DIVISOR = 3
@@ -115,15 +115,23 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", by_chunks
     found = materialize(slim.mapInArrow(spots, schema))
     # written before each join, so that a hot unit's rows can be split there
     chunked, fine = found.where(F.col("no") % KINDS == CHUNK), found.where(F.col("no") % KINDS != CHUNK)
-    # repeated rows have the same places: a unit occurs twice if its first place isn't its last
-    often = materialize(chunked.groupBy("unit").agg(F.min(_place()).alias("first"), F.max(_place()).alias("end")).where(~F.col("first").eqNullSafe(F.col("end"))).select("unit", "first"))
+    # repeated rows have the same places: a unit occurs twice if not all hashes of its places are equal
+    places = F.xxhash64("key", "digest", "no")
+    twice = (F.min(places).alias("low"), F.max(places).alias("high"))
+    often = materialize(chunked.groupBy("unit").agg(F.min(_place()).alias("first"), *twice).where("low <> high").select("unit", "first"))
     marked = materialize(chunked.join(often, "unit").select("key", "digest", "no", (~_place().eqNullSafe(F.col("first"))).alias("later")))
+    # what occurs once is left first, so that less is looked up in the chunks that go
+    fine = materialize(fine.join(fine.groupBy("unit").agg(*twice).where("low <> high").select("unit"), "unit"))
+    discard(found)
+    discard(often)
     if by_chunks:
         gone = marked.where("later").select(F.col("key").alias("k3"), F.col("digest").alias("d3"), F.col("no").alias("inside3"))
-        fine = materialize(fine.join(gone, F.col("key").eqNullSafe(F.col("k3")) & (F.col("digest") == F.col("d3")) & (F.col("inside") == F.col("inside3")), "left_anti"))
-    twice = materialize(fine.groupBy("unit").agg(F.min(_place()).alias("first"), F.max(_place()).alias("end")).where(~F.col("first").eqNullSafe(F.col("end"))).select("unit"))
-    every = marked.select("key", "digest", "no").unionByName(fine.join(twice, "unit").select("key", "digest", "no"))
+        apart = materialize(fine.join(gone, F.col("key").eqNullSafe(F.col("k3")) & (F.col("digest") == F.col("d3")) & (F.col("inside") == F.col("inside3")), "left_anti"))
+        discard(fine)
+        fine = apart.join(apart.groupBy("unit").agg(*twice).where("low <> high").select("unit"), "unit")
+    every = marked.select("key", "digest", "no").unionByName(fine.select("key", "digest", "no"))
     wanted = materialize(every.groupBy("key", "digest").agg(F.collect_set("no").alias("nos")))  # a text's own units
+    discard(fine)
     given = F.broadcast(wanted) if _small(wanted, "nos") else wanted
     given = given.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), "nos")
     again = slim.join(given, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2"))).select("key", "digest", "text", "nos")
@@ -144,6 +152,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", by_chunks
     first = materialize(bodies.groupBy("kind", "body").agg(F.min(_place()).alias("first")))  # equal bytes, by value
     judged = bodies.join(first, ["kind", "body"]).select("key", "digest", "no", "kind", (~_place().eqNullSafe(F.col("first"))).alias("goes"))
     dropped = materialize(judged.where("goes").groupBy("key", "digest").agg(F.sort_array(F.collect_set("no")).alias("drop")))
+    for done in (wanted, bodies, first):
+        discard(done)
     if by_chunks:
         # two chunks of one digest with other bytes: then the second level has to see all lines
         kept = marked.where("later").groupBy("key", "digest").agg(F.count_distinct("no").alias("n")).agg(F.sum("n")).first()[0] or 0
