@@ -290,3 +290,14 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_mask_spans_search_each_text_once(spark):
+    """Rows of spans come from one search for each pattern, not one more for each use of the spans."""
+    d = spark.createDataFrame([(0, "see https://a.org/b and [1]"), (1, None), (2, "plain")], "pos int, source_text string")
+    x = masking.spans(d, patterns=[p for p in masking.PATTERNS if p[0] == "url_full"]).select("pos", F.explode("spans").alias("s"))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [(r["pos"], r["s"]["start"], r["s"]["end"]) for r in x.collect()] == [(0, 4, 19)]
+    # what settles texts and places without a search speaks of the shipped patterns only
+    own = masking.spans(d, patterns=[("url_full", 60, "plain"), ("page_reference", 50, "a")]).orderBy("pos").collect()
+    assert [len(r["spans"]) for r in own] == [2, 0, 1] and own[2]["spans"][0]["name"] == "url_full"
