@@ -13,8 +13,13 @@ WEIGHTS = {"fluency": 0.20, "adequacy": 0.30, "terminology": 0.25, "format": 0.2
 
 def _mean(parts: list[Column], empty: float) -> Column:
     """Mean of the parts that aren't null."""
-    n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
-    return F.when(n == 0, F.lit(empty)).otherwise(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / n)
+
+    def mean(a: Column) -> Column:
+        each = [F.get(a, F.lit(k)) for k in range(len(parts))]
+        n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in each), F.lit(0))
+        return F.when(n == 0, F.lit(empty)).otherwise(sum((F.coalesce(p, F.lit(0.0)) for p in each), F.lit(0.0)) / n)
+
+    return tx.once(F.array(*(p.cast("double") for p in parts)), mean)
 
 
 def top_count(values: Column) -> Column:
@@ -29,26 +34,34 @@ def top_count(values: Column) -> Column:
 
 
 def stddev(values: Column) -> Column:
-    """Population standard deviation of an array of numbers."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    """Population standard deviation of an array of numbers, which is made once, as is its mean."""
+
+    def around(v: Column, mean: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(v))
+
+    return tx.once(values, lambda v: tx.once(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v), lambda mean: around(v, mean)))
+
+
+#: Words that begin with a capital.
+CAPITALS = r"(?<!\S)\p{Lu}\S*"
 
 
 def fluency(t: Column) -> Column:
     """Repetition, sentence lengths, punctuation and capitals; 0 without words."""
-    w = tx.words(t)
-    n = F.size(w)
-    most = F.greatest(top_count(F.transform(F.filter(w, lambda x: F.length(x) > 3), F.lower)), F.lit(1))
+    most = F.greatest(top_count(F.transform(F.regexp_extract_all(t, F.lit(r"\S{4,}"), F.lit(0)), F.lower)), F.lit(1))
     lengths = F.transform(F.split(t, r"\. "), lambda s: tx.n_words(s).cast("double"))
     near = lambda share, best: F.greatest(F.lit(0.0), 1 - F.abs(share - best) / best)
-    parts = [
-        1 - F.least(most / n, F.lit(0.3)) / 0.3,
-        F.when(F.size(lengths) > 1, F.least(stddev(lengths) / 10, F.lit(1.0))),
-        near(tx.count(t, "[.,;:!?]") / n, 0.15),
-        near(F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}"))) / n, 0.1),
-    ]
-    return F.when(n == 0, 0.0).otherwise(_mean(parts, 0.0))
+
+    def of(n: Column) -> Column:
+        parts = [
+            1 - F.least(most / n, F.lit(0.3)) / 0.3,
+            tx.once(lengths, lambda v: F.when(F.size(v) > 1, F.least(stddev(v) / 10, F.lit(1.0)))),
+            near(tx.count(t, "[.,;:!?]") / n, 0.15),
+            near(tx.count(t, CAPITALS) / n, 0.1),
+        ]
+        return F.when(n == 0, 0.0).otherwise(_mean(parts, 0.0))
+
+    return tx.once(tx.n_words(t), of)
 
 
 #: Digits with an optional fraction; no letter, digit or underscore at either end.
@@ -59,17 +72,16 @@ def _numbers(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WHOLE_NUMBER), F.lit(0))
 
 
-def adequacy(source: Column, t: Column, target_numbers: Column) -> Column:
-    """Length, numbers, capitalised words and brackets that carry over. target_numbers: _numbers(t), as a column of its own."""
-    numbers_kept = F.size(F.filter(_numbers(source), lambda x: F.array_contains(target_numbers, x)))
-    sw, tw = tx.n_words(source), tx.n_words(t)
-    caps = lambda x: F.array_distinct(F.filter(tx.words(x), lambda w: w.rlike(r"^\p{Lu}")))
+def adequacy(source: Column, t: Column) -> Column:
+    """Length, numbers, capitalised words and brackets that carry over."""
+    caps = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(CAPITALS), F.lit(0)))
     opened = lambda x: tx.count(x, r"[(\[]")
+    kept = lambda s: tx.once(_numbers(t), lambda have: F.size(F.filter(s, lambda x: F.array_contains(have, x))))
     parts = [
-        F.when(sw > 0, 1 - F.least(F.abs(tw / sw - 1), F.lit(0.5)) / 0.5),
-        F.when(F.size(_numbers(source)) > 0, numbers_kept / F.size(_numbers(source))),
-        F.when(F.size(caps(source)) > 0, F.size(F.array_intersect(caps(source), caps(t))) / F.size(caps(source))),
-        F.when(opened(source) > 0, F.least(opened(t) / opened(source), F.lit(1.0))),
+        tx.once(tx.n_words(source), lambda sw: F.when(sw > 0, 1 - F.least(F.abs(tx.n_words(t) / sw - 1), F.lit(0.5)) / 0.5)),
+        tx.once(_numbers(source), lambda s: F.when(F.size(s) > 0, kept(s) / F.size(s))),
+        tx.once(caps(source), lambda s: F.when(F.size(s) > 0, F.size(F.array_intersect(s, caps(t))) / F.size(s))),
+        tx.once(opened(source), lambda n: F.when(n > 0, F.least(opened(t) / n, F.lit(1.0)))),
     ]
     return _mean(parts, 0.5)
 
@@ -78,9 +90,12 @@ def terminology(t: Column, terms: list[tuple[str, str]]) -> Column:
     """Targets that stand in the text less untranslated sources, over all terms."""
     if not terms:
         return F.lit(1.0)
-    low = F.lower(t)
-    score = sum((F.when(F.contains(low, F.lit(b.lower())), 1).when(F.contains(low, F.lit(a.lower())), -1).otherwise(0) for a, b in terms), F.lit(0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / len(terms)))
+
+    def of(low: Column) -> Column:
+        score = sum((F.when(F.contains(low, F.lit(b.lower())), 1).when(F.contains(low, F.lit(a.lower())), -1).otherwise(0) for a, b in terms), F.lit(0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / len(terms)))
+
+    return tx.once(F.lower(t), of)
 
 
 def format_kept(t: Column, masks: Column) -> Column:
@@ -101,17 +116,15 @@ def consistency(t: Column, previous: Column) -> Column:
         return F.struct(x.alias("v"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), F.when(same & (a["run"] == 1), F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
 
     often = F.aggregate(F.sort_array(long), first, step, lambda a: a["out"])
-    found = F.size(F.filter(often, lambda w: F.contains(F.lower(t), w)))
-    return F.coalesce(F.when(F.size(often) > 0, found / F.size(often)), F.lit(1.0))
+    share = lambda words: tx.once(F.lower(t), lambda low: F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words))
+    return tx.once(often, lambda words: F.coalesce(F.when(F.size(words) > 0, share(words)), F.lit(1.0)))
 
 
 def score(candidates: DataFrame, terms: list[tuple[str, str]], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """candidates (source_text, text, masks, previous) with a column for each dimension and total."""
     t = F.col("text")
-    # arrays that a lambda reads for each element are columns, so they are made once for each row
-    x = candidates.withColumn("_numbers", _numbers(t)).withColumn("_n_numbers", F.size("_numbers"))
-    x = x.withColumns({"fluency": fluency(t), "adequacy": adequacy(F.col("source_text"), t, F.when(F.col("_n_numbers") > 0, F.col("_numbers")).otherwise(F.array().cast("array<string>"))), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"))})
-    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_numbers", "_n_numbers")
+    x = candidates.withColumns({"fluency": fluency(t), "adequacy": adequacy(F.col("source_text"), t), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"))})
+    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)))
 
 
 def rerank(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -301,3 +301,19 @@ def test_mask_spans_search_each_text_once(spark):
     # what settles texts and places without a search speaks of the shipped patterns only
     own = masking.spans(d, patterns=[("url_full", 60, "plain"), ("page_reference", 50, "a")]).orderBy("pos").collect()
     assert [len(r["spans"]) for r in own] == [2, 0, 1] and own[2]["spans"][0]["name"] == "url_full"
+
+
+def test_scores_make_each_array_once(spark):
+    """Deviations and means don't make their array again for each element or use."""
+    from loomtext.operators import scoring
+
+    d = spark.createDataFrame([("The cat sat. A dog ran far away. 12 Birds (sing) 3.5",), ("",), (None,)], "t string")
+    x = d.select(scoring.fluency(F.col("t")).alias("f"), scoring.consistency(F.col("t"), F.array(F.lit("birds birds"), F.lit("horse horse"))).alias("c"))
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(t") == 1
+    rows = x.collect()
+    words, lengths = 12, [3, 5, 4]
+    mean = sum(lengths) / 3
+    deviation = (sum((n - mean) ** 2 for n in lengths) / 3) ** 0.5
+    parts = [1 - (1 / words) / 0.3, deviation / 10, max(0, 1 - abs(3 / words - 0.15) / 0.15), max(0, 1 - abs(3 / words - 0.1) / 0.1)]
+    assert rows[0]["f"] == pytest.approx(sum(parts) / 4) and rows[0]["c"] == 0.5 and rows[1]["f"] == 0
