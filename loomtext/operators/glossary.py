@@ -133,8 +133,10 @@ def learned(pairs: DataFrame) -> DataFrame:
     """Long source words with the first word of the translation they first came with, for each language; first write wins."""
     #: Words not learned.
     stop = ["the", "and", "for", "with", "that"]
-    first = F.element_at(tx.words(F.lower("translated_text")), 1)
-    x = pairs.where(~tx.blank("translated_text")).select("lang", "doc_id", "pos", first.alias("target"), F.posexplode(tx.words(F.lower("source_text"))).alias("k", "word"))
+    first = F.regexp_extract(F.lower("translated_text"), tx.WORDS, 0)
+    # a generator of its own: below the one of words, so that it is made once for each block, not for each word
+    x = pairs.where(~tx.blank("translated_text")).select("lang", "doc_id", "pos", "source_text", F.explode(F.array(first)).alias("target"))
+    x = x.select("lang", "doc_id", "pos", "target", F.posexplode_outer(tx.words(F.lower("source_text"))).alias("k", "word"))
     x = x.where((F.length("word") > 3) & ~F.col("word").isin(stop))
     return x.groupBy("lang", "word").agg(F.min_by("target", F.struct("doc_id", "pos", "k")).alias("target"))
 

@@ -317,3 +317,13 @@ def test_scores_make_each_array_once(spark):
     deviation = (sum((n - mean) ** 2 for n in lengths) / 3) ** 0.5
     parts = [1 - (1 / words) / 0.3, deviation / 10, max(0, 1 - abs(3 / words - 0.15) / 0.15), max(0, 1 - abs(3 / words - 0.1) / 0.1)]
     assert rows[0]["f"] == pytest.approx(sum(parts) / 4) and rows[0]["c"] == 0.5 and rows[1]["f"] == 0
+
+
+def test_learned_glossary_first_word_once(spark):
+    """The first word of a translation is found below the generator of words: once for each block."""
+    d = spark.createDataFrame([("en", 1, 0, "Neural nets, neural", "Réseaux de"), ("en", 1, 1, "", "x"), ("en", 2, 0, "neural with cats", "\tAutre mot"), ("en", 2, 1, "lone", " ")], "lang string, doc_id int, pos int, source_text string, translated_text string")
+    x = glossary.learned(d)
+    assert {(r["word"], r["target"]) for r in x.collect()} == {("neural", "réseaux"), ("nets,", "réseaux"), ("cats", "autre")}
+    plan = x._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "posexplode" in line)
+    assert not any("translated_text" in line for line in plan[:at]) and sum(line.count("regexp_extract_all(") for line in plan) == 1
