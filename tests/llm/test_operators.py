@@ -354,6 +354,13 @@ def test_jaccard_words_are_compared(spark, monkeypatch):
     assert few[0].tolist() == few[1].tolist() != few[2].tolist() and not len(few[3]) and few[4].tolist() != few[0].tolist()
 
 
+def test_jaccard_keeps_no_prefixes(spark, docs):
+    """Of what the join leaves on disk for its result, no table holds the prefixes."""
+    rows, _ = jaccard.components(docs)
+    files = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
+    assert len(files) == 1 and "prefix" not in spark.read.parquet(*files).columns and rows.count() == docs.count()
+
+
 def test_representatives(docs):
     one = collected(jaccard.representatives(docs))
     assert len([r for r in one if r["doc_id"] in (12, 13, 14, 15) or r["doc_id"] is None]) == 1
