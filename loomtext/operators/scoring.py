@@ -22,15 +22,19 @@ def _mean(parts: list[Column], empty: float) -> Column:
     return tx.once(F.array(*(p.cast("double") for p in parts)), mean)
 
 
-def top_count(values: Column) -> Column:
-    """How often the most frequent element stands in an array: the longest run in sorted order."""
-    first = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+#: A word and the lines behind it that repeat it, in sorted lines; possessive, so that no number of them is deep.
+REPEATED = r"(?md)^(\S++)\n(?:\1\n)++"
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["v"] == x, a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("v"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.aggregate(F.sort_array(values), first, step, lambda a: a["best"])
+def _lines(words: Column) -> Column:
+    """Words (without white space) in sorted order, one on each line: equal ones are neighbours. Sorting and joining cost less than a step for each word."""
+    return F.concat(F.array_join(F.sort_array(words), "\n"), F.lit("\n"))
+
+
+def top_count(words: Column) -> Column:
+    """How often the most frequent word stands in an array of words; 0 in an empty one."""
+    often = lambda w: F.array_max(F.transform(F.regexp_extract_all(_lines(w), F.lit(REPEATED), F.lit(0)), lambda run: (F.length(run) / F.instr(run, "\n")).cast("int")))
+    return tx.once(words, lambda w: F.coalesce(often(w), F.least(F.size(w), F.lit(1))))
 
 
 def stddev(values: Column) -> Column:
@@ -42,12 +46,17 @@ def stddev(values: Column) -> Column:
     return tx.once(values, lambda v: tx.once(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v), lambda mean: around(v, mean)))
 
 
-#: Words that begin with a capital.
-CAPITALS = r"(?<!\S)\p{Lu}\S*"
+#: Words that begin with a capital (looked for first: most places have none).
+CAPITALS = r"(?=\p{Lu})(?<!\S)\p{Lu}\S*"
+
+
+def capitals(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(CAPITALS), F.lit(0))
 
 
-def fluency(t: Column) -> Column:
-    """Repetition, sentence lengths, punctuation and capitals; 0 without words."""
+def fluency(t: Column, n_words: Column | None = None, n_capitals: Column | None = None) -> Column:
+    """Repetition, sentence lengths, punctuation and capitals; 0 without words. n_words, n_capitals: those of the text, where they are at hand."""
+    n_words, n_capitals = tx.n_words(t) if n_words is None else n_words, F.size(capitals(t)) if n_capitals is None else n_capitals
     most = F.greatest(top_count(F.transform(F.regexp_extract_all(t, F.lit(r"\S{4,}"), F.lit(0)), F.lower)), F.lit(1))
     lengths = F.transform(F.split(t, r"\. "), lambda s: tx.n_words(s).cast("double"))
     near = lambda share, best: F.greatest(F.lit(0.0), 1 - F.abs(share - best) / best)
@@ -57,31 +66,35 @@ def fluency(t: Column) -> Column:
             1 - F.least(most / n, F.lit(0.3)) / 0.3,
             tx.once(lengths, lambda v: F.when(F.size(v) > 1, F.least(stddev(v) / 10, F.lit(1.0)))),
             near(tx.count(t, "[.,;:!?]") / n, 0.15),
-            near(tx.count(t, CAPITALS) / n, 0.1),
+            near(n_capitals / n, 0.1),
         ]
         return F.when(n == 0, 0.0).otherwise(_mean(parts, 0.0))
 
-    return tx.once(tx.n_words(t), of)
+    return tx.once(n_words, of)
 
 
 #: Digits with an optional fraction; no letter, digit or underscore at either end.
-WHOLE_NUMBER = r"(?<![\p{L}\p{N}_])\d+(?:\.\d+)?(?![\p{L}\p{N}_])"
+WHOLE_NUMBER = r"(?=\d)(?<![\p{L}\p{N}_])\d+(?:\.\d+)?(?![\p{L}\p{N}_])"
 
 
 def _numbers(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WHOLE_NUMBER), F.lit(0))
 
 
-def adequacy(source: Column, t: Column) -> Column:
-    """Length, numbers, capitalised words and brackets that carry over."""
-    caps = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(CAPITALS), F.lit(0)))
-    opened = lambda x: tx.count(x, r"[(\[]")
+def of_source(source: Column) -> Column:
+    """What adequacy() takes from a source: its number of words, numbers, distinct capitalised words and opened brackets."""
+    return F.struct(tx.n_words(source).alias("words"), _numbers(source).alias("numbers"), F.array_distinct(capitals(source)).alias("capitals"), tx.count(source, r"[(\[]").alias("opened"))
+
+
+def adequacy(source: Column, t: Column, n_words: Column | None = None, capital_words: Column | None = None) -> Column:
+    """Length, numbers, capitalised words and brackets that carry over. source: of_source() of it; the others: of the text, where they are at hand."""
+    n_words, capital_words = tx.n_words(t) if n_words is None else n_words, capitals(t) if capital_words is None else capital_words
     kept = lambda s: tx.once(_numbers(t), lambda have: F.size(F.filter(s, lambda x: F.array_contains(have, x))))
     parts = [
-        tx.once(tx.n_words(source), lambda sw: F.when(sw > 0, 1 - F.least(F.abs(tx.n_words(t) / sw - 1), F.lit(0.5)) / 0.5)),
-        tx.once(_numbers(source), lambda s: F.when(F.size(s) > 0, kept(s) / F.size(s))),
-        tx.once(caps(source), lambda s: F.when(F.size(s) > 0, F.size(F.array_intersect(s, caps(t))) / F.size(s))),
-        tx.once(opened(source), lambda n: F.when(n > 0, F.least(opened(t) / n, F.lit(1.0)))),
+        tx.once(source["words"], lambda sw: F.when(sw > 0, 1 - F.least(F.abs(n_words / sw - 1), F.lit(0.5)) / 0.5)),
+        tx.once(source["numbers"], lambda s: F.when(F.size(s) > 0, kept(s) / F.size(s))),
+        tx.once(source["capitals"], lambda s: F.when(F.size(s) > 0, F.size(F.array_intersect(s, capital_words)) / F.size(s))),
+        tx.once(source["opened"], lambda n: F.when(n > 0, F.least(tx.count(t, r"[(\[]") / n, F.lit(1.0)))),
     ]
     return _mean(parts, 0.5)
 
@@ -106,25 +119,32 @@ def format_kept(t: Column, masks: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(_mean(parts, 1.0))
 
 
-def consistency(t: Column, previous: Column) -> Column:
-    """Share of long words, used twice or more in previous translations, that stand in the text."""
-    long = F.filter(F.flatten(F.transform(previous, lambda p: tx.words(F.lower(p)))), lambda w: F.length(w) > 4)
-    first = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.array().cast("array<string>").alias("out"))
+def often(previous: Column) -> Column:
+    """Words of five characters or more that stand twice or more in previous translations."""
+    long = F.flatten(F.transform(previous, lambda p: F.regexp_extract_all(F.lower(p), F.lit(r"\S{5,}"), F.lit(0))))
+    return F.regexp_extract_all(_lines(long), F.lit(REPEATED), F.lit(1))
+
+
+def consistency(t: Column, previous: Column, words: Column | None = None) -> Column:
+    """Share of long words, used twice or more in previous translations, that stand in the text. words: often() of the previous ones, where it is at hand."""
+    words = often(previous) if words is None else words
+    share = lambda w: tx.once(F.lower(t), lambda low: F.size(F.filter(w, lambda x: F.contains(low, x))) / F.size(w))
+    return tx.once(words, lambda w: F.coalesce(F.when(F.size(w) > 0, share(w)), F.lit(1.0)))
 
-    def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(a["v"] == x, F.lit(False))
-        return F.struct(x.alias("v"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), F.when(same & (a["run"] == 1), F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
 
-    often = F.aggregate(F.sort_array(long), first, step, lambda a: a["out"])
-    share = lambda words: tx.once(F.lower(t), lambda low: F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words))
-    return tx.once(often, lambda words: F.coalesce(F.when(F.size(words) > 0, share(words)), F.lit(1.0)))
+def prepared(blocks: DataFrame) -> DataFrame:
+    """blocks (source_text, previous) with what score() takes from both: candidates that are made of such blocks share it."""
+    return blocks.withColumns({"_source": of_source(F.col("source_text")), "_often": often(F.col("previous"))})
 
 
 def score(candidates: DataFrame, terms: list[tuple[str, str]], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """candidates (source_text, text, masks, previous) with a column for each dimension and total."""
+    """candidates (source_text, text, masks, previous) with a column for each dimension and total. Those of prepared() blocks have their sources' parts at hand."""
     t = F.col("text")
-    x = candidates.withColumns({"fluency": fluency(t), "adequacy": adequacy(F.col("source_text"), t), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"))})
-    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)))
+    x = candidates if {"_source", "_often"} <= set(candidates.columns) else prepared(candidates)
+    x = x.withColumns({"_words": tx.n_words(t), "_capitals": capitals(t)})  # two dimensions take them
+    n, caps = F.col("_words"), F.col("_capitals")
+    x = x.withColumns({"fluency": fluency(t, n, F.size(caps)), "adequacy": adequacy(F.col("_source"), t, n, caps), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"), F.col("_often"))})
+    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_source", "_often", "_words", "_capitals")
 
 
 def rerank(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -43,13 +43,12 @@ def _candidates(spark, sf) -> DataFrame:
     """Four candidates for each block, with two placeholders to keep and the two previous glossary translations."""
     from pyspark.sql import Window
 
-    b = _blocks(spark, sf)
-    g = _rewrite(F.col("source_text"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-2, -1)
-    b = b.withColumn("previous", F.collect_list(_rewrite(F.col("source_text"))).over(w))
+    g = F.col("_g")
+    b = _blocks(spark, sf).withColumn("_g", _rewrite(F.col("source_text"))).withColumn("previous", F.collect_list(g).over(w))
     texts = F.array(g, F.col("source_text"), F.regexp_replace(g, r"^\S+\s*", ""), F.lower(g))
     mask = lambda p: F.struct(F.lit(p).alias("placeholder"))
-    return b.select("doc_id", "lang", "pos", "source_text", "previous", F.array(mask("de"), mask("a")).alias("masks"), F.posexplode(texts).alias("candidate_id", "text"))
+    return scoring.prepared(b).select("doc_id", "lang", "pos", "source_text", "previous", "_source", "_often", F.array(mask("de"), mask("a")).alias("masks"), F.posexplode(texts).alias("candidate_id", "text"))
 
 
 def _r(c: Column | str) -> Column:

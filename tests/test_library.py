@@ -327,3 +327,26 @@ def test_learned_glossary_first_word_once(spark):
     plan = x._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, line in enumerate(plan) if "posexplode" in line)
     assert not any("translated_text" in line for line in plan[:at]) and sum(line.count("regexp_extract_all(") for line in plan) == 1
+
+
+def test_scores_share_a_block_s_parts(spark):
+    """What scores take from a source and from previous translations is made once a block, below its candidates; parts of a candidate once for both dimensions."""
+    from loomtext.operators import scoring
+
+    rows = [(0, "Die Katze [1] sah 3.5 Ziele", ["Horse horse (Figure", "figure (figure horse"]), (1, "", []), (2, None, None), (3, "1 Ab Ab", [None, "horse horse"])]
+    d = spark.createDataFrame(rows, "pos int, source_text string, previous array<string>")
+    texts = ["A cat saw 3.5 aims. The horse (figure [x", "The the THE then İabc i̇abc word word word word Horse  Horse ", "", None]
+    masks = F.array().cast("array<struct<placeholder:string>>").alias("masks")
+    explode = lambda b, *more: b.select("pos", "source_text", "previous", *more, masks, F.posexplode(F.array(*map(F.lit, texts))).alias("candidate_id", "text"))
+    terms = [("horse", "cheval")]
+    shared, alone = scoring.score(explode(scoring.prepared(d), "_source", "_often"), terms), scoring.score(explode(d), terms)
+    key = ["pos", "candidate_id"]
+    assert shared.orderBy(*key).drop("masks").collect() == alone.orderBy(*key).drop("masks").collect()
+    got = {(r["pos"], r["candidate_id"]): r for r in shared.collect()}
+    assert got[0, 0]["consistency"] == 1 and got[0, 1]["consistency"] == 0.5 and got[3, 0]["consistency"] == 1
+    plan = shared._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "posexplode" in line)
+    assert not any("regexp_extract_all(source_text" in line or "regexp_extract_all(lower(lambda" in line for line in plan[:at])
+    assert sum(line.count("regexp_extract_all(text#") for line in plan[:at]) <= 6  # words, capitals, long words, numbers, punctuation, brackets
+    count = lambda words: spark.range(1).select(scoring.top_count(F.array(*map(F.lit, words)).cast("array<string>"))).first()[0]
+    assert [count(w) for w in ([], ["a"], ["b", "a", "b"], ["ab", "a", "a", "ab"], ["x\u0085", "x", "x\u0085"], ["w"] * 20000)] == [0, 1, 2, 2, 2, 20000]
