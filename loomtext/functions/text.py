@@ -32,13 +32,17 @@ def count_chars(x: Column | str, others: str) -> Column:
     return F.length(F.regexp_replace(_c(x), others + "+", ""))
 
 
+#: The characters of \s.
+SPACES = " \t\n\x0b\f\r"
+
+
 def trim_ws(x: Column | str) -> Column:
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.btrim(_c(x), F.lit(SPACES))
 
 
 def normalize(x: Column | str) -> Column:
-    """Lower case, single spaces, no outer white space."""
-    return F.regexp_replace(trim_ws(F.lower(_c(x))), r"\s+", " ")
+    """Lower case, single spaces, no outer white space. (Single spaces are left alone: most texts hold nothing to replace.)"""
+    return F.regexp_replace(trim_ws(F.lower(_c(x))), r"[\t\n\x0B\f\r]\s*| \s+", " ")
 
 
 def words(x: Column | str) -> Column:

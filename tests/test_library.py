@@ -350,3 +350,14 @@ def test_scores_share_a_block_s_parts(spark):
     assert sum(line.count("regexp_extract_all(text#") for line in plan[:at]) <= 6  # words, capitals, long words, numbers, punctuation, brackets
     count = lambda words: spark.range(1).select(scoring.top_count(F.array(*map(F.lit, words)).cast("array<string>"))).first()[0]
     assert [count(w) for w in ([], ["a"], ["b", "a", "b"], ["ab", "a", "a", "ab"], ["x\u0085", "x", "x\u0085"], ["w"] * 20000)] == [0, 1, 2, 2, 2, 20000]
+
+
+def test_normalize_searches_once(spark):
+    """Outer spaces go without a pattern, and one search finds the inner ones that change anything; \\s, nothing else, is a space."""
+    texts = [" a  b\tc \n", "\r\n\x0b\x0ca b", "a\n b \t  C", "", " \t ", "é  x ", "a b", "abc \u0085", "  x "]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string").select("k", "t", tx.trim_ws("t").alias("trimmed"), tx.normalize("t").alias("n"))
+    ascii_spaces = " \t\n\x0b\f\r"
+    for r in d.collect():
+        want = None if r["t"] is None else r["t"].strip(ascii_spaces)
+        assert r["trimmed"] == want and r["n"] == (None if want is None else re.sub(r"\s+", " ", want.lower(), flags=re.ASCII))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
