@@ -119,37 +119,39 @@ def document_json(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", item.alias("p")).groupBy("doc_id").agg(F.concat(F.lit("["), ordered_text(F.collect_list("p"), ","), F.lit("]")).alias("json"))
 
 
-def first_of(rows: DataFrame, by: str, item: Column, most: int, out: str) -> DataFrame:
-    """(by, out: the first items of each group in order of pos, out_n: how many there are). Only the first ones are collected."""
-    w = Window.partitionBy(by)
-    x = rows.select(by, "pos", item.alias("_item")).withColumns({"_k": F.row_number().over(w.orderBy("pos", "_item")), "_n": F.count(F.lit(1)).over(w)})
-    return x.where(F.col("_k") <= most).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_item"))), lambda t: t["_item"]).alias(out), F.first("_n").alias(f"{out}_n"))
-
-
 def validation_text(blocks: DataFrame, validated: DataFrame, ids: int = 5) -> DataFrame:
     """A report in words for each document: verdict, coverage, and the first blocks that are missing, copies, or lack placeholders.
 
-    blocks: translated ones, with masks where there are any. validated: coverage.validate() of them.
+    blocks: translated ones, with masks where there are any. validated: coverage.validate() of them. All three lists come from one pass over the blocks.
     """
     name = F.col("pos").cast("string")
-    can = tx.is_translatable("block_type")
-    lists = {"missing": first_of(blocks.where(can & tx.blank("translated_text")), "doc_id", name, ids, "missing"), "copies": first_of(blocks.where(can & tx.identity_failure("source_text", "translated_text")), "doc_id", name, ids, "copies")}
+    can, blank = tx.is_translatable("block_type"), tx.blank("translated_text")
+    found = lambda kind, items: F.transform(items, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("item")))
+    if_so = lambda c: F.array_compact(F.array(F.when(c, name)))
+    parts = [found("missing", if_so(can & blank)), found("copies", if_so(can & tx.identity_failure("source_text", "translated_text")))]
     if "masks" in blocks.columns:
-        lost = lost_masks(blocks)
-        lists["lost"] = first_of(lost, "doc_id", F.concat(name, F.lit(" "), F.col("placeholder"), F.lit(" ("), F.col("mask_type"), F.lit(")")), ids, "lost")
-    x = validated
-    for part in lists.values():
-        x = x.join(part, "doc_id", "left")
+        lost = F.when(~blank, F.transform(_gone(), lambda m: F.concat(name, F.lit(" "), m["placeholder"], F.lit(" ("), m["mask_type"], F.lit(")"))))
+        parts.append(found("lost", F.coalesce(lost, F.array().cast("array<string>"))))
+    each = Window.partitionBy("doc_id", "kind")
+    rows = blocks.select("doc_id", "pos", F.explode(F.concat(*parts)).alias("i")).select("doc_id", "pos", "i.kind", "i.item")
+    rows = rows.withColumns({"_k": F.row_number().over(each.orderBy("pos", "item")), "_n": F.count(F.lit(1)).over(each)}).where(F.col("_k") <= ids)
     titles = {"missing": "without a translation", "copies": "copied from the source", "lost": "lost placeholders"}
-    line = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.col(f"{k}_n").cast("string"), F.lit(f" {titles[k]}: "), F.array_join(k, ", "), F.when(F.col(f"{k}_n") > ids, F.concat(F.lit(" and "), (F.col(f"{k}_n") - ids).cast("string"), F.lit(" more"))).otherwise("")))
+    of = lambda k, c: F.when(F.col("kind") == k, c)
+    lists = rows.groupBy("doc_id").agg(*(c for k in titles for c in (F.array_sort(F.collect_list(of(k, F.struct("_k", "item")))).alias(k), F.max(of(k, F.col("_n"))).alias(f"{k}_n"))))
+    x = validated.join(lists, "doc_id", "left")
+    line = lambda k: F.when(F.col(f"{k}_n").isNotNull(), F.concat(F.col(f"{k}_n").cast("string"), F.lit(f" {titles[k]}: "), F.array_join(F.transform(k, lambda t: t["item"]), ", "), F.when(F.col(f"{k}_n") > ids, F.concat(F.lit(" and "), (F.col(f"{k}_n") - ids).cast("string"), F.lit(" more"))).otherwise("")))
     head = F.concat(F.when(F.col("is_valid"), "valid").otherwise("not valid"), F.lit(": "), F.col("translated").cast("string"), F.lit(" of "), F.col("translatable").cast("string"), F.lit(" blocks translated"))
-    return x.select("doc_id", F.concat_ws("\n", head, *map(line, lists)).alias("report"))
+    return x.select("doc_id", F.concat_ws("\n", head, *map(line, titles)).alias("report"))
+
+
+def _gone() -> Column:
+    """Masks whose placeholder the translation doesn't hold."""
+    return F.filter("masks", lambda m: ~F.contains(F.col("translated_text"), m["placeholder"]))
 
 
 def lost_masks(blocks: DataFrame) -> DataFrame:
     """(doc_id, pos, placeholder, mask_type) of placeholders that a translation doesn't hold; untranslated blocks lose none."""
-    gone = F.filter("masks", lambda m: ~F.contains(F.col("translated_text"), m["placeholder"]))
-    return blocks.where(~tx.blank("translated_text")).select("doc_id", "pos", F.explode(gone).alias("m")).select("doc_id", "pos", "m.placeholder", "m.mask_type")
+    return blocks.where(~tx.blank("translated_text")).select("doc_id", "pos", F.explode(_gone()).alias("m")).select("doc_id", "pos", "m.placeholder", "m.mask_type")
 
 
 def write_back(documents: DataFrame, updates: DataFrame, fields: dict[str, str], by: str = "document_id", block: str = "block_id") -> DataFrame:

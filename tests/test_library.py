@@ -361,3 +361,23 @@ def test_normalize_searches_once(spark):
         want = None if r["t"] is None else r["t"].strip(ascii_spaces)
         assert r["trimmed"] == want and r["n"] == (None if want is None else re.sub(r"\s+", " ", want.lower(), flags=re.ASCII))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_validation_text_takes_one_pass(spark):
+    """All lists of a report come from one pass over the blocks, beside the one that validated takes."""
+    long = "one two three four five six seven eight nine"
+    rows = [("d", k, "PARAGRAPH", "s", None) for k in range(7)] + [("d", 7, "PARAGRAPH", long, long), ("d", 8, "PARAGRAPH", "s", "<<A>> x"), ("d", 9, "EQUATION", "s", None), ("e", 0, "PARAGRAPH", "s", "<<A>> <<B>>")]
+    masks = F.array(*(F.struct(F.lit(p).alias("placeholder"), F.lit("t").alias("mask_type")) for p in ("<<A>>", "<<B>>")))
+    b = spark.createDataFrame(rows, "doc_id string, pos int, block_type string, source_text string, translated_text string").withColumn("masks", F.when(F.col("pos") != 7, masks))
+    x = report.validation_text(b, coverage.validate(b))
+    assert {r["doc_id"]: r["report"] for r in x.collect()} == {"d": "not valid: 2 of 9 blocks translated\n7 without a translation: 0, 1, 2, 3, 4 and 2 more\n1 copied from the source: 7\n1 lost placeholders: 8 <<B>> (t)", "e": "valid: 1 of 1 blocks translated"}
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def test_sizes_of_equal_texts_once(spark):
+    """Words are counted without a step for each of them, and those of a reference that equals its hypothesis aren't counted again."""
+    d = spark.createDataFrame([("g", "  a b c ", "  a b c "), ("g", "a  b", "\x1ca b c d"), ("g", None, "x"), ("g", " ", "")], "k string, h string, r string")
+    x = metrics._clipped(d, ["k"], F.col("h"), F.col("r"), 2, True)
+    assert {r["n"]: (r["h"], r["r"], r["m"]) for r in x.collect()} == {1: (5, 8, 5), 2: (3, 5, 3)}
+    assert "filter(split(" not in x._jdf.queryExecution().optimizedPlan().toString()
