@@ -74,8 +74,8 @@ def _clipped(pairs: DataFrame, by: list[str], hyp: Column, ref: Column, most: in
     """
     h, r = (F.coalesce(c, F.lit("")) for c in (hyp, ref))
     e = pairs.select(*by, h.alias("_h"), r.alias("_r"))
-    size = (lambda c: F.size(F.filter(F.split(c, GAP), lambda w: w != ""))) if words else (lambda c: F.length(F.regexp_replace(c, GAP, "")))
-    e = e.withColumns({"_hs": size(F.col("_h")), "_rs": size(F.col("_r"))})
+    size = (lambda c: F.size(F.array_remove(F.split(c, GAP), ""))) if words else (lambda c: F.length(F.regexp_replace(c, GAP, "")))
+    e = e.withColumn("_hs", size(F.col("_h"))).withColumn("_rs", F.when(F.col("_h") == F.col("_r"), F.col("_hs")).otherwise(size(F.col("_r"))))
 
     @F.pandas_udf("array<long>")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
