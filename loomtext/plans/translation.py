@@ -35,15 +35,20 @@ def sequential_translation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class _Moody:
-    """A service that, by its text's length, is busy twice or always, fails, gives nothing, or answers."""
+    """A service that, by its text's length, is busy twice or always, fails, gives nothing, or answers. It holds only the texts that it is busy with."""
 
     def __init__(self) -> None:
         self.calls: dict[str, int] = {}
 
     def __call__(self, text: str) -> str:
-        k, self.calls[text] = len(text) % 5, self.calls.get(text, 0) + 1
-        if k == 3 or (k == 0 and self.calls[text] <= 2):
+        k = len(text) % 5
+        if k == 3:
             raise client.Busy("429")
+        if k == 0:
+            n = self.calls.pop(text, 0)
+            if n < 2:
+                self.calls[text] = n + 1
+                raise client.Busy("429")
         if k == 1:
             raise ValueError("broken")
         return "" if k == 2 else "[a] " + text

@@ -202,3 +202,11 @@ def test_query_equals_sql(spark, name):
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
     pd.testing.assert_frame_equal(normal(a), normal(con.execute(plans.oracle_sql()[name]).df()), check_dtype=False)
+
+
+def test_moody_forgets_answered_texts():
+    """The double holds a text only while it is busy with it: its memory doesn't grow with the texts."""
+    service = plans._Moody()
+    got = [client.ask("x" * n, [("a", service), ("b", plans._second)], client.Policy(), client.TokenBucket(), lambda s: None) for n in range(1, 41)]
+    assert not service.calls
+    assert [(a.service, a.calls, a.busy) for a in got[4:10:5]] == [("a", 3, 2), ("a", 3, 2)] and got[2].busy == 3
