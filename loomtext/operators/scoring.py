@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import text as tx
 
 #: Weights of the dimensions.
@@ -54,23 +55,29 @@ def capitals(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(CAPITALS), F.lit(0))
 
 
-def fluency(t: Column, n_words: Column | None = None, n_capitals: Column | None = None) -> Column:
-    """Repetition, sentence lengths, punctuation and capitals; 0 without words. n_words, n_capitals: those of the text, where they are at hand."""
-    n_words, n_capitals = tx.n_words(t) if n_words is None else n_words, F.size(capitals(t)) if n_capitals is None else n_capitals
-    most = F.greatest(top_count(F.transform(F.regexp_extract_all(t, F.lit(r"\S{4,}"), F.lit(0)), F.lower)), F.lit(1))
+def counts(t: Column) -> Column:
+    """What fluency() takes from a text, as batches.text_counts counts it for whole batches."""
+    long = F.transform(F.regexp_extract_all(t, F.lit(r"\S{4,}"), F.lit(0)), F.lower)
     lengths = F.transform(F.split(t, r"\. "), lambda s: tx.n_words(s).cast("double"))
+    spread = tx.once(lengths, lambda v: F.when(F.size(v) > 1, stddev(v)))
+    return F.struct(tx.n_words(t).alias("words"), F.size(capitals(t)).alias("capitals"), top_count(long).alias("most"), tx.count(t, "[.,;:!?]").alias("marks"), spread.alias("spread"))
+
+
+def fluency(t: Column, counted: Column | None = None) -> Column:
+    """Repetition, sentence lengths, punctuation and capitals; 0 without words. counted: batches.text_counts of the text, where it is at hand."""
     near = lambda share, best: F.greatest(F.lit(0.0), 1 - F.abs(share - best) / best)
 
-    def of(n: Column) -> Column:
+    def of(c: Column) -> Column:
+        n = c["words"]
         parts = [
-            1 - F.least(most / n, F.lit(0.3)) / 0.3,
-            tx.once(lengths, lambda v: F.when(F.size(v) > 1, F.least(stddev(v) / 10, F.lit(1.0)))),
-            near(tx.count(t, "[.,;:!?]") / n, 0.15),
-            near(n_capitals / n, 0.1),
+            1 - F.least(F.greatest(c["most"], F.lit(1)) / n, F.lit(0.3)) / 0.3,
+            F.when(c["spread"].isNotNull(), F.least(c["spread"] / 10, F.lit(1.0))),
+            near(c["marks"] / n, 0.15),
+            near(c["capitals"] / n, 0.1),
         ]
         return F.when(n == 0, 0.0).otherwise(_mean(parts, 0.0))
 
-    return tx.once(n_words, of)
+    return tx.once(counts(t), of) if counted is None else of(counted)
 
 
 #: Digits with an optional fraction; no letter, digit or underscore at either end.
@@ -81,20 +88,20 @@ def _numbers(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WHOLE_NUMBER), F.lit(0))
 
 
-def of_source(source: Column) -> Column:
-    """What adequacy() takes from a source: its number of words, numbers, distinct capitalised words and opened brackets."""
-    return F.struct(tx.n_words(source).alias("words"), _numbers(source).alias("numbers"), F.array_distinct(capitals(source)).alias("capitals"), tx.count(source, r"[(\[]").alias("opened"))
+def of_source(source: Column, counted: Column) -> Column:
+    """What adequacy() takes from a source: its number of words, numbers, distinct capitalised words and opened brackets. counted: batches.source_words of it."""
+    return F.struct(counted["words"].alias("words"), F.when(counted["digits"], _numbers(source)).alias("numbers"), counted["capitals"].alias("capitals"), counted["opened"].alias("opened"))
 
 
-def adequacy(source: Column, t: Column, n_words: Column | None = None, capital_words: Column | None = None) -> Column:
-    """Length, numbers, capitalised words and brackets that carry over. source: of_source() of it; the others: of the text, where they are at hand."""
-    n_words, capital_words = tx.n_words(t) if n_words is None else n_words, capitals(t) if capital_words is None else capital_words
+def adequacy(source: Column, t: Column, counted: Column) -> Column:
+    """Length, numbers, capitalised words and brackets that carry over. source: of_source() of it; counted: batches.text_counts of the text and the source's capitalised words."""
     kept = lambda s: tx.once(_numbers(t), lambda have: F.size(F.filter(s, lambda x: F.array_contains(have, x))))
+    words, numbers, caps, opened = (source[k] for k in ("words", "numbers", "capitals", "opened"))
     parts = [
-        tx.once(source["words"], lambda sw: F.when(sw > 0, 1 - F.least(F.abs(n_words / sw - 1), F.lit(0.5)) / 0.5)),
-        tx.once(source["numbers"], lambda s: F.when(F.size(s) > 0, kept(s) / F.size(s))),
-        tx.once(source["capitals"], lambda s: F.when(F.size(s) > 0, F.size(F.array_intersect(s, capital_words)) / F.size(s))),
-        tx.once(source["opened"], lambda n: F.when(n > 0, F.least(tx.count(t, r"[(\[]") / n, F.lit(1.0)))),
+        F.when(words > 0, 1 - F.least(F.abs(counted["words"] / words - 1), F.lit(0.5)) / 0.5),
+        F.when(F.size(numbers) > 0, kept(numbers) / F.size(numbers)),
+        F.when(F.size(caps) > 0, counted["kept"] / F.size(caps)),
+        F.when(opened > 0, F.least(counted["opened"] / opened, F.lit(1.0))),
     ]
     return _mean(parts, 0.5)
 
@@ -121,8 +128,7 @@ def format_kept(t: Column, masks: Column) -> Column:
 
 def often(previous: Column) -> Column:
     """Words of five characters or more that stand twice or more in previous translations."""
-    long = F.flatten(F.transform(previous, lambda p: F.regexp_extract_all(F.lower(p), F.lit(r"\S{5,}"), F.lit(0))))
-    return F.regexp_extract_all(_lines(long), F.lit(REPEATED), F.lit(1))
+    return batches.repeated_words(previous)
 
 
 def consistency(t: Column, previous: Column, words: Column | None = None) -> Column:
@@ -134,17 +140,17 @@ def consistency(t: Column, previous: Column, words: Column | None = None) -> Col
 
 def prepared(blocks: DataFrame) -> DataFrame:
     """blocks (source_text, previous) with what score() takes from both: candidates that are made of such blocks share it."""
-    return blocks.withColumns({"_source": of_source(F.col("source_text")), "_often": often(F.col("previous"))})
+    x = blocks.withColumn("_words", batches.source_words("source_text"))
+    return x.withColumns({"_source": of_source(F.col("source_text"), F.col("_words")), "_often": often(F.col("previous"))}).drop("_words")
 
 
 def score(candidates: DataFrame, terms: list[tuple[str, str]], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """candidates (source_text, text, masks, previous) with a column for each dimension and total. Those of prepared() blocks have their sources' parts at hand."""
-    t = F.col("text")
+    t, c = F.col("text"), F.col("_counts")
     x = candidates if {"_source", "_often"} <= set(candidates.columns) else prepared(candidates)
-    x = x.withColumns({"_words": tx.n_words(t), "_capitals": capitals(t)})  # two dimensions take them
-    n, caps = F.col("_words"), F.col("_capitals")
-    x = x.withColumns({"fluency": fluency(t, n, F.size(caps)), "adequacy": adequacy(F.col("_source"), t, n, caps), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"), F.col("_often"))})
-    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_source", "_often", "_words", "_capitals")
+    x = x.withColumn("_counts", batches.text_counts("text", "_source.capitals"))
+    x = x.withColumns({"fluency": fluency(t, c), "adequacy": adequacy(F.col("_source"), t, c), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"), F.col("_often"))})
+    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_source", "_often", "_counts")
 
 
 def rerank(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -381,3 +381,43 @@ def test_sizes_of_equal_texts_once(spark):
     x = metrics._clipped(d, ["k"], F.col("h"), F.col("r"), 2, True)
     assert {r["n"]: (r["h"], r["r"], r["m"]) for r in x.collect()} == {1: (5, 8, 5), 2: (3, 5, 3)}
     assert "filter(split(" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_count_whole_batches(spark, monkeypatch):
+    """Words are counted for whole batches, without an expression that makes an array of them; counts are those of the expressions."""
+    import random
+
+    import pyarrow as pa
+
+    from loomtext.functions import batches
+    from loomtext.operators import scoring
+
+    r = random.Random(5)
+    bits = ["word", "Word", "WORD", "İabc", "i̇abc", "ΣΑΣΣ", "σασς", "σασσ", "Éa", "é", "Ǆungla", "\U00010400bcd", "\U00010428bcd", "𝟘𝟘𝟘𝟘", "x\u0085yz", "a b", ".", ". ", " . ", ".", "(", "[3.5)", ";", "12", "1.5a", " ", "\t", "\n", "\x0b", "\x1c", "\r\n", ".\t"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randrange(40))) for _ in range(400)] + ["", " ", ". ", ". . ", "a. ", None]
+    d = spark.createDataFrame([(k, t, texts[k - 1], [texts[k - 1], t]) for k, t in enumerate(texts)], "k int, text string, source_text string, previous array<string>")
+    x = d.withColumn("c", batches.source_words("source_text")).select("k", "text", "source_text", "previous", "c", batches.text_counts("text", "c.capitals").alias("n"), scoring.counts(F.col("text")).alias("want"), F.size(F.array_intersect(scoring.capitals(F.col("source_text")), scoring.capitals(F.col("text")))).alias("kept"), tx.count("text", r"[(\[]").alias("opened"))
+    x = x.withColumns({"fast": scoring.fluency(F.col("text"), F.col("n")), "slow": scoring.fluency(F.col("text"))})
+    for row in x.orderBy("k").collect():
+        if row["text"] is None:
+            assert row["n"] is None and row["fast"] == row["slow"]
+            continue
+        n, want = row["n"].asDict(), row["want"].asDict()
+        assert {c: n[c] for c in want} == want, row["text"]
+        assert n["opened"] == row["opened"] and n["kept"] == (row["kept"] if row["source_text"] is not None else 0) and row["fast"] == row["slow"]
+    # any runs give the same rows
+    t, runs = pa.array([t or "" for t in texts]), batches.repeated_words.func
+    caps, lists = batches._source(t).field("capitals"), pa.array([[a or "", b or ""] for a, b in zip(texts, texts[1:])])
+    whole, often = batches._counts(t, caps), runs(lists)
+    monkeypatch.setattr(batches, "RUN_BYTES", 50)
+    assert batches.text_counts.func(t, caps).to_pylist() == whole.to_pylist() and [set(w) for w in runs(lists).to_pylist()] == [set(w) for w in often.to_pylist()]
+    low = [(a or "").lower() + " " + (b or "").lower() for a, b in zip(texts, texts[1:])]
+    words = [[w for w in re.findall(r"[^ \t\n\x0b\f\r]+", t) if len(w) >= 5] for t in low]
+    assert [set(w) for w in often.to_pylist()] == [{w for w in ws if ws.count(w) > 1} for ws in words]
+    # every dimension may be taken alone
+    s = scoring.score(d.withColumn("masks", F.array(F.struct(F.lit("a").alias("placeholder")))), [("word", "mot")])
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text_counts(") == plan.count("source_words(") == plan.count("repeated_words(") == 1 and plan.count("regexp_extract_all(text#") == 1  # numbers, where a source has any
+    every = [row.asDict() for row in s.orderBy("k").collect()]
+    for c in (*scoring.WEIGHTS, "total"):
+        assert [row[c] for row in s.select("k", c).orderBy("k").collect()] == [row[c] for row in every]
