@@ -106,8 +106,8 @@ def adequacy(source: Column, t: Column, counted: Column) -> Column:
     return _mean(parts, 0.5)
 
 
-def terminology(t: Column, terms: list[tuple[str, str]]) -> Column:
-    """Targets that stand in the text less untranslated sources, over all terms."""
+def terminology(t: Column, terms: list[tuple[str, str]], low: Column | None = None) -> Column:
+    """Targets that stand in the text less untranslated sources, over all terms. low: the text in lower case, where it is at hand."""
     if not terms:
         return F.lit(1.0)
 
@@ -115,7 +115,7 @@ def terminology(t: Column, terms: list[tuple[str, str]]) -> Column:
         score = sum((F.when(F.contains(low, F.lit(b.lower())), 1).when(F.contains(low, F.lit(a.lower())), -1).otherwise(0) for a, b in terms), F.lit(0))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / len(terms)))
 
-    return tx.once(F.lower(t), of)
+    return tx.once(F.lower(t), of) if low is None else of(low)
 
 
 def format_kept(t: Column, masks: Column) -> Column:
@@ -131,10 +131,11 @@ def often(previous: Column) -> Column:
     return batches.repeated_words(previous)
 
 
-def consistency(t: Column, previous: Column, words: Column | None = None) -> Column:
-    """Share of long words, used twice or more in previous translations, that stand in the text. words: often() of the previous ones, where it is at hand."""
+def consistency(t: Column, previous: Column, words: Column | None = None, low: Column | None = None) -> Column:
+    """Share of long words, used twice or more in previous translations, that stand in the text. words, low: often() of the previous ones and the text in lower case, where they are at hand."""
     words = often(previous) if words is None else words
-    share = lambda w: tx.once(F.lower(t), lambda low: F.size(F.filter(w, lambda x: F.contains(low, x))) / F.size(w))
+    of = lambda w, low: F.size(F.filter(w, lambda x: F.contains(low, x))) / F.size(w)
+    share = lambda w: tx.once(F.lower(t), lambda low: of(w, low)) if low is None else of(w, low)
     return tx.once(words, lambda w: F.coalesce(F.when(F.size(w) > 0, share(w)), F.lit(1.0)))
 
 
@@ -146,11 +147,11 @@ def prepared(blocks: DataFrame) -> DataFrame:
 
 def score(candidates: DataFrame, terms: list[tuple[str, str]], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """candidates (source_text, text, masks, previous) with a column for each dimension and total. Those of prepared() blocks have their sources' parts at hand."""
-    t, c = F.col("text"), F.col("_counts")
+    t, c, low = F.col("text"), F.col("_counts"), F.col("_low")
     x = candidates if {"_source", "_often"} <= set(candidates.columns) else prepared(candidates)
-    x = x.withColumn("_counts", batches.text_counts("text", "_source.capitals"))
-    x = x.withColumns({"fluency": fluency(t, c), "adequacy": adequacy(F.col("_source"), t, c), "terminology": terminology(t, terms), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"), F.col("_often"))})
-    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_source", "_often", "_counts")
+    x = x.withColumns({"_counts": batches.text_counts("text", "_source.capitals"), "_low": F.lower(t)})  # two dimensions take each
+    x = x.withColumns({"fluency": fluency(t, c), "adequacy": adequacy(F.col("_source"), t, c), "terminology": terminology(t, terms, low), "format": format_kept(t, F.col("masks")), "consistency": consistency(t, F.col("previous"), F.col("_often"), low)})
+    return x.withColumn("total", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0))).drop("_source", "_often", "_counts", "_low")
 
 
 def rerank(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -421,3 +421,13 @@ def test_scores_count_whole_batches(spark, monkeypatch):
     every = [row.asDict() for row in s.orderBy("k").collect()]
     for c in (*scoring.WEIGHTS, "total"):
         assert [row[c] for row in s.select("k", c).orderBy("k").collect()] == [row[c] for row in every]
+
+
+def test_scores_lower_a_candidate_once(spark):
+    """Terminology and consistency share a candidate's text in lower case."""
+    from loomtext.operators import scoring
+
+    d = spark.createDataFrame([("Horse WORD", "horse x", ["HORSE a", "b horse"])], "text string, source_text string, previous array<string>")
+    s = scoring.score(d.withColumn("masks", F.array(F.struct(F.lit("a").alias("placeholder")))), [("Mot", "word"), ("x", "y")])
+    assert s.select("terminology", "consistency").first() == (0.5, 1.0)
+    assert s._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
