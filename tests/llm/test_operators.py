@@ -152,6 +152,30 @@ def test_toxicity(spark):
     assert got[9000] == got[9001] and got[None] >= 0.3
 
 
+def test_toxicity_counts_whole_batches(spark, monkeypatch):
+    """Words, counts and features of whole batches are those of one text after the other; a batch's new words are looked up together."""
+    rnd = random.Random(4)
+    vocab = ["zorg", "été", "ΟΔΟΣ", "x1", "ß", "😀", "İz", "a\x85b", "Mi", "ko"]
+    texts = [None, "", " -- ", "Zorg-zorg ZORG", "ΑΣ. İ"] + [rnd.choice([" ", "\n", "_"]).join(rnd.choices(vocab, k=rnd.randint(1, 30))) for _ in range(300)]
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for t in texts]
+    n, word, distinct = toxicity.coded(texts)
+    assert n.tolist() == [len(w) for w in split] and [distinct[k].as_py() for k in word] == [w for x in split for w in x]
+    labels = [rnd.choice([None, 0, 1]) for _ in texts]
+    counted = toxicity.word_counts(spark.createDataFrame(list(zip(texts, labels)), "text string, toxic int").repartition(3)).collect()
+    count = lambda *which: Counter(w for x, y in zip(split, labels) if y in which for w in x)
+    for c, which in (("n_all", (None, 0, 1)), ("n_toxic", (1,)), ("n_plain", (0,))):
+        assert {r["word"]: r[c] for r in counted if r[c]} == dict(count(*which))
+    own = {w: rnd.uniform(-3, 3) for x in split for w in x}
+    calls = []
+    monkeypatch.setattr(toxicity.Scorer, "ratios", lambda self, some: calls.append(some) or [own[w] for w in some])
+    got = toxicity.Scorer(None, None).table(texts)
+    assert len(calls) == 1 and sorted(calls[0]) == sorted(own)
+    for f, w in zip(got, split):
+        best = sorted((own[x] for x in w), reverse=True)[:4]
+        mean = sum(np.log1p(0.02 * np.expm1(own[x])) for x in w) / max(1, len(w))
+        assert np.allclose(f, [mean, sum(best[:2]) / 2, sum(best) / 4, np.log1p(len(w))])
+
+
 def test_toxicity_models_whole(spark):
     """Beyond 500,000 grams, contexts with EVIDENCE toxic tokens all count; ratios are those of a dict-based model."""
     rnd = random.Random(2)
