@@ -77,6 +77,11 @@ def anchors(b: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     return t[first], h[q], q, lo, hi, around
 
 
+def _unique(few: DataFrame) -> DataFrame:
+    """The side of a join that has each key once and fewer rows: it is hashed in each partition, so that the larger side is not sorted."""
+    return few.hint("shuffle_hash")
+
+
 def _sub(body: str, start: Column, length: Column) -> Column:
     return F.substring(body, start.cast("int"), length.cast("int"))
 
@@ -100,6 +105,12 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([batch.column("ord").take(rows), batch.column("h").take(rows), *map(pa.array, (g.view(np.int64), around.view(np.int64), lo - base, hi - base, q - base))], names=[f.name for f in ANCHOR])
 
 
+def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the anchors' grams: what repeats is found without moving the rest."""
+    for x in _list_anchors(batches):
+        yield x.select(["gram"])
+
+
 #: What is wanted of a text: late runs (a: lo, b: hi, c, d: text that holds the first, e: its lo), cells of first runs (a: number), pieces (a: lo, b: hi, c: id, d: anchor).
 LATE, FIRST, PIECES = range(3)
 CUT = T.StructType([T.StructField("kind", T.IntegerType()), *_longs("k1", "k2", "k3", "at", "ord", "h"), T.StructField("body", T.BinaryType())])
@@ -112,38 +123,48 @@ def _want(kind: int, *values) -> Column:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, off = raw_texts(batch.column("text"))
-        keys, body = [], []
-        for i, (o, h, wants) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("h").to_pylist(), batch.column("wants"))):
-            text = b[off[i] : off[i + 1]].tobytes()
-            w = wants.values.flatten()
-            kind, *x = (c.to_numpy() for c in w)
-            for k in np.flatnonzero(kind == FIRST).tolist():
-                at = int(x[0][k]) * CELL
-                keys.append((FIRST, o, h, int(x[0][k]), 0, o, h))
-                body.append(text[at : at + CELL])
-            for k in np.flatnonzero(kind == PIECES).tolist():
-                keys.append((PIECES, int(x[2][k]), 0, 0, int(x[3][k] - x[0][k]), o, h))
-                body.append(text[x[0][k] : x[1][k] + LENGTH])
-            late = np.flatnonzero(kind == LATE)
-            lo, hi, fo, fh, flo = (v[late] for v in x)
-            order = np.lexsort((lo, flo - lo, fh, fo))
-            lo, hi, fo, fh, flo = (v[order] for v in (lo, hi, fo, fh, flo))
-            # runs that follow each other here and there are one run; it is checked cell by cell of the first text
-            new = np.flatnonzero(np.concatenate([[True], (fo[1:] != fo[:-1]) | (fh[1:] != fh[:-1]) | (flo[1:] - lo[1:] != flo[:-1] - lo[:-1]) | (lo[1:] > hi[:-1] + LENGTH)])[: len(lo)])
-            ends = np.concatenate([new[1:], [len(lo)]]) - 1 if len(new) else new
-            for s, e in zip(new.tolist(), ends.tolist()):
-                start, stop, shift = int(lo[s]), int(hi[s : e + 1].max()) + LENGTH, int(flo[s] - lo[s])
-                for cell in range((start + shift) // CELL, (stop + shift - 1) // CELL + 1):
-                    x0, x1 = max(start, cell * CELL - shift), min(stop, (cell + 1) * CELL - shift)
-                    keys.append((LATE, int(fo[s]), int(fh[s]), cell, x0 + shift - cell * CELL, o, h))
-                    body.append(text[x0:x1])
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int32() if c == 0 else pa.int64()) for c in range(7)), pa.array(body, pa.binary())], names=[f.name for f in CUT])
+        raw, o, h = b.tobytes(), batch.column("ord").to_numpy(), batch.column("h").to_numpy()
+        row = pc.list_parent_indices(batch.column("wants")).to_numpy()
+        kind, *x = (c.to_numpy() for c in batch.column("wants").flatten().flatten())
+
+        def cut(kind: int, row: np.ndarray, keys: list, at, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            """A row for each [start, stop) of texts; what lies behind a text's end is not there."""
+            ends = np.minimum(off[row] + stop, off[row + 1])
+            body = pa.array([raw[i:j] for i, j in zip((off[row] + start).tolist(), ends.tolist())], pa.binary())
+            longs = (pa.array(np.broadcast_to(np.asarray(c, np.int64), len(row))) for c in (*keys, at, o[row], h[row]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), *longs, body], names=[f.name for f in CUT])
+
+        some = kind == FIRST
+        r, cell = row[some], x[0][some]
+        yield cut(FIRST, r, [o[r], h[r], cell], 0, cell * CELL, (cell + 1) * CELL)
+        some = kind == PIECES
+        lo, hi, no, q = (v[some] for v in x[:4])
+        yield cut(PIECES, row[some], [no, 0, 0], q - lo, lo, hi + LENGTH)
+        some = np.flatnonzero(kind == LATE)
+        if not len(some):
+            continue
+        lo, hi, fo, fh, flo = (v[some] for v in x)
+        order = np.lexsort((lo, flo - lo, fh, fo, row[some]))
+        r, lo, hi, fo, fh, shift = (v[order] for v in (row[some], lo, hi, fo, fh, flo - lo))
+        # runs that follow each other here and there are one run; it is checked cell by cell of the first text
+        new = np.append(True, lo[1:] > hi[:-1] + LENGTH)
+        for v in (r, fo, fh, shift):
+            new[1:] |= v[1:] != v[:-1]
+        new = np.flatnonzero(new)
+        start, stop, (r, fo, fh, shift) = lo[new], np.maximum.reduceat(hi, new) + LENGTH, (v[new] for v in (r, fo, fh, shift))
+        first = (start + shift) // CELL
+        cells = (stop + shift - 1) // CELL + 1 - first
+        one = np.repeat(np.arange(len(new)), cells)
+        cell = first[one] + np.arange(len(one)) - np.repeat(np.cumsum(cells) - cells, cells)
+        r, fo, fh, shift = (v[one] for v in (r, fo, fh, shift))
+        start, stop = np.maximum(start[one], cell * CELL - shift), np.minimum(stop[one], (cell + 1) * CELL - shift)
+        yield cut(LATE, r, [fo, fh, cell], start + shift - cell * CELL, start, stop)
 
 
 def _fetch(texts: DataFrame, wants: DataFrame) -> DataFrame:
     """What is wanted (ord, h, want) of texts, cut out and written."""
     lists = wants.groupBy("ord", "h").agg(F.collect_list("want").alias("wants"))
-    return materialize(texts.join(lists, ["ord", "h"]).select("ord", "h", "text", "wants").mapInArrow(_cut_out, CUT))
+    return materialize(texts.join(_unique(lists), ["ord", "h"]).select("ord", "h", "text", "wants").mapInArrow(_cut_out, CUT))
 
 
 def _named(keys: DataFrame, name: str) -> DataFrame:
@@ -159,12 +180,12 @@ def sampled_names(pieces: DataFrame) -> DataFrame:
     triples = pieces.where(last >= -F.floor(F.col("at") / BLOCK)).select("id", "at", "body", F.explode(places).alias("j"))
     triples = triples.select("id", "j", _sub("body", F.col("at") + BLOCK * F.col("j") + 1, F.lit(3 * BLOCK)).alias("bytes"))
     names = _named(triples.select("bytes"), "name")
-    reduced = triples.join(names, "bytes").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("m"))
+    reduced = triples.join(_unique(names), "bytes").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("m"))
     at = lambda j: F.element_at("m", j)
     trios = F.filter(F.transform(F.map_keys("m"), lambda j: F.struct(j.alias("j"), at(j).alias("x"), at(j + 3).alias("y"), at(j + 6).alias("z"))), lambda t: t["y"].isNotNull() & t["z"].isNotNull())
     trios = materialize(reduced.select("id", F.explode(trios).alias("t")).select("id", "t.*"))
     upper = _named(trios.select("x", "y", "z"), "name")
-    out = materialize(trios.join(upper, ["x", "y", "z"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("names")))
+    out = materialize(trios.join(_unique(upper), ["x", "y", "z"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "name"))).alias("names")))
     for t in (names, trios, upper):
         discard(t)
     return out
@@ -226,7 +247,7 @@ def sorted_out(mixed: DataFrame, cut: DataFrame) -> DataFrame:
     cores = pieces.withColumn("x", F.explode(spans)).where((F.col("x.a") <= most) & (F.col("x.e") >= least))
     cores = cores.select("id", "x", F.xxhash64("x", _sub("body", F.col("at") - F.col("x.a") + 1, LENGTH + F.col("x.a") - F.col("x.e"))).alias("core"))
     often = materialize(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
-    wanted = cores.join(often, "core").groupBy("id").agg(F.collect_set("x").alias("spans"))
+    wanted = cores.join(_unique(often), "core").groupBy("id").agg(F.collect_set("x").alias("spans"))
     held = materialize(pieces.join(wanted, "id"))
     names = sampled_names(held)
     d = F.col("d")
@@ -245,15 +266,16 @@ def sorted_out(mixed: DataFrame, cut: DataFrame) -> DataFrame:
 def late_starts(texts: DataFrame) -> DataFrame:
     """(ord, h, lo, hi): runs of starts whose LENGTH-byte strings also start earlier. texts: ord, h, text; distinct texts."""
     rows = texts.mapInArrow(_list_anchors, ANCHOR)
-    often = materialize(rows.select("gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    kept = materialize(rows.join(often, "gram"))
+    grams = texts.mapInArrow(_list_grams, T.StructType(_longs("gram")))
+    often = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    kept = materialize(rows.join(_unique(often), "gram"))
     place = ["ord", "h", "lo", "hi", "q"]
     first = materialize(kept.groupBy("gram", "around").agg(F.min(F.struct(*place)).alias("f")))
     late = kept.join(first, ["gram", "around"]).where(F.struct(*place[:3]) != F.struct("f.ord", "f.h", "f.lo"))
     late = materialize(late.select("gram", "ord", "h", "lo", "hi", F.col("f.ord").alias("fo"), F.col("f.h").alias("fh"), F.col("f.lo").alias("flo")))
     several = materialize(first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     numbered = lambda d: materialize(d.repartitionByRange(*place[:3]).sortWithinPartitions(*place[:3]).withColumn("id", F.monotonically_increasing_id()))
-    mixed = numbered(first.join(several, "gram").select("gram", "f.*"))
+    mixed = numbered(first.join(_unique(several), "gram").select("gram", "f.*"))
     cells = late.select(F.col("fo").alias("ord"), F.col("fh").alias("h"), F.explode(F.sequence(F.floor(F.col("flo") / CELL), F.floor((F.col("flo") + F.col("hi") - F.col("lo") + LENGTH - 1) / CELL))).alias("cell")).distinct()
     pieces = lambda m: m.select("ord", "h", _want(PIECES, "lo", "hi", "id", "q").alias("want"))
     cut = _fetch(texts, late.select("ord", "h", _want(LATE, "lo", "hi", "fo", "fh", "flo").alias("want")).unionByName(cells.select("ord", "h", _want(FIRST, "cell").alias("want"))).unionByName(pieces(mixed)))
@@ -272,15 +294,14 @@ def late_starts(texts: DataFrame) -> DataFrame:
     return out
 
 
-def spans(runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal removed runs [start, end) of runs of starts."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return [(a, b) for a, b in out]
+def spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) in order: maximal removed byte spans [start, end) of runs of starts in texts that begin and end at off."""
+    lo, hi = off[row] + lo, off[row] + np.minimum(hi, np.diff(off)[row] - length) + length
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], np.maximum.accumulate(hi[order])  # no span reaches beyond its text
+    new = np.append(True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1]))[: len(row)]
+    row, start, end = row[new], lo[new], hi[np.append(new[1:], True)[: len(new)]]
+    return row, start - off[row], end - off[row]
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -308,7 +329,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     whole = gone.select(F.col("o2").alias("ord"), F.col("h2").alias("h"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(LAST - LENGTH).alias("hi"))).alias("runs"))
     found = materialize(lists.unionByName(whole)).select(F.col("ord").alias(o2), F.col("h").alias(h2), F.col("runs").alias(runs))
     x = docs.withColumn(o, F.coalesce(col(key).cast("long"), F.lit(LAST))).withColumn(h, F.xxhash64(body))
-    x = x.join(found, (F.col(o) == F.col(o2)) & (F.col(h) == F.col(h2)), "left").drop(o, h, o2, h2)
+    x = x.join(_unique(found), (F.col(o) == F.col(o2)) & (F.col(h) == F.col(h2)), "left").drop(o, h, o2, h2)
     at = docs.columns.index(text)
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(removed, kind), T.StructField(kept, T.BinaryType())])
@@ -317,14 +338,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = raw_texts(batch.column(at))
-            gone, stay = [], []
-            for i, r in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                raw = b[off[i] : off[i + 1]].tobytes()
-                s = [(a, min(e, len(raw))) for a, e in spans([(x["lo"], x["hi"]) for x in r or ()])]
-                gone.append([{"start": a, "end": e} for a, e in s])
-                edges = [0, *(x for p in s for x in p), len(raw)]
-                stay.append(b"".join(raw[a:e] for a, e in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(gone, arrow), pa.array(stay, pa.binary())], names=[f.name for f in schema])
+            lists = batch.column(batch.num_columns - 1)
+            lo, hi = (c.to_numpy() for c in lists.flatten().flatten())
+            row, start, end = spans(pc.list_parent_indices(lists).to_numpy(), lo, hi, off)
+            each = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], fields=list(arrow.value_type))
+            gone = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(off))), pa.int32()), each)
+            change = np.zeros(len(b) + 1, np.int32)  # spans of a text don't touch, those of neighbours may
+            np.add.at(change, off[row] + start, 1)
+            np.add.at(change, off[row] + end, -1)
+            stay = b[np.cumsum(change[:-1]) == 0]
+            sizes = np.diff(off) - np.bincount(row, end - start, len(off) - 1).astype(np.int64)
+            bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            stay = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(stay)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], gone, stay], names=[f.name for f in schema])
 
     return x.mapInArrow(cut, schema), {"removed": removed, "kept": kept}
 

@@ -232,6 +232,23 @@ def test_toxicity_models_whole(spark):
     assert np.allclose(scorer.ratios(some), [sum(map(ratio, toxicity.grams(w))) for w in some], atol=1e-5)
 
 
+def test_suffix_spans():
+    """Spans of runs in several texts at once: overlapping and touching ones are one, those of neighbouring texts are not, a whole text's run ends with it."""
+    rnd = random.Random(3)
+    size = [300, 0, 250, 400, 100, 700]
+    runs = [[(0, 2**63 - 101)], [], [(0, 150)], [(k, k + rnd.randint(0, 9)) for k in rnd.sample(range(290), 8)], [(0, 0)], [(0, 5), (105, 110), (300, 300), (500, 600)]]
+    flat = [(i, lo, hi) for i, x in enumerate(runs) for lo, hi in x]
+    rnd.shuffle(flat)
+    row, lo, hi = (np.array(c) for c in zip(*flat))
+    want = []
+    for i, x in enumerate(runs):
+        gone = {b for lo, hi in x for b in range(lo, min(hi + 100, size[i]))}
+        want += [(i, a, min(e for e in range(a, size[i] + 1) if e not in gone)) for a in sorted(gone) if a - 1 not in gone]
+    got = suffix_dedup.spans(row, lo, hi, np.append(0, np.cumsum(size)))
+    assert list(zip(*(c.tolist() for c in got))) == want
+    assert [len(c) for c in suffix_dedup.spans(*(np.zeros(0, np.int64),) * 3, np.array([0, 5]))] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_suffix_dedup(spark, docs, monkeypatch, collide):
     """Against a search of all strings, with null texts and keys, repeated rows and keys, and a text of 3 MB. collide: all runs of strings have one hash."""
