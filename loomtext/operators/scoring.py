@@ -80,12 +80,15 @@ def fluency(t: Column, counted: Column | None = None) -> Column:
     return tx.once(counts(t), of) if counted is None else of(counted)
 
 
-#: Digits with an optional fraction; no letter, digit or underscore at either end.
-WHOLE_NUMBER = r"(?=\d)(?<![\p{L}\p{N}_])\d+(?:\.\d+)?(?![\p{L}\p{N}_])"
+#: Stretches of letters, digits, underscores and points that hold a digit: nothing that numbers depend on reaches beyond one. (Linear: tried at a stretch's start only.)
+STRETCH = r"(?<![\p{L}\d_.])[\p{L}_.]*+\d[\p{L}\d_.]*+"
+#: Digits with an optional fraction that touch a letter or underscore, as the SQL cuts them out first; what is left of digits are numbers.
+TOUCHED, NUMBER = r"[\p{L}_]\d+(?:\.\d+)?|\d+(?:\.\d+)?[\p{L}_]", r"\d+(?:\.\d+)?"
 
 
 def _numbers(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(WHOLE_NUMBER), F.lit(0))
+    stretches = F.array_join(F.regexp_extract_all(x, F.lit(STRETCH), F.lit(0)), " ")
+    return F.regexp_extract_all(F.regexp_replace(stretches, TOUCHED, ""), F.lit(NUMBER), F.lit(0))
 
 
 def of_source(source: Column, counted: Column) -> Column:

@@ -303,6 +303,16 @@ def test_mask_spans_search_each_text_once(spark):
     assert [len(r["spans"]) for r in own] == [2, 0, 1] and own[2]["spans"][0]["name"] == "url_full"
 
 
+def test_numbers_are_those_of_the_sql(spark):
+    """A number that touches a letter goes whole: no part of its digits is left to count."""
+    texts = ["1.5a", "a1.5 2", "12.34.56b", "3a4 5", "x_7 8_ 9", "\u00e912 \u00b23 \u00bd4 5\u00b5 6", "1,5 2.50. 3", "", "34a45 1.2.3", "v2.0.1-rc3 10%", "5.12.13a7 .5 x.5 5.a1.2.3"]
+    x = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [r["n"] for r in x.select("k", scoring._numbers(F.col("t")).alias("n")).orderBy("k").collect()]
+    con = duckdb.connect()
+    assert got == [con.execute(f"select {oracles._NUM.format('?::varchar')}", [t]).fetchone()[0] for t in texts]
+    assert got[0] == [] and got[1] == ["2"]
+
+
 def test_scores_make_each_array_once(spark):
     """Deviations and means don't make their array again for each element or use."""
     from loomtext.operators import scoring
