@@ -402,6 +402,50 @@ def test_jaccard_keeps_no_prefixes(spark, docs):
     assert len(files) == 1 and "prefix" not in spark.read.parquet(*files).columns and rows.count() == docs.count()
 
 
+def test_jaccard_moves_no_other_texts(spark, docs, monkeypatch):
+    """Documents are told by a broadcast map of their ids: with however many, texts that neither link nor go are in no shuffle, and no row is lost."""
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r["doc_id"] for r in collected(jaccard.representatives(plain))}
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.representatives(plain)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+        assert sorted(r["doc_id"] for r in collected(out)) == sorted(want)
+        ids = docs.where("doc_id % 3 = 0 or doc_id is null").select("doc_id").distinct()
+        for places in (1 << 26, 64):  # exact but for equal hashes; crowded
+            monkeypatch.setattr(jaccard, "PLACES", places)
+            near, far = (jaccard.marked(docs, "doc_id", ids, how) for how in ("left_semi", "left_anti"))
+            assert "hashpartitioning(doc_id" not in near._jdf.queryExecution().executedPlan().toString()
+            n, f = ([(r["doc_id"], r["text"]) for r in collected(x)] for x in (near, far))
+            assert sorted(n + f, key=str) == sorted(((r["doc_id"], r["text"]) for r in collected(docs)), key=str)
+            assert all(k is not None and k % 3 for k, _ in f) and (places == 64 or not [k for k, _ in n if k is not None and k % 3])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from loomtext.llm.common import CLEANUP, materialize
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before, kept = files(), spark.conf.get(CLEANUP)
+    assert materialize(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count()).count() == 1000
+    left = files() - before
+    for _ in range(20):
+        left = {f for f in left if f.exists()}
+        if left:
+            time.sleep(0.5)
+    # the count of the table's rows has a shuffle of its own: one row from each task
+    assert all(f.stat().st_size < 1000 for f in left) and spark.conf.get(CLEANUP) == kept
+
+
 def test_representatives(docs):
     one = collected(jaccard.representatives(docs))
     assert len([r for r in one if r["doc_id"] in (12, 13, 14, 15) or r["doc_id"] is None]) == 1
