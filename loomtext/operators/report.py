@@ -107,9 +107,14 @@ def extraction(blocks: DataFrame) -> DataFrame:
 
 
 def masking(masked: DataFrame) -> DataFrame:
-    """For each document: masks, blocks with masks, and JSON of masks by type."""
-    kinds = masked.select("doc_id", F.explode("masks").alias("m")).groupBy("doc_id", "m.mask_type").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("doc_id").agg(F.sum("n").alias("total_masks"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mask_type", "n"))))).alias("by_type"))
+    """For each document: masks, JSON of masks by type, blocks with masks, and JSON of these blocks in order (pos, num_masks, masked_text, masks). Zeros and empty JSON where there are none."""
+    n = F.coalesce(F.size("masks"), F.lit(0))
+    kinds = F.transform(F.coalesce("masks", F.array().cast(masked.schema["masks"].dataType)), lambda m: m["mask_type"])
+    item = F.to_json(F.struct("pos", n.alias("num_masks"), "masked_text", "masks"))
+    x = masked.select("doc_id", n.alias("n"), kinds.alias("kinds"), F.when(n > 0, F.struct("pos", item.alias("text"))).alias("p"))
+    x = x.groupBy("doc_id").agg(F.sum("n").alias("total_masks"), F.flatten(F.collect_list("kinds")).alias("kinds"), F.count_if(F.col("n") > 0).alias("blocks_with_masks"), F.collect_list("p").alias("p"))
+    counted = F.transform(F.array_sort(F.array_distinct("kinds")), lambda k: F.struct(k, F.size(F.filter("kinds", lambda m: m == k)).alias("n")))
+    return x.select("doc_id", "total_masks", F.to_json(F.map_from_entries(counted)).alias("by_type"), "blocks_with_masks", F.concat(F.lit("["), ordered_text(F.col("p"), ","), F.lit("]")).alias("blocks"))
 
 
 def document_json(blocks: DataFrame) -> DataFrame:

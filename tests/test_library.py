@@ -68,6 +68,20 @@ def test_mask_roundtrip_and_numbering(spark):
     assert out["e", 0]["masked_text"] == "plain"
 
 
+def test_masking_report_is_whole(spark):
+    rows = [("d", 10, "again $x$ and $y$ at https://a.org/b"), ("d", 2, "see [1]"), ("d", 3, "plain"), ("d", 4, None), ("e", 0, "plain")]
+    m = masking.mask(spark.createDataFrame(rows, "doc_id string, pos int, source_text string"))
+    got = {r["doc_id"]: r for r in report.masking(m).collect()}
+    d, e = got["d"], got["e"]
+    assert (d["total_masks"], d["blocks_with_masks"], json.loads(d["by_type"])) == (4, 2, {"citation_bracket": 1, "latex_inline": 2, "url_full": 1})
+    shown = json.loads(d["blocks"])
+    assert [(b["pos"], b["num_masks"]) for b in shown] == [(2, 1), (10, 3)]
+    want = {r["pos"]: r for r in m.where("doc_id = 'd'").collect()}
+    for b in shown:
+        assert b["masked_text"] == want[b["pos"]]["masked_text"] and b["masks"] == [x.asDict() for x in want[b["pos"]]["masks"]]
+    assert (e["total_masks"], e["blocks_with_masks"], e["by_type"], e["blocks"]) == (0, 0, "{}", "[]")
+
+
 def test_unmask_variants_and_loss(spark):
     d = spark.createDataFrame([("a « url_0001 » b", 1), ("First. Second", 2), ("nothing", 3)], "t string, k int")
     masks = F.array(F.struct(F.when(F.col("k") == 2, "$x$").otherwise("http://e.org").alias("original"), F.lit("<<URL_0001>>").alias("placeholder"), F.when(F.col("k") == 2, "latex_inline").otherwise("url_full").alias("mask_type"), F.lit(True).alias("preserve_formatting")))
